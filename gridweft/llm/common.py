@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridweft.ship import ship
+
 #: A word of the corpus contracts: a run of anything but space, tab, LF, VT, FF and CR.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -39,6 +41,12 @@ def from_key(column: str = "doc_key") -> Column:
     return F.when(F.col(column) != NULL_ID, F.col(column))
 
 
+def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow of a function that imports this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweft.llm import mixing
+from gridweft.llm import mixing, token_files, tokens
 from gridweft.llm.common import read_documents
 
 
@@ -12,6 +12,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op10_mixing": op10_mixing}
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.fresh_path(spark)
+    token_files.write_shards(read_documents(spark, sf_dir), path, tokens.default_tokenizer())
+    return token_files.read_shards(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+QUERIES = {
+    "op6_token_files": op6_token_files,
+    "op10_mixing": op10_mixing,
+}
 
 ORACLES: dict[str, str] = {}

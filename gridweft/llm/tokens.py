@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 #: Separators that every tokenizer used here drops and never builds a token across.
 _SPLIT = re.compile(r"[ \t-\r]+")
@@ -64,10 +65,9 @@ class WordMemo:
         self.tokenizer, self.render, self.limit = load(path), render, limit
         if not drops_space(self.tokenizer):
             raise ValueError(f"{path}: tokens depend on white space, so words can't be encoded apart")
-        self.ids: dict[str, tuple] = {}
         self.memo: dict[str, object] = {}
         self.alphabet = _byte_alphabet()
-        self.direct = all(self._model("Straßenbahn".lower()) == self._whole([w])[0] for w in ("Straßenbahn",))
+        self.direct = self._model("straßenbahn") == self._whole(["Straßenbahn"])[0]
 
     def _model(self, lower: str) -> list[int]:
         return [t.id for t in self.tokenizer.model.tokenize(lower.encode().decode("latin-1").translate(self.alphabet))]
@@ -104,3 +104,18 @@ class WordMemo:
         if slow:
             out.update(zip(slow, map(self.render, self._whole(slow)), strict=True))
         return out
+
+
+def as_array(code: str):
+    """render: ids as the bytes of an array of this type code."""
+    return lambda ids: array(code, ids).tobytes()
+
+
+_MEMOS: dict = {}
+
+
+def memo(path: str, code: str) -> WordMemo:
+    """The worker's memo of a tokenizer; it lives as long as the worker, across tasks."""
+    if (path, code) not in _MEMOS:
+        _MEMOS[path, code] = WordMemo(path, as_array(code))
+    return _MEMOS[path, code]
