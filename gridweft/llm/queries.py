@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweft.llm import mixing, token_files, tokens
+from gridweft.llm import chunks, mixing, token_files, tokens
 from gridweft.llm.common import read_documents
 
 
@@ -12,6 +12,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.encode_documents(read_documents(spark, sf_dir), tokens.default_tokenizer())
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.fresh_path(spark)
     token_files.write_shards(read_documents(spark, sf_dir), path, tokens.default_tokenizer())
@@ -19,6 +23,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_bpe": op4_bpe,
     "op6_token_files": op6_token_files,
     "op10_mixing": op10_mixing,
 }

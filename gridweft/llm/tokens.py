@@ -44,6 +44,10 @@ def words(text: str) -> list[str]:
     return [w for w in _SPLIT.split(text) if w] if _CONTROL.search(text) else text.split()
 
 
+def is_space(char: str) -> bool:
+    return char.isspace() and not _CONTROL.match(char)
+
+
 def _byte_alphabet() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
