@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweft.llm import chunks, mixing, token_files, tokens
+from gridweft.llm import chunks, mixing, simhash, token_files, tokens
 from gridweft.llm.common import read_documents
 
 
@@ -12,6 +12,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(read_documents(spark, sf_dir))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.encode_documents(read_documents(spark, sf_dir), tokens.default_tokenizer())
 
@@ -23,6 +27,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
     "op6_token_files": op6_token_files,
     "op10_mixing": op10_mixing,
