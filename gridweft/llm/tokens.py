@@ -9,7 +9,6 @@ from array import array
 #: Separators that every tokenizer used here drops and never builds a token across.
 _SPLIT = re.compile(r"[ \t-\r]+")
 _CONTROL = re.compile("[\x1c-\x1f]")
-_TAIL = ",.;:!?|"
 _LOADED: dict = {}
 
 
@@ -55,59 +54,67 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+#: Latin-1 words fall into runs of letters, single digits and runs of marks, as the splitter cuts them.
+_LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff"
+_DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PIECES = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
+
+
 class WordMemo:
     """render(ids) of the words of texts, each distinct word encoded once per worker.
 
     At most `limit` words are kept; later ones are encoded again whenever they come.
-    Only for tokenizers of which drops_space holds. Plain lower-case Latin-1 letters go
-    straight to the library's BPE model, as its normalizer and splitter leave them alone;
-    all other words go through the whole tokenizer. A word is cut before a tail of ASCII
-    marks, where the splitter cuts too.
+    Only for tokenizers of which drops_space holds. The normalizer and the splitter leave no
+    doubt about printable Latin-1 words without apostrophes (which may start contractions) and special
+    tokens, so their pieces go straight to the library's BPE model; all other words go
+    through the whole tokenizer.
     """
 
-    def __init__(self, path: str, render, limit: int = 600_000):
+    def __init__(self, path: str, render, limit: int = 1_200_000):
         self.tokenizer, self.render, self.limit = load(path), render, limit
         if not drops_space(self.tokenizer):
             raise ValueError(f"{path}: tokens depend on white space, so words can't be encoded apart")
         self.memo: dict[str, object] = {}
+        self.pieces: dict[str, list[int]] = {}
         self.alphabet = _byte_alphabet()
-        self.direct = self._model("straßenbahn") == self._whole(["Straßenbahn"])[0]
-
-    def _model(self, lower: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(lower.encode().decode("latin-1").translate(self.alphabet))]
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        probe = "Straße9\xb5!?x12\xbd_"
+        self.direct = self._direct(probe) == self._whole([probe])[0]
+
+    def _direct(self, word: str) -> list[int]:
+        out, known, model, alphabet = [], self.pieces, self.tokenizer.model, self.alphabet
+        for piece in _PIECES.findall(word.lower()):
+            ids = known.get(piece)
+            if ids is None:
+                ids = [t.id for t in model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(alphabet))]
+                if len(known) < self.limit // 4:
+                    known[piece] = ids
+            out += ids
+        return out
 
     def _whole(self, items: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(items, add_special_tokens=False)]
 
     def lookup(self, items: list[str]) -> list:
-        memo = self.memo
-        try:
-            return [memo[w] for w in items]
-        except KeyError:
-            pass
-        found = self._fill({w for w in items if w not in memo})
-        if len(memo) + len(found) <= self.limit:
-            memo.update(found)
-            return [memo[w] for w in items]
-        return [memo[w] if w in memo else found[w] for w in items]
+        out = list(map(self.memo.get, items))
+        if None in out:
+            missing = {w for w, found in zip(items, out, strict=True) if found is None}
+            found = self._fill(missing)
+            if len(self.memo) < self.limit:
+                self.memo.update(found)
+            out = [found[w] if x is None else x for w, x in zip(items, out, strict=True)]
+        return out
 
     def _fill(self, missing: set[str]) -> dict:
-        found, slow, cores = {}, [], {}
+        found, slow, render = {}, [], self.render
         for w in missing:
-            core = w.rstrip(_TAIL)
-            lower = core.lower()
-            if self.direct and core.isalpha() and (core.isascii() or max(core) <= "\xff"):
-                if lower not in cores:
-                    cores[lower] = self._model(lower)
-                found[w] = (lower, w[len(core) :])
+            if self.direct and w.isprintable() and (w.isascii() or max(w) <= "\xff") and "'" not in w and not ("<" in w and any(t in w for t in self.special)):
+                found[w] = render(self._direct(w))
             else:
                 slow.append(w)
-        tails = {t for _, t in found.values() if t}
-        tail_ids = dict(zip(tails, self._whole(list(tails)), strict=True)) if tails else {}
-        out = {w: self.render(cores[c] + tail_ids[t] if t else cores[c]) for w, (c, t) in found.items()}
         if slow:
-            out.update(zip(slow, map(self.render, self._whole(slow)), strict=True))
-        return out
+            found.update(zip(slow, map(render, self._whole(slow)), strict=True))
+        return found
 
 
 def as_array(code: str):
