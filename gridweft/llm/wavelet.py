@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import struct
-import zlib
 
 import numpy as np
+import zstandard
 
 MAGIC = b"GWWM0001"
 _HEAD = struct.Struct("<8sIIQQ")  # magic, planes, bytes an id, ids, documents
@@ -16,7 +16,7 @@ class WaveletMatrix:
     """Bit-planes of ids, most significant first, each stably parted by its bits, zeros first.
 
     File: head; doc_id and length of each document; zeros of each plane; then each plane's
-    packed bits and its ones before each block of 512 bits, deflated.
+    packed bits and its ones before each block of 512 bits, the bits as a zstd frame.
     """
 
     def __init__(self, planes: list[np.ndarray], zeros: np.ndarray, n: int, docs: np.ndarray, lengths: np.ndarray, width: int):
@@ -45,9 +45,10 @@ class WaveletMatrix:
         return cls(planes, zeros, len(ids), np.asarray(docs, np.int64), np.asarray(lengths, np.int64), ids.dtype.itemsize)
 
     def to_bytes(self) -> bytes:
+        packer = zstandard.ZstdCompressor(level=1)
         out = [_HEAD.pack(MAGIC, len(self.planes), self.width, self.n, len(self.docs)), self.docs.tobytes(), self.lengths.tobytes(), self.zeros.tobytes()]
         for plane, ones in zip(self.planes, self.ones, strict=True):
-            body = zlib.compress(plane.tobytes(), 1)
+            body = packer.compress(plane.tobytes())
             out += [struct.pack("<QQ", len(body), len(ones)), body, ones.astype("<u4").tobytes()]
         return b"".join(out)
 
@@ -56,14 +57,14 @@ class WaveletMatrix:
         magic, bits, width, n, docs = _HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        at, arrays = _HEAD.size, []
+        at, arrays, unpacker = _HEAD.size, [], zstandard.ZstdDecompressor()
         for count in (docs, docs, bits):
             arrays.append(np.frombuffer(data, "<i8", count, at))
             at += 8 * count
         self, planes, ones = cls.__new__(cls), [], []
         for _ in range(bits):
             size, blocks = struct.unpack_from("<QQ", data, at)
-            planes.append(np.frombuffer(zlib.decompress(data[at + 16 : at + 16 + size]), np.uint8))
+            planes.append(np.frombuffer(unpacker.decompress(data[at + 16 : at + 16 + size]), np.uint8))
             ones.append(np.frombuffer(data, "<u4", blocks, at + 16 + size).astype(np.int64))
             at += 16 + size + 4 * blocks
         self.planes, self.ones, self.n, self.width = planes, ones, n, width
