@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridweft.llm import chunks, mixing, simhash, token_files, tokens
+from gridweft.llm import chunks, counts, mixing, simhash, token_files, tokens, weighted
 from gridweft.llm.common import read_documents
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sections = counts.even_sections(F.length(F.coalesce("text", F.lit(""))))
+    return counts.section_counts(read_documents(spark, sf_dir), sections, tokens.default_tokenizer())
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -20,6 +26,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.encode_documents(read_documents(spark, sf_dir), tokens.default_tokenizer())
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted.against_next(read_documents(spark, sf_dir))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.fresh_path(spark)
     token_files.write_shards(read_documents(spark, sf_dir), path, tokens.default_tokenizer())
@@ -29,7 +39,9 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
+    "op5_fingerprints": op5_fingerprints,
     "op6_token_files": op6_token_files,
+    "op8_token_counts": op8_token_counts,
     "op10_mixing": op10_mixing,
 }
 

@@ -43,6 +43,10 @@ def words(text: str) -> list[str]:
     return [w for w in _SPLIT.split(text) if w] if _CONTROL.search(text) else text.split()
 
 
+def has_control(text: str) -> bool:
+    return bool(_CONTROL.search(text))
+
+
 def is_space(char: str) -> bool:
     return char.isspace() and not _CONTROL.match(char)
 
