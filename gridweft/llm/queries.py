@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweft.llm import chunks, counts, mixing, simhash, token_files, tokens, weighted
+from gridweft.llm import chunks, counts, mixing, simhash, substring, token_files, tokens, weighted
 from gridweft.llm.common import read_documents
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.without_repeats(read_documents(spark, sf_dir), digest=True)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = counts.even_sections(F.length(F.coalesce("text", F.lit(""))))
     return counts.section_counts(read_documents(spark, sf_dir), sections, tokens.default_tokenizer())
@@ -41,6 +45,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op5_fingerprints": op5_fingerprints,
     "op6_token_files": op6_token_files,
+    "op7_substrings": op7_substrings,
     "op8_token_counts": op8_token_counts,
     "op10_mixing": op10_mixing,
 }
