@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweft.llm import chunks, counts, mixing, simhash, substring, token_files, tokens, weighted
+from gridweft.llm import chunks, counts, mixing, simhash, substring, token_files, tokens, toxicity, weighted
 from gridweft.llm.common import read_documents
 
 
@@ -18,6 +18,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.section_counts(read_documents(spark, sf_dir), sections, tokens.default_tokenizer())
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.scored(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held_out = F.coalesce(~toxicity.learnable(), F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "evidence")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -47,6 +53,7 @@ QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_substrings": op7_substrings,
     "op8_token_counts": op8_token_counts,
+    "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
 }
 
