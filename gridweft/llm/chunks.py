@@ -88,10 +88,15 @@ class Codec:
         self.digits = [str(i) for i in range(size)]
         if self.tokenizer.decoder is not None:
             raise ValueError(f"{path}: only vocabularies without a decoder, whose tokens are joined by spaces")
-        self.memo = tokens.WordMemo(path, self.render)
+        self.memo = tokens.WordMemo(path, self.render, 400_000)
 
-    def render(self, ids: list[int]) -> tuple[list[int], str, str]:
-        return tuple(ids), " ".join([self.digits[i] for i in ids]), " ".join([self.names[i] for i in ids])
+    def render(self, ids: list[int]) -> tuple[str, str]:
+        """A code: the decimal ids and the decoded text."""
+        return " ".join([self.digits[i] for i in ids]), " ".join([self.names[i] for i in ids])
+
+    @staticmethod
+    def ids(code: tuple[str, str]) -> list[int]:
+        return [int(i) for i in code[0].split()]
 
     def encode(self, text: str) -> list[tuple]:
         return self.memo.lookup(tokens.words(text))
@@ -107,7 +112,7 @@ class Codec:
             back, ahead = left[-n:], right[:n]
             text = " ".join([t for t, _ in back]) + glue + " ".join([t for t, _ in ahead])
             again = self.memo._whole([text])[0]
-            first, last = list(back[0][1][0]), list(ahead[-1][1][0])
+            first, last = self.ids(back[0][1]), self.ids(ahead[-1][1])
             if (n >= len(left) or again[: len(first)] == first) and (n >= len(right) or again[len(again) - len(last) :] == last):
                 return [*left[:-n], (text, self.render(again)), *right[n:]]
             n *= 2
@@ -131,7 +136,7 @@ class Codec:
             if done:
                 (left, a), (right, b) = done[-1], part[0]
                 again = known.get(left + glue + right) or self.memo._whole([left + glue + right])[0]
-                if again != [*a[0], *b[0]]:
+                if again != self.ids(a) + self.ids(b):
                     done = self._mended(done, glue, part)
                     continue
                 if not glue:  # one word, which a later chunk may go on with
@@ -183,8 +188,9 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
                         wanted.discard(key)
                         keys.append(key)
                         codes = coder.encode(part)
-                        counts = np.array([len(c[0]) for c in codes], "<u2").tobytes()
-                        bodies.append(np.array([len(codes)], "<u4").tobytes() + counts + np.array([i for c in codes for i in c[0]], "<u4" if len(coder.names) > 65536 else "<u2").tobytes())
+                        ids = [coder.ids(c) for c in codes]
+                        counts = np.array([len(c) for c in ids], "<u2").tobytes()
+                        bodies.append(np.array([len(codes)], "<u4").tobytes() + counts + np.array([i for c in ids for i in c], "<u4" if len(coder.names) > 65536 else "<u2").tobytes())
             yield pa.RecordBatch.from_pydict({"chunk": pa.array(keys, pa.binary()), "codes": pa.array(bodies, pa.binary())})
 
     def unpack(coder: Codec, body: bytes) -> list[tuple]:
@@ -202,7 +208,7 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
                 texts, keys = chunks_of(text.as_py() or "")
                 codes = [unpack(coder, given[k]) if k in given else coder.encode(t) for t, k in zip(texts, keys, strict=True)]
                 parts = [c for c in coder.joined(texts, codes) if c[0]]
-                ids, names = " ".join([c[1] for c in parts]), " ".join([c[2] for c in parts])
+                ids, names = " ".join([c[0] for c in parts]), " ".join([c[1] for c in parts])
                 n = ids.count(" ") + 1 if ids else 0
                 rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(names.encode()).hexdigest()))
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())

@@ -91,7 +91,7 @@ class WordMemo:
             ids = known.get(piece)
             if ids is None:
                 ids = [t.id for t in model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(alphabet))]
-                if len(known) < self.limit // 4:
+                if len(known) < self.limit // 8:
                     known[piece] = ids
             out += ids
         return out
