@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweft.llm import tokens
 from gridweft.llm.common import doc_key, from_key, in_arrow, saved
 
-WINDOW, MIN_CHUNK, MAX_CHUNK, ONE_IN = 24, 512, 8192, 64
+WINDOW, MIN_CHUNK, MAX_CHUNK, ONE_IN = 24, 1024, 8192, 64
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -36,7 +38,7 @@ def cut_points(body: bytes) -> list[int]:
     """Ends of the chunks of a UTF-8 text.
 
     A polynomial hash of the last 24 bytes rolls over the text; a chunk ends after white
-    space where one in 64 hashes says so, at 512 bytes or more. Without such a place it ends
+    space where one in 64 hashes says so, at 1024 bytes or more. Without such a place it ends
     before the character that passes 8192 bytes, be that inside a word.
     """
     n = len(body)
@@ -99,7 +101,9 @@ class Codec:
         return [int(i) for i in code[0].split()]
 
     def encode(self, text: str) -> list[tuple]:
-        return self.memo.lookup(tokens.words(text))
+        """(text, code) of each word."""
+        items = tokens.words(text)
+        return list(zip(items, self.memo.lookup(items), strict=True))
 
     def _mended(self, left: list[tuple], glue: str, right: list[tuple]) -> list[tuple]:
         """(text, code) of left and right, which don't encode apart.
@@ -117,13 +121,12 @@ class Codec:
                 return [*left[:-n], (text, self.render(again)), *right[n:]]
             n *= 2
 
-    def joined(self, texts: list[str], codes: list[list[tuple]]) -> list[tuple]:
+    def joined(self, texts: list[str], parts: list[list[tuple]]) -> list[tuple]:
         """Codes of the whole text from those of its chunks.
 
         The two words at each join are encoded together. Where that gives the sum of their
         codes the chunks stand as they are; other joins are mended.
         """
-        parts = [list(zip(tokens.words(t), c, strict=True)) for t, c in zip(texts, codes, strict=True)]
         done, ended, joins = [], True, []
         for text, part in zip(texts, parts, strict=True):
             glue = " " if ended or tokens.is_space(text[0]) else ""
@@ -155,14 +158,15 @@ def codec(path: str) -> Codec:
 
 
 def _find_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each chunk of a document once, and whether it stands there again."""
     for batch in batches:
-        keys, docs, seqs = [], [], []
+        keys, docs, again = [], [], []
         for key, text in zip(batch["doc_key"].to_pylist(), batch["text"], strict=True):
-            found = chunks_of(text.as_py() or "")[1]
+            found = Counter(chunks_of(text.as_py() or "")[1])
             keys += found
             docs += [key] * len(found)
-            seqs += range(len(found))
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(keys, pa.binary()), "doc_key": pa.array(docs, pa.int64()), "seq": pa.array(seqs, pa.int32())})
+            again += [n > 1 for n in found.values()]
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(keys, pa.binary()), "doc_key": pa.array(docs, pa.int64()), "again": pa.array(again, pa.bool_())})
 
 
 def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -178,7 +182,7 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """
 
     def encode_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(tokenizer)
+        coder, packer = codec(tokenizer), zstandard.ZstdCompressor(level=3)
         for batch in batches:
             keys, bodies = [], []
             for text, wanted in zip(batch["text"], batch["owned"].to_pylist(), strict=True):
@@ -187,17 +191,21 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
                     if key in wanted:
                         wanted.discard(key)
                         keys.append(key)
-                        codes = coder.encode(part)
+                        codes = [c for _, c in coder.encode(part)]
                         ids = [coder.ids(c) for c in codes]
-                        counts = np.array([len(c) for c in ids], "<u2").tobytes()
-                        bodies.append(np.array([len(codes)], "<u4").tobytes() + counts + np.array([i for c in ids for i in c], "<u4" if len(coder.names) > 65536 else "<u2").tobytes())
+                        ends = [len(ids[0]), len(ids[-1])] if ids else [0, 0]
+                        bodies.append(packer.compress(np.array([*ends, *[i for c in ids for i in c]], "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()))
             yield pa.RecordBatch.from_pydict({"chunk": pa.array(keys, pa.binary()), "codes": pa.array(bodies, pa.binary())})
 
-    def unpack(coder: Codec, body: bytes) -> list[tuple]:
-        n = int(np.frombuffer(body, "<u4", 1)[0])
-        ends = np.cumsum(np.frombuffer(body, "<u2", n, 4)).tolist()
-        ids = np.frombuffer(body, "<u4" if len(coder.names) > 65536 else "<u2", -1, 4 + 2 * n).tolist()
-        return [coder.render(ids[s:e]) for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+    def unpack(coder: Codec, text: str, body: bytes) -> list[tuple]:
+        """(text, code) of a chunk's first word, of what lies between and of its last word."""
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
+        first, last, *ids = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1).tolist()
+        items = tokens.words(text)
+        if len(items) < 3:
+            return list(zip(items, [coder.render(ids[:first]), coder.render(ids[first:])], strict=False))
+        middle = (" ".join(items[1:-1]), coder.render(ids[first : len(ids) - last]))
+        return [(items[0], coder.render(ids[:first])), middle, (items[-1], coder.render(ids[len(ids) - last :]))]
 
     def encode_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(tokenizer)
@@ -206,8 +214,13 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
             for text, given in zip(batch["text"], batch["given"].to_pylist(), strict=True):
                 given = {x["chunk"]: x["codes"] for x in given or ()}
                 texts, keys = chunks_of(text.as_py() or "")
-                codes = [unpack(coder, given[k]) if k in given else coder.encode(t) for t, k in zip(texts, keys, strict=True)]
-                parts = [c for c in coder.joined(texts, codes) if c[0]]
+                known: dict[bytes, list] = {}
+                parts = []
+                for part, k in zip(texts, keys, strict=True):
+                    if k in given and k not in known:
+                        known[k] = unpack(coder, part, given[k])
+                    parts.append(known[k] if k in known else coder.encode(part))
+                parts = [c for c in coder.joined(texts, parts) if c[0]]
                 ids, names = " ".join([c[0] for c in parts]), " ".join([c[1] for c in parts])
                 n = ids.count(" ") + 1 if ids else 0
                 rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(names.encode()).hexdigest()))
@@ -215,11 +228,11 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_key": batch["doc_key"], "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())})
 
     texts = docs.select(doc_key().alias("doc_key"), "text")
-    found = saved(in_arrow(texts, _find_chunks, "chunk binary, doc_key long, seq int"))
-    shared = found.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("doc_key").alias("doc_key")).filter("n > 1")
+    found = saved(in_arrow(texts, _find_chunks, "chunk binary, doc_key long, again boolean"))
+    shared = found.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.bool_or("again").alias("again"), F.min("doc_key").alias("doc_key")).filter("n > 1 or again")
     owned = shared.groupBy("doc_key").agg(F.collect_list("chunk").alias("owned"))
     encoded = in_arrow(texts.join(owned, "doc_key").select("text", "owned"), encode_shared, "chunk binary, codes binary")
     encoded = encoded.groupBy("chunk").agg(F.first("codes").alias("codes"))
-    given = found.select("chunk", "doc_key").distinct().join(encoded, "chunk").groupBy("doc_key").agg(F.collect_list(F.struct("chunk", "codes")).alias("given"))
+    given = found.select("chunk", "doc_key").join(encoded, "chunk").groupBy("doc_key").agg(F.collect_list(F.struct("chunk", "codes")).alias("given"))
     done = in_arrow(texts.join(given, "doc_key", "left").select("doc_key", "text", "given"), encode_rest, "doc_key long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return done.select(from_key().alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
