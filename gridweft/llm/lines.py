@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweft.llm.common import doc_key, from_key, in_arrow, running_before, saved, written
+from gridweft.llm.common import doc_key, from_key, in_arrow, running_before, written
 
 #: A repeated run is deleted from so many lines on, or if its first line alone is so long.
 MIN_LINES, LONG_LINE = 2, 100
@@ -61,7 +61,7 @@ class SuffixArray:
         settled, open_ = None, start
         while True:
             h = 1 << (len(self.levels) - 1)
-            ahead = self._at(open_.withColumn("ahead", F.col("line") + h), "ahead", "next")
+            ahead = self._at(open_.withColumn("ahead", F.col("line") + h), "doc_key", "ahead", "next")
             ahead = ahead.withColumn("next", F.coalesce("next", F.lit(-1)))
             counts = ahead.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("size"))
             counts = running_before(counts, ["rank"], ["next"], "size", F.floor(F.col("next") / self.width), "before")
@@ -74,12 +74,10 @@ class SuffixArray:
             if open_.limit(1).count() == 0:
                 return
 
-    def _at(self, rows: DataFrame, place: str, name: str, level: int = -1) -> DataFrame:
-        """Adds the rank of the suffix at (doc_key, place) by 2^level lines; null after the document's end."""
-        ranks = self.levels[level].select("doc_key", F.col("line").alias(place), F.col("rank").alias("_repeated"))
-        unique = self.first.filter("size = 1").select("doc_key", F.col("line").alias(place), F.col("rank").alias("_unique"))
-        out = rows.join(ranks.unionByName(unique.withColumnRenamed("_unique", "_repeated")), ["doc_key", place], "left")
-        return out.withColumnRenamed("_repeated", name)
+    def _at(self, rows: DataFrame, doc: str, place: str, name: str, level: int = -1) -> DataFrame:
+        """Adds the rank by 2^level lines of the suffix at (doc, place); null after the document's end."""
+        ranks = self.levels[level].union(self.first.filter("size = 1").select("doc_key", "line", "rank")).toDF(doc, place, name)
+        return rows.join(ranks, [doc, place], "left")
 
     def order(self) -> DataFrame:
         """(index, doc_key, line) of the suffixes whose first line repeats: the suffix array there.
@@ -95,18 +93,113 @@ class SuffixArray:
         return 1 if low is None else (high - low) // max(1, self.n // _ROWS_A_BUCKET) + 1
 
     def common(self) -> DataFrame:
-        """(index, doc_key, line, lcp): lines that each suffix of order() shares with the one before it."""
+        """(index, doc_key, line, doc_b, line_b, lcp): lines that each suffix of order() shares with the one before it.
+
+        The length grows by the levels, longest first, as long as the ranks of what follows agree.
+        """
         array = written(self.order())
         before = array.select((F.col("index") + 1).alias("index"), F.col("doc_key").alias("doc_b"), F.col("line").alias("line_b"))
-        pairs = array.join(before, "index").withColumn("lcp", F.lit(0).cast("long"))
+        pairs = array.join(before, "index", "left").withColumn("lcp", F.lit(0).cast("long"))
         for level in range(len(self.levels) - 2, -1, -1):
-            own = self._at(pairs.withColumn("_p", F.col("line") + F.col("lcp")), "_p", "_own", level).drop("_p")
-            other = self.levels[level].unionByName(self.first.filter("size = 1").select("doc_key", "line", "rank")).toDF("doc_b", "_q", "_other")
-            both = own.withColumn("_q", F.col("line_b") + F.col("lcp")).join(other, ["doc_b", "_q"], "left").drop("_q")
-            step = F.when((F.col("_own") == F.col("_other")) & self._whole("_own", level), 1 << level).otherwise(0)
-            pairs = both.withColumn("lcp", F.col("lcp") + step).drop("_own", "_other")
-        return pairs
-
-    @staticmethod
-    def _whole(column: str, level: int):
-        return F.col(column).isNotNull()
+            pairs = self._at(pairs.withColumn("_p", F.col("line") + F.col("lcp")), "doc_key", "_p", "_own", level)
+            pairs = self._at(pairs.withColumn("_q", F.col("line_b") + F.col("lcp")), "doc_b", "_q", "_other", level)
+            step = F.when(F.col("_own") == F.col("_other"), 1 << level).otherwise(0)
+            pairs = written(pairs.select("index", "doc_key", "line", "doc_b", "line_b", (F.col("lcp") + step).alias("lcp")))
+        ends = self.first.groupBy("doc_key").agg((F.max("line") + 1).alias("_n"))  # equal to the end: a level may have passed it
+        return written(pairs.join(ends, "doc_key").withColumn("lcp", F.least("lcp", F.col("_n") - F.col("line"))).drop("_n"))
+
+
+def later_copies(array: SuffixArray, runs: DataFrame, min_lines: int) -> DataFrame:
+    """(doc_key, line) of the lines that later copies of repeated runs cover.
+
+    An interval of the suffix array in which neighbours share d lines or more holds all
+    copies of a run of d lines; all but the first of them in document order go, and with
+    them every line of longer runs, whose suffixes lie in such intervals too.
+    """
+    out = None
+    for depth, rows in ((1, array.first.filter("long and size > 1").select("doc_key", "line")), (min_lines, None)):
+        marked = runs.withColumn("cut", (F.col("lcp") < depth).cast("long"))
+        marked = running_before(marked, [], ["index"], "cut", F.floor(F.col("index") / array.width), "before")
+        marked = marked.select("doc_key", "line", (F.col("before") + F.col("cut")).alias("interval"))
+        heads = marked.groupBy("interval").agg(F.min(F.struct("doc_key", "line")).alias("head"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+        later = marked.join(heads, "interval").filter(F.struct("doc_key", "line") > F.col("head")).select("doc_key", "line")
+        if rows is not None:
+            later = later.join(rows, ["doc_key", "line"], "left_semi")
+        later = later.withColumn("line", F.explode(F.sequence(F.col("line"), F.col("line") + depth - 1)))
+        out = later if out is None else out.union(later)
+    return out
+
+
+def _keep(text: str, gone: set[int]) -> str:
+    if not gone:
+        return text
+    kept, place = [], 0
+    for line in _lines(text):
+        if line.strip(_BLANK):
+            place += 1
+            if place - 1 in gone:
+                continue
+        kept.append(line)
+    return "\n".join(kept)
+
+
+def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [t.as_py() for t in batch["text"]]
+        gone = [set(g or ()) for g in batch["gone"].to_pylist()]
+        kept = [_keep(t, g) if t else t for t, g in zip(texts, gone, strict=True)]
+        n = [sum(bool(x.strip(_BLANK)) for x in _lines(t or "")) for t in texts]
+        yield pa.RecordBatch.from_pydict({"doc_key": batch["doc_key"], "n_lines": pa.array(n, pa.int64()), "n_removed": pa.array([len(g) for g in gone], pa.int64()), "longest_repeat": batch["longest"], "kept": pa.array(kept, pa.string())})
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _finish(batches):
+        sums = [hashlib.sha256((t.as_py() or "").encode("utf-8", "surrogatepass")).hexdigest() for t in batch["kept"]]
+        yield batch.drop_columns(["kept"]).append_column("kept_sha256", pa.array(sums, pa.string()))
+
+
+def removed_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """(doc_key, gone array, longest): places of the lines to delete among a document's lines
+    that aren't blank, and the longest run of its lines that stands elsewhere too."""
+    array = SuffixArray(docs)
+    runs = array.common()
+    gone = later_copies(array, runs, min_lines).groupBy("doc_key").agg(F.collect_set("line").alias("gone"))
+    ends = runs.select("doc_key", "lcp").union(runs.filter("doc_b is not null").select("doc_b", "lcp"))
+    longest = ends.groupBy("doc_key").agg(F.max("lcp").alias("longest"))
+    return longest.join(gone, "doc_key", "left")
+
+
+def without_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, digest: bool = False) -> DataFrame:
+    """(doc_id, n_lines, n_removed, longest_repeat, kept): each text without later copies of repeated line runs.
+
+    A run counts if it has min_lines lines or more, or is a line of 100 characters or more;
+    its first copy, by doc_id and then place, stays and the others' lines go. Lines are what
+    newlines separate; blank ones (spaces, tabs, returns) break no run, count for none and
+    stay. digest=True returns kept_sha256 in place of kept.
+
+    A null text stays null and an empty one empty, both without lines; a null doc_id sorts
+    first; rows that repeat a doc_id count as one document, whose lines are those of the
+    texts together by place. An empty table gives no rows.
+    """
+    found = removed_lines(docs, min_lines)
+    texts = docs.select(doc_key().alias("doc_key"), "text").join(found, "doc_key", "left")
+    texts = texts.select("doc_key", "text", "gone", F.coalesce("longest", F.lit(0)).alias("longest"))
+    last = "kept_sha256" if digest else "kept"
+    out = in_arrow(texts, _digest if digest else _finish, f"doc_key long, n_lines long, n_removed long, longest_repeat long, {last} string")
+    return out.select(from_key().alias("doc_id"), "n_lines", "n_removed", "longest_repeat", last)
+
+
+def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+    """The documents with the texts that without_repeated_lines keeps, every row and column; n_chars, if there, follows."""
+    found = removed_lines(docs, min_lines).select(F.col("doc_key").alias("_key"), F.col("gone").alias("_gone"))
+    columns, at = docs.columns, docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_keep(t, set(g)) if t and g else t for t, g in zip(batch.column(at).to_pylist(), batch["_gone"].to_pylist(), strict=True)]
+            arrays = [pa.array(texts, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(len(columns))]
+            yield pa.RecordBatch.from_arrays(arrays, columns)
+
+    joined = docs.withColumn("_key", doc_key()).join(found, "_key", "left").select(*[docs[c] for c in columns], "_gone")
+    out = in_arrow(joined, keep, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweft.llm import chunks, counts, mixing, simhash, substring, token_files, tokens, topk, toxicity, weighted
+from gridweft.llm import chunks, counts, lines, mixing, simhash, substring, token_files, tokens, topk, toxicity, weighted
 from gridweft.llm.common import read_documents
 
 
@@ -28,6 +28,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.without_repeated_lines(read_documents(spark, sf_dir), digest=True)
+
+
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
@@ -51,6 +55,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lines": op1_lines,
     "op2_top_k": op2_top_k,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
