@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweft.llm.common import doc_key, from_key, in_arrow, running_before, written
+from gridweft.llm.common import NULL_ID, doc_key, from_key, in_arrow, running_before, written
 
 #: A repeated run is deleted from so many lines on, or if its first line alone is so long.
 MIN_LINES, LONG_LINE = 2, 100
@@ -25,72 +25,79 @@ def _lines(text: str) -> list[str]:
 
 
 def _find_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines of each text that aren't blank, numbered, by 128-bit hashes."""
+    """The lines of each text that aren't blank, numbered, by 128-bit hashes; n is how many the text has."""
     for batch in batches:
-        docs, places, hashes, long = [], [], [], []
+        docs, places, hashes, long, many = [], [], [], [], []
         for key, text in zip(batch["doc_key"].to_pylist(), batch["text"], strict=True):
             found = [x for x in _lines(text.as_py() or "") if x.strip(_BLANK)]
             docs += [key] * len(found)
             places += range(len(found))
             hashes += [xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in found]
             long += [len(x) >= LONG_LINE for x in found]
+            many += [len(found)] * len(found)
         pair = np.frombuffer(b"".join(hashes), ">i8").astype(np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_pydict({"doc_key": pa.array(docs, pa.int64()), "line": pa.array(places, pa.int64()), "h1": pair[:, 0].copy(), "h2": pair[:, 1].copy(), "long": pa.array(long, pa.bool_())})
+        yield pa.RecordBatch.from_pydict({"doc_key": pa.array(docs, pa.int64()), "line": pa.array(places, pa.int32()), "h1": pair[:, 0].copy(), "h2": pair[:, 1].copy(), "long": pa.array(long, pa.bool_()), "n": pa.array(many, pa.int32())})
 
 
 class SuffixArray:
     """Ranks of the suffixes of line-id sequences, and the lengths of their common prefixes.
 
-    rank[k] holds, of every suffix whose first line repeats, how many suffixes are smaller by
-    their first 2^k lines; one that ends sooner is smaller. Suffixes are known by (doc_key,
-    line). A suffix whose first line is unique has its final rank at once, so only the others
-    go through the rounds, and of them only groups not yet told apart.
+    Lines that repeat are smaller than lines that don't, the former in the order of their
+    hashes, the latter in that of document and place. levels[k] holds, of every suffix whose
+    first line repeats, how many such suffixes are smaller by their first 2^k lines; one that
+    ends sooner is smaller. Suffixes are known by (doc_key, line). Those whose first line is
+    unique share no prefix with any other and need no rank: as the next lines of others they
+    tell these apart by their place. Only groups not yet told apart go through further rounds.
     """
 
     def __init__(self, docs: DataFrame):
-        rows = in_arrow(docs.select(doc_key().alias("doc_key"), "text"), _find_lines, "doc_key long, line long, h1 long, h2 long, long boolean")
-        rows = written(rows.dropDuplicates(["doc_key", "line"]))
-        self.n = rows.count()
-        bits = max(4, min(30, math.ceil(math.log2(max(1, self.n / _ROWS_A_BUCKET)))))
-        self.width = max(1, self.n >> bits)
-        ids = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("size"))
+        texts = docs.select(doc_key().alias("doc_key"), "text")
+        rows = in_arrow(texts, _find_lines, "doc_key long, line int, h1 long, h2 long, long boolean, n int")
+        low, high, n, repeated = texts.groupBy("doc_key").count().agg(F.min(F.when(F.col("doc_key") > NULL_ID, F.col("doc_key"))), F.max("doc_key"), F.count(F.lit(1)), F.max("count")).first()
+        if repeated and repeated > 1:
+            rows = rows.groupBy("doc_key", "line").agg(F.min("h1").alias("h1"), F.min("h2").alias("h2"), F.bool_or("long").alias("long"), F.max("n").alias("n"))
+        self.spread = 1 if low is None else (high - low) // max(1, n // _ROWS_A_BUCKET) + 1
+        bits = max(4, min(30, math.ceil(math.log2(max(1, n / _ROWS_A_BUCKET)))))
+        ids = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         ids = running_before(ids, [], ["h1", "h2"], "size", F.shiftright("h1", 64 - bits), "rank")
-        self.first = written(rows.join(ids, ["h1", "h2"]).select("doc_key", "line", "long", "rank", "size"))
-        start = self.first.filter("size > 1").select("doc_key", "line", "rank")
-        self.levels = [start]
-        settled, open_ = None, start
+        self.start = written(rows.join(ids, ["h1", "h2"]).select("doc_key", "line", "n", "long", "rank"))
+        total = self.start.count()
+        self.width = max(1, total >> bits)
+        open_ = self.start.select("doc_key", "line", "n", "rank")
+        self.levels, settled = [open_], None
         while True:
             h = 1 << (len(self.levels) - 1)
-            ahead = self._at(open_.withColumn("ahead", F.col("line") + h), "doc_key", "ahead", "next")
-            ahead = ahead.withColumn("next", F.coalesce("next", F.lit(-1)))
-            counts = ahead.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("size"))
-            counts = running_before(counts, ["rank"], ["next"], "size", F.floor(F.col("next") / self.width), "before")
-            moved = written(ahead.select("doc_key", "line", "rank", "next").join(counts, ["rank", "next"]).select("doc_key", "line", (F.col("rank") + F.col("before")).alias("rank"), ((F.col("size") > 1) & (F.col("next") >= 0)).alias("open")))
+            ahead = self._at(open_.withColumn("ahead", F.col("line") + h), "doc_key", "ahead", "next", -1)
+            ends = F.col("line") + h >= F.col("n")
+            unique = F.col("next").isNull() & ~ends
+            ahead = ahead.withColumn("doc_u", F.when(unique, F.col("doc_key"))).withColumn("line_u", F.when(unique, F.col("line")))
+            ahead = ahead.withColumn("next", F.when(ends, -1).when(unique, total).otherwise(F.col("next")))
+            ahead = ahead.withColumn("doc_u", F.coalesce("doc_u", F.lit(0))).withColumn("line_u", F.coalesce("line_u", F.lit(0)))
+            key = ["rank", "next", "doc_u", "line_u"]
+            counts = ahead.groupBy(*key).agg(F.count(F.lit(1)).alias("size"))
+            place = F.when(F.col("next") < total, F.struct(F.floor(F.col("next") / self.width).alias("a"), F.lit(0).cast("long").alias("b"))).otherwise(F.struct(F.lit(total).cast("long").alias("a"), F.floor(F.col("doc_u") / self.spread).alias("b")))
+            counts = running_before(counts, ["rank"], ["next", "doc_u", "line_u"], "size", place, "before")
+            moved = written(ahead.join(counts, key).select("doc_key", "line", "n", (F.col("rank") + F.col("before")).alias("rank"), ((F.col("size") > 1) & (F.col("next") >= 0)).alias("open")))
             done = moved.filter(~F.col("open")).drop("open")
             open_ = moved.filter("open").drop("open")
-            level = moved.drop("open") if settled is None else settled.union(moved.drop("open"))
+            self.levels.append(moved.drop("open") if settled is None else settled.union(moved.drop("open")))
             settled = done if settled is None else settled.union(done)
-            self.levels.append(level)
             if open_.limit(1).count() == 0:
                 return
 
-    def _at(self, rows: DataFrame, doc: str, place: str, name: str, level: int = -1) -> DataFrame:
-        """Adds the rank by 2^level lines of the suffix at (doc, place); null after the document's end."""
-        ranks = self.levels[level].union(self.first.filter("size = 1").select("doc_key", "line", "rank")).toDF(doc, place, name)
+    def _at(self, rows: DataFrame, doc: str, place: str, name: str, level: int) -> DataFrame:
+        """Adds the rank by 2^level lines of the suffix at (doc, place); null after the end and at unique lines."""
+        ranks = self.levels[level].select(F.col("doc_key").alias(doc), F.col("line").alias(place), F.col("rank").alias(name))
         return rows.join(ranks, [doc, place], "left")
 
     def order(self) -> DataFrame:
-        """(index, doc_key, line) of the suffixes whose first line repeats: the suffix array there.
+        """(index, doc_key, line, n) of the suffixes whose first line repeats: the suffix array there.
 
         Suffixes equal to their documents' ends stand in order of document and line.
         """
         ranked = self.levels[-1].withColumn("one", F.lit(1))
-        spread = F.floor(F.col("doc_key") / max(1, self._spread()))
-        return running_before(ranked, ["rank"], ["doc_key", "line"], "one", spread, "before").select((F.col("rank") + F.col("before")).alias("index"), "doc_key", "line")
-
-    def _spread(self) -> int:
-        low, high = self.levels[-1].filter(F.col("doc_key") > -(2**62)).agg(F.min("doc_key"), F.max("doc_key")).first()
-        return 1 if low is None else (high - low) // max(1, self.n // _ROWS_A_BUCKET) + 1
+        before = running_before(ranked, ["rank"], ["doc_key", "line"], "one", F.floor(F.col("doc_key") / self.spread), "before")
+        return before.select((F.col("rank") + F.col("before")).alias("index"), "doc_key", "line", "n")
 
     def common(self) -> DataFrame:
         """(index, doc_key, line, doc_b, line_b, lcp): lines that each suffix of order() shares with the one before it.
@@ -99,14 +106,14 @@ class SuffixArray:
         """
         array = written(self.order())
         before = array.select((F.col("index") + 1).alias("index"), F.col("doc_key").alias("doc_b"), F.col("line").alias("line_b"))
-        pairs = array.join(before, "index", "left").withColumn("lcp", F.lit(0).cast("long"))
+        pairs = array.join(before, "index", "left").withColumn("lcp", F.lit(0))
         for level in range(len(self.levels) - 2, -1, -1):
             pairs = self._at(pairs.withColumn("_p", F.col("line") + F.col("lcp")), "doc_key", "_p", "_own", level)
             pairs = self._at(pairs.withColumn("_q", F.col("line_b") + F.col("lcp")), "doc_b", "_q", "_other", level)
             step = F.when(F.col("_own") == F.col("_other"), 1 << level).otherwise(0)
-            pairs = written(pairs.select("index", "doc_key", "line", "doc_b", "line_b", (F.col("lcp") + step).alias("lcp")))
-        ends = self.first.groupBy("doc_key").agg((F.max("line") + 1).alias("_n"))  # equal to the end: a level may have passed it
-        return written(pairs.join(ends, "doc_key").withColumn("lcp", F.least("lcp", F.col("_n") - F.col("line"))).drop("_n"))
+            pairs = pairs.select("index", "doc_key", "line", "n", "doc_b", "line_b", (F.col("lcp") + step).alias("lcp"))
+        # suffixes that are equal to their ends have equal ranks at levels that reach beyond
+        return written(pairs.withColumn("lcp", F.least("lcp", F.col("n") - F.col("line")).cast("long")).drop("n"))
 
 
 def later_copies(array: SuffixArray, runs: DataFrame, min_lines: int) -> DataFrame:
@@ -117,7 +124,7 @@ def later_copies(array: SuffixArray, runs: DataFrame, min_lines: int) -> DataFra
     them every line of longer runs, whose suffixes lie in such intervals too.
     """
     out = None
-    for depth, rows in ((1, array.first.filter("long and size > 1").select("doc_key", "line")), (min_lines, None)):
+    for depth, rows in ((1, array.start.filter("long").select("doc_key", "line")), (min_lines, None)):
         marked = runs.withColumn("cut", (F.col("lcp") < depth).cast("long"))
         marked = running_before(marked, [], ["index"], "cut", F.floor(F.col("index") / array.width), "before")
         marked = marked.select("doc_key", "line", (F.col("before") + F.col("cut")).alias("interval"))
