@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gridweft.llm.common import doc_key, from_key, in_arrow, partitions
 
@@ -109,15 +108,6 @@ _DEALT = "bucket int, known boolean, body binary"
 _OF_DOC = "doc_key long, items binary"
 
 
-def _by_doc(docs: np.ndarray, items: np.ndarray) -> pa.RecordBatch:
-    """One row for each document with its items."""
-    order = np.argsort(docs, kind="stable")
-    docs, items = docs[order], items[order]
-    found, first = np.unique(docs, return_index=True)
-    ends = [*first[1:].tolist(), len(docs)]
-    return pa.RecordBatch.from_pydict({"doc_key": pa.array(found), "items": pa.array([items[s:e].tobytes() for s, e in zip(first.tolist(), ends, strict=True)], pa.binary())})
-
-
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[bytes]]]:
     """(bucket, asked bodies, known bodies) of rows sorted by bucket."""
     now, asked, known = None, [], []
@@ -151,7 +141,7 @@ def _anchors(bits: int):
             flag = many[fresh].astype(np.uint8)
             yield _dealt((h[fresh] >> np.uint64(64 - bits)).astype(np.int64), False, [h[fresh], d[fresh], flag])
             if many.any():
-                yield _dealt(_doc_bucket(d[many], bits), True, [h[many], d[many]])
+                yield _dealt(_doc_bucket(d[many], bits), True, [d[many], h[many].view(np.int64)])
 
         for batch in batches:
             for key, text in zip(batch["doc_key"].to_pylist(), batch["text"], strict=True):
@@ -173,24 +163,28 @@ def _anchors(bits: int):
     return emit
 
 
-def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors that stand at two places or more, for the documents that hold them."""
-    for _, asked, known in _grouped(batches):
-        docs, items = [], []
-        if asked:
+def _passed_on(known: list[bytes], bucket: int) -> Iterator[pa.RecordBatch]:
+    """Known rows as they are; they were dealt by document from the start."""
+    for body in known:
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "known": pa.array([True], pa.bool_()), "body": pa.array([body], pa.binary())})
+
+
+def _repeated_anchors(bits: int):
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Anchors that stand at two places or more, dealt by the documents that hold them."""
+        for bucket, asked, known in _grouped(batches):
+            yield from _passed_on(known, bucket)
+            if not asked:
+                continue
             h, d, flag = (np.concatenate(c) for c in zip(*[_unpack(b, [np.uint64, np.int64, np.uint8]) for b in asked], strict=True))
             order = np.argsort(h, kind="stable")
             h, d, flag = h[order], d[order], flag[order]
             same = h[1:] == h[:-1]
             shared = (np.concatenate([[False], same]) | np.concatenate([same, [False]])) & (flag == 0)
-            docs.append(d[shared])
-            items.append(h[shared])
-        for body in known:
-            h, d = _unpack(body, [np.uint64, np.int64])
-            docs.append(d)
-            items.append(h)
-        if sum(map(len, docs)):
-            yield _by_doc(np.concatenate(docs), np.concatenate(items))
+            if shared.any():
+                yield _dealt(_doc_bucket(d[shared], bits), True, [d[shared], h[shared].view(np.int64)])
+
+    return settle
 
 
 def _windows(bits: int):
@@ -211,20 +205,20 @@ def _windows(bits: int):
                 yield _dealt(_doc_bucket(d[later], bits), True, [d[later], s[later]])
 
         for batch in batches:
-            for key, text, lists in zip(batch["doc_key"].to_pylist(), batch["text"], batch["lists"], strict=True):
+            for key, text, lists in zip(batch["doc_key"].to_pylist(), batch["text"], batch["items"], strict=True):
                 lanes = word_hashes((text.as_py() or "").encode("utf-8", "surrogatepass"), 2)
                 n = len(lanes[0])
                 if n < WINDOW:
                     continue
                 places = anchor_places(n)
-                repeated = np.frombuffer(b"".join(lists.as_py()), np.uint64)
+                repeated = np.frombuffer(lists.as_py(), np.uint64)
                 hit = places[np.isin(run_hashes(lanes[0], 0, ANCHOR, places), repeated)]
                 marks = np.zeros(n + 2, np.int32)
                 np.add.at(marks, np.maximum(0, hit - PERIOD + 1), 1)
                 np.add.at(marks, hit + 1, -1)
                 at = np.flatnonzero(np.cumsum(marks)[: n - WINDOW + 1] > 0)
                 if len(at):
-                    parts.append((run_hashes(lanes[0], 0, WINDOW, at), run_hashes(lanes[1], 1, WINDOW, at).astype(np.uint32), np.full(len(at), key, np.int64), at.astype(np.uint32)))
+                    parts.append((run_hashes(lanes[0], 0, WINDOW, at), run_hashes(lanes[1], 1, WINDOW, at).astype(np.uint32), np.full(len(at), key, np.int64), at.astype(np.int64)))
                     held += len(at)
                 if held >= _GROUP:
                     yield from flush()
@@ -235,25 +229,34 @@ def _windows(bits: int):
     return emit
 
 
-def _later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Starts of the windows that also start earlier, for the documents that hold them."""
-    for _, asked, known in _grouped(batches):
-        docs, items = [], []
-        if asked:
-            a, b, d, s = (np.concatenate(c) for c in zip(*[_unpack(x, [np.uint64, np.uint32, np.int64, np.uint32]) for x in asked], strict=True))
+def _later_windows(bits: int):
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Starts of the windows that also start earlier, dealt by the documents that hold them."""
+        for bucket, asked, known in _grouped(batches):
+            yield from _passed_on(known, bucket)
+            if not asked:
+                continue
+            a, b, d, s = (np.concatenate(c) for c in zip(*[_unpack(x, [np.uint64, np.uint32, np.int64, np.int64]) for x in asked], strict=True))
             order = np.lexsort((s, d, b, a))
             a, b, d, s = a[order], b[order], d[order], s[order]
             first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
             lead = np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
             later = (d != d[lead]) | (s != s[lead])
-            docs.append(d[later])
-            items.append(s[later])
-        for body in known:
-            d, s = _unpack(body, [np.int64, np.uint32])
-            docs.append(d)
-            items.append(s)
-        if sum(map(len, docs)):
-            yield _by_doc(np.concatenate(docs), np.concatenate(items))
+            if later.any():
+                yield _dealt(_doc_bucket(d[later], bits), True, [d[later], s[later]])
+
+    return settle
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document with all its items, 64 bits each."""
+    for _, _, known in _grouped(batches):
+        docs, items = (np.concatenate(c) for c in zip(*[_unpack(b, [np.int64, np.int64]) for b in known], strict=True))
+        order = np.argsort(docs, kind="stable")
+        docs, items = docs[order], items[order]
+        found, first = np.unique(docs, return_index=True)
+        ends = [*first[1:].tolist(), len(docs)]
+        yield pa.RecordBatch.from_pydict({"doc_key": pa.array(found), "items": pa.array([items[s:e].tobytes() for s, e in zip(first.tolist(), ends, strict=True)], pa.binary())})
 
 
 def kept_words(text: str, starts: np.ndarray) -> tuple[list[bytes], int]:
@@ -271,8 +274,8 @@ def kept_words(text: str, starts: np.ndarray) -> tuple[list[bytes], int]:
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, removed, kept = [], [], []
-        for text, lists in zip(batch["text"], batch["lists"], strict=True):
-            starts = np.unique(np.frombuffer(b"".join(lists.as_py() or ()), np.uint32))
+        for text, items in zip(batch["text"], batch["items"], strict=True):
+            starts = np.unique(np.frombuffer(items.as_py() or b"", np.int64))
             words, every = kept_words(text.as_py() or "", starts)
             n.append(every)
             removed.append(every - len(words))
@@ -290,9 +293,9 @@ def _bucket_bits(spark: SparkSession) -> int:
     return max(4, (4 * partitions(spark) - 1).bit_length())
 
 
-def _exchanged(df: DataFrame, step, bits: int) -> DataFrame:
+def _exchanged(df: DataFrame, step, schema: str) -> DataFrame:
     """step over packed rows, all rows of a bucket in one task."""
-    return in_arrow(df.repartition(partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket"), step, _OF_DOC)
+    return in_arrow(df.repartition(partitions(df.sparkSession), "bucket").sortWithinPartitions("bucket"), step, schema)
 
 
 def without_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
@@ -312,11 +315,11 @@ def without_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     """
     bits = _bucket_bits(docs.sparkSession)
     texts = docs.select(doc_key().alias("doc_key"), "text")
-    anchors = _exchanged(in_arrow(texts, _anchors(bits), _DEALT), _repeated_anchors, bits)
-    wanted = anchors.groupBy("doc_key").agg(F.collect_list("items").alias("lists"))
+    anchors = _exchanged(in_arrow(texts, _anchors(bits), _DEALT), _repeated_anchors(bits), _DEALT)
+    wanted = _exchanged(anchors, _gathered, _OF_DOC)
     windows = in_arrow(texts.join(wanted, "doc_key"), _windows(bits), _DEALT)
-    starts = _exchanged(windows, _later_windows, bits).groupBy("doc_key").agg(F.collect_list("items").alias("lists"))
-    rows = texts.join(starts, "doc_key", "left").select("doc_key", "text", "lists")
+    starts = _exchanged(_exchanged(windows, _later_windows(bits), _DEALT), _gathered, _OF_DOC)
+    rows = texts.join(starts, "doc_key", "left").select("doc_key", "text", "items")
     if digest:
         return in_arrow(rows, _digest, "doc_key long, n_words long, n_removed long, kept_sha256 string").withColumn("doc_id", from_key()).drop("doc_key")
     return in_arrow(rows, _finish, "doc_key long, n_words long, n_removed long, kept string").withColumn("doc_id", from_key()).drop("doc_key")
