@@ -147,7 +147,8 @@ class NetCdfReader(_Reader):
 def _pushing(reader: type[_Reader]) -> type[_Reader]:
     """The reader with comparisons of row, col and band by literals turned into its options.
 
-    Only used where the session allows push-down; all filters are applied again by Spark.
+    Used with the option push=true, which needs spark.sql.python.filterPushdown.enabled on the
+    session; all filters are applied again by Spark.
     """
 
     class Pushing(reader):
@@ -175,9 +176,7 @@ class _Source(DataSource):
         return CELLS
 
     def reader(self, schema) -> DataSourceReader:
-        spark = SparkSession.getActiveSession()
-        push = bool(spark) and spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") == "true"
-        return (_pushing(self.reader_class) if push or self.options.get("push") == "true" else self.reader_class)(self.options)
+        return (_pushing(self.reader_class) if self.options.get("push") == "true" else self.reader_class)(self.options)
 
 
 class GeoTiffSource(_Source):
