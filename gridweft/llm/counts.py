@@ -73,6 +73,7 @@ def allocate(spans: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[n
 
 def even_sections(length: Column, chars: int = SECTION_CHARS) -> Column:
     """array<struct<start,end>> of consecutive sections of so many characters; one at least."""
+    length = F.coalesce(length, F.lit(0))
     return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((length - 1) / chars)).cast("int")), lambda k: F.struct((k * chars).alias("start"), F.least((k + 1) * chars, length).alias("end")))
 
 

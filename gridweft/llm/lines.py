@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweft.llm.common import NULL_ID, doc_key, from_key, in_arrow, running_before, written
+from gridweft.llm.common import NULL_ID, doc_key, from_key, in_arrow, running_before, spare, written
 
 #: A repeated run is deleted from so many lines on, or if its first line alone is so long.
 MIN_LINES, LONG_LINE = 2, 100
@@ -198,15 +198,16 @@ def without_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, digest:
 
 def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """The documents with the texts that without_repeated_lines keeps, every row and column; n_chars, if there, follows."""
-    found = removed_lines(docs, min_lines).select(F.col("doc_key").alias("_key"), F.col("gone").alias("_gone"))
+    key, gone = spare(docs, "_key", "_gone")
+    found = removed_lines(docs, min_lines).select(F.col("doc_key").alias(key), F.col("gone").alias(gone))
     columns, at = docs.columns, docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [_keep(t, set(g)) if t and g else t for t, g in zip(batch.column(at).to_pylist(), batch["_gone"].to_pylist(), strict=True)]
+            texts = [_keep(t, set(g)) if t and g else t for t, g in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True)]
             arrays = [pa.array(texts, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(len(columns))]
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    joined = docs.withColumn("_key", doc_key()).join(found, "_key", "left").select(*[docs[c] for c in columns], "_gone")
+    joined = docs.withColumn(key, doc_key()).join(found, key, "left").select(*columns, gone)
     out = in_arrow(joined, keep, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridweft.llm.common import WORD_PATTERN, running_before, saved
+from gridweft.llm.common import WORD_PATTERN, running_before, saved, spare
 
 GOLDEN = 0.6180339887498949
 SOURCE_WEIGHTS = (5, 2, 1)
@@ -103,7 +103,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents as the mix takes them: each as many times as the words taken make its
     passages, a rest of half a passage or more counting as one. Documents without words,
     which no slot can take, stay once. Rows that repeat share what was taken of them."""
+    id_, source, size, copies, words, copy = spare(docs, "_id", "_source", "_size", "_copies", "_words", "_copy")
     share = mix(docs, **options).groupBy("doc_id", "source", "size").agg((F.sum("taken") / F.count(F.lit(1))).alias("taken"))
-    share = share.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_copies"))
-    joined = docs.withColumn("_words", word_count("text")).join(share, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")))
-    return joined.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
+    share = share.select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("size").alias(size), times.alias(copies))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(words) == F.col(size))
+    joined = docs.withColumn(words, word_count("text")).join(share, same).filter(F.col(copies) > 0)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

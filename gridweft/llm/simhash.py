@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridweft.llm.common import components, doc_key, from_key, in_arrow, saved
+from gridweft.llm.common import components, doc_key, from_key, in_arrow, saved, spare
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 3, 42
 #: Fixed value: generator polynomial of the binary Golay code of length 23.
@@ -168,7 +168,8 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
 
     Where all ids of a component are null one of its rows stays.
     """
-    keep = near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_key")).distinct()
-    kept = docs.withColumn("_key", doc_key()).join(keep, "_key", "left_semi")
-    first = Window.partitionBy("_key").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*[docs[c] for c in docs.columns])
+    key, number = spare(docs, "_key", "_number")
+    keep = near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(doc_key().alias(key)).distinct()
+    kept = docs.withColumn(key, doc_key()).join(keep, key, "left_semi")
+    first = Window.partitionBy(key).orderBy(F.xxhash64("text"))
+    return kept.withColumn(number, F.row_number().over(first)).filter(F.col(number) == 1).select(*docs.columns)
