@@ -34,11 +34,16 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
+def table_path(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder."""
+    use_checkpoints(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4()}"
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """df as a compressed table in the shared checkpoint folder, read again."""
     spark = df.sparkSession
-    use_checkpoints(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4()}"
+    path = path or table_path(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

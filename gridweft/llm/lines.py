@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweft.llm.common import NULL_ID, doc_key, from_key, in_arrow, running_before, spare, written
+from gridweft.llm.common import NULL_ID, doc_key, from_key, in_arrow, running_before, spare, table_path, written
 
 #: A repeated run is deleted from so many lines on, or if its first line alone is so long.
 MIN_LINES, LONG_LINE = 2, 100
@@ -64,7 +64,7 @@ class SuffixArray:
         total = self.start.count()
         self.width = max(1, total >> bits)
         open_ = self.start.select("doc_key", "line", "n", "rank")
-        self.levels, settled = [open_], None
+        self.levels, root = [open_], table_path(docs.sparkSession)
         while True:
             h = 1 << (len(self.levels) - 1)
             ahead = self._at(open_.withColumn("ahead", F.col("line") + h), "doc_key", "ahead", "next", -1)
@@ -77,11 +77,12 @@ class SuffixArray:
             counts = ahead.groupBy(*key).agg(F.count(F.lit(1)).alias("size"))
             place = F.when(F.col("next") < total, F.struct(F.floor(F.col("next") / self.width).alias("a"), F.lit(0).cast("long").alias("b"))).otherwise(F.struct(F.lit(total).cast("long").alias("a"), F.floor(F.col("doc_u") / self.spread).alias("b")))
             counts = running_before(counts, ["rank"], ["next", "doc_u", "line_u"], "size", place, "before")
-            moved = written(ahead.join(counts, key).select("doc_key", "line", "n", (F.col("rank") + F.col("before")).alias("rank"), ((F.col("size") > 1) & (F.col("next") >= 0)).alias("open")))
-            done = moved.filter(~F.col("open")).drop("open")
-            open_ = moved.filter("open").drop("open")
-            self.levels.append(moved.drop("open") if settled is None else settled.union(moved.drop("open")))
-            settled = done if settled is None else settled.union(done)
+            moved = ahead.join(counts, key).select("doc_key", "line", "n", (F.col("rank") + F.col("before")).alias("rank"), ((F.col("size") > 1) & (F.col("next") >= 0)).alias("open"))
+            now, parts = len(self.levels), [f"{root}/level={k}" for k in range(1, len(self.levels) + 1)]
+            open_ = written(moved, parts[-1]).filter("open").drop("open")
+            # one scan of all rounds, which keeps plans in proportion to their number
+            every = docs.sparkSession.read.schema("doc_key long, line int, n int, rank long, open boolean, level int").option("basePath", root).parquet(*parts)
+            self.levels.append(every.filter(~F.col("open") | (F.col("level") == now)).drop("open", "level"))
             if open_.limit(1).count() == 0:
                 return
 
