@@ -126,7 +126,7 @@ def _doc_bucket(docs: np.ndarray, bits: int) -> np.ndarray:
     return (_mix(docs.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _anchors(bits: int):
+def _anchors(bits: int, doc_bits: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Anchors of documents. What repeats within a task is known and asks once for others."""
         hashes, docs, held = [], [], 0
@@ -141,7 +141,7 @@ def _anchors(bits: int):
             flag = many[fresh].astype(np.uint8)
             yield _dealt((h[fresh] >> np.uint64(64 - bits)).astype(np.int64), False, [h[fresh], d[fresh], flag])
             if many.any():
-                yield _dealt(_doc_bucket(d[many], bits), True, [d[many], h[many].view(np.int64)])
+                yield _to_documents(d[many], h[many].view(np.int64), doc_bits)
 
         for batch in batches:
             for key, text in zip(batch["doc_key"].to_pylist(), batch["text"], strict=True):
@@ -165,29 +165,51 @@ def _anchors(bits: int):
 
 def _passed_on(known: list[bytes], bucket: int) -> Iterator[pa.RecordBatch]:
     """Known rows as they are; they were dealt by document from the start."""
-    for body in known:
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "known": pa.array([True], pa.bool_()), "body": pa.array([body], pa.binary())})
+    if known:
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket] * len(known), pa.int32()), "known": pa.array([True] * len(known), pa.bool_()), "body": pa.array(known, pa.binary())})
+
+
+def _answers(found: Iterator, bits: int) -> Iterator[pa.RecordBatch]:
+    """(docs, items) packed for the documents' buckets over all that a task finds, in steps of bounded size."""
+    docs, items, held = [], [], 0
+    for batch, pair in found:
+        yield from batch
+        if pair is not None and len(pair[0]):
+            docs.append(pair[0])
+            items.append(pair[1])
+            held += len(pair[0])
+        if held >= _GROUP:
+            yield _to_documents(np.concatenate(docs), np.concatenate(items), bits)
+            docs, items, held = [], [], 0
+    if held:
+        yield _to_documents(np.concatenate(docs), np.concatenate(items), bits)
+
+
+def _to_documents(docs: np.ndarray, items: np.ndarray, bits: int) -> pa.RecordBatch:
+    return _dealt(_doc_bucket(docs, bits), True, [docs, items])
 
 
 def _repeated_anchors(bits: int):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator:
+        for bucket, asked, known in _grouped(batches):
+            pair = None
+            if asked:
+                h, d, flag = (np.concatenate(c) for c in zip(*[_unpack(b, [np.uint64, np.int64, np.uint8]) for b in asked], strict=True))
+                order = np.argsort(h, kind="stable")
+                h, d, flag = h[order], d[order], flag[order]
+                same = h[1:] == h[:-1]
+                shared = (np.concatenate([[False], same]) | np.concatenate([same, [False]])) & (flag == 0)
+                pair = d[shared], h[shared].view(np.int64)
+            yield _passed_on(known, bucket), pair
+
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Anchors that stand at two places or more, dealt by the documents that hold them."""
-        for bucket, asked, known in _grouped(batches):
-            yield from _passed_on(known, bucket)
-            if not asked:
-                continue
-            h, d, flag = (np.concatenate(c) for c in zip(*[_unpack(b, [np.uint64, np.int64, np.uint8]) for b in asked], strict=True))
-            order = np.argsort(h, kind="stable")
-            h, d, flag = h[order], d[order], flag[order]
-            same = h[1:] == h[:-1]
-            shared = (np.concatenate([[False], same]) | np.concatenate([same, [False]])) & (flag == 0)
-            if shared.any():
-                yield _dealt(_doc_bucket(d[shared], bits), True, [d[shared], h[shared].view(np.int64)])
+        return _answers(found(batches), bits)
 
     return settle
 
 
-def _windows(bits: int):
+def _windows(bits: int, doc_bits: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Hashes of the windows around repeated anchors. Later ones of a task are known."""
         parts, held = [], 0
@@ -202,7 +224,7 @@ def _windows(bits: int):
             yield _dealt((a[first] >> np.uint64(64 - bits)).astype(np.int64), False, [a[first], b[first], d[first], s[first]])
             later = ~asked
             if later.any():
-                yield _dealt(_doc_bucket(d[later], bits), True, [d[later], s[later]])
+                yield _to_documents(d[later], s[later], doc_bits)
 
         for batch in batches:
             for key, text, lists in zip(batch["doc_key"].to_pylist(), batch["text"], batch["items"], strict=True):
@@ -230,20 +252,22 @@ def _windows(bits: int):
 
 
 def _later_windows(bits: int):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator:
+        for bucket, asked, known in _grouped(batches):
+            pair = None
+            if asked:
+                a, b, d, s = (np.concatenate(c) for c in zip(*[_unpack(x, [np.uint64, np.uint32, np.int64, np.int64]) for x in asked], strict=True))
+                order = np.lexsort((s, d, b, a))
+                a, b, d, s = a[order], b[order], d[order], s[order]
+                first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+                lead = np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
+                later = (d != d[lead]) | (s != s[lead])
+                pair = d[later], s[later]
+            yield _passed_on(known, bucket), pair
+
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Starts of the windows that also start earlier, dealt by the documents that hold them."""
-        for bucket, asked, known in _grouped(batches):
-            yield from _passed_on(known, bucket)
-            if not asked:
-                continue
-            a, b, d, s = (np.concatenate(c) for c in zip(*[_unpack(x, [np.uint64, np.uint32, np.int64, np.int64]) for x in asked], strict=True))
-            order = np.lexsort((s, d, b, a))
-            a, b, d, s = a[order], b[order], d[order], s[order]
-            first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            lead = np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
-            later = (d != d[lead]) | (s != s[lead])
-            if later.any():
-                yield _dealt(_doc_bucket(d[later], bits), True, [d[later], s[later]])
+        return _answers(found(batches), bits)
 
     return settle
 
@@ -289,8 +313,10 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.drop_columns(["kept"]).append_column("kept_sha256", pa.array(sums, pa.string()))
 
 
-def _bucket_bits(spark: SparkSession) -> int:
-    return max(4, (4 * partitions(spark) - 1).bit_length())
+def _bucket_bits(spark: SparkSession) -> tuple[int, int]:
+    """Bits of the buckets of hashes, some for each partition, and of documents, about one for each."""
+    n = partitions(spark)
+    return max(4, (4 * n - 1).bit_length()), max(2, (n - 1).bit_length())
 
 
 def _exchanged(df: DataFrame, step, schema: str) -> DataFrame:
@@ -313,12 +339,12 @@ def without_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     null doc_id sorts first; rows that repeat a doc_id stand for one document, none of them
     earlier than another. An empty table gives no rows.
     """
-    bits = _bucket_bits(docs.sparkSession)
+    bits, doc_bits = _bucket_bits(docs.sparkSession)
     texts = docs.select(doc_key().alias("doc_key"), "text")
-    anchors = _exchanged(in_arrow(texts, _anchors(bits), _DEALT), _repeated_anchors(bits), _DEALT)
+    anchors = _exchanged(in_arrow(texts, _anchors(bits, doc_bits), _DEALT), _repeated_anchors(doc_bits), _DEALT)
     wanted = _exchanged(anchors, _gathered, _OF_DOC)
-    windows = in_arrow(texts.join(wanted, "doc_key"), _windows(bits), _DEALT)
-    starts = _exchanged(_exchanged(windows, _later_windows(bits), _DEALT), _gathered, _OF_DOC)
+    windows = in_arrow(texts.join(wanted, "doc_key"), _windows(bits, doc_bits), _DEALT)
+    starts = _exchanged(_exchanged(windows, _later_windows(doc_bits), _DEALT), _gathered, _OF_DOC)
     rows = texts.join(starts, "doc_key", "left").select("doc_key", "text", "items")
     if digest:
         return in_arrow(rows, _digest, "doc_key long, n_words long, n_removed long, kept_sha256 string").withColumn("doc_id", from_key()).drop("doc_key")
