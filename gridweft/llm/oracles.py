@@ -42,8 +42,8 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = d.
 
 TOP_K = """
 WITH v AS (
-  SELECT vec_id::BIGINT AS vec_id, list_transform(embedding, x -> floor(x::DOUBLE * 256)) AS q FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)
+  SELECT vec_id::BIGINT AS vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
 ), s AS (
   SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
 )
@@ -52,9 +52,9 @@ SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM s WINDOW
 
 SUBSTRINGS = f"""
 WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '{_SPACE}'), lambda x: x <> '') AS ws FROM documents
 ), p AS (
-  SELECT doc_id, unnest(list_transform(generate_series(1, len(ws) - 19), s -> {{'s': s, 'run': array_to_string(ws[s:s + 19], ' ')}})) AS w FROM d WHERE len(ws) >= 20
+  SELECT doc_id, unnest(list_transform(generate_series(1, len(ws) - 19), lambda s: {{'s': s, 'run': array_to_string(ws[s:s + 19], ' ')}})) AS w FROM d WHERE len(ws) >= 20
 ), later AS (
   SELECT doc_id, w.s AS s FROM p QUALIFY row_number() OVER (PARTITION BY w.run ORDER BY doc_id, w.s) > 1
 ), gone AS (

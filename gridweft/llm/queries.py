@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweft.llm import chunks, counts, lines, mixing, simhash, substring, token_files, tokens, topk, toxicity, weighted
+from gridweft.llm import chunks, counts, lines, mixing, oracles, simhash, substring, token_files, tokens, topk, toxicity, weighted
 from gridweft.llm.common import read_documents
 
 
@@ -67,4 +67,4 @@ QUERIES = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_lines": oracles.LINES, "op2_top_k": oracles.TOP_K, "op7_substrings": oracles.SUBSTRINGS}
