@@ -12,11 +12,13 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gridweft.llm import tokens
 from gridweft.llm.common import doc_key, from_key, in_arrow, saved
 
 WINDOW, MIN_CHUNK, MAX_CHUNK, ONE_IN = 24, 1024, 8192, 64
+_ARROW = {"doc_key": pa.int64(), "ids": pa.binary(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "decoded": pa.string()}
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -80,25 +82,34 @@ def chunks_of(text: str) -> tuple[list[str], list[bytes]]:
     return out, keys
 
 
+def vocabulary(path: str) -> list[str]:
+    """The token of each id."""
+    tokenizer = tokens.load(path)
+    if tokenizer.decoder is not None:
+        raise ValueError(f"{path}: only vocabularies without a decoder, whose tokens are joined by spaces")
+    return [tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size())]
+
+
+def spelt(code: bytes, names: list[str]) -> str:
+    """The text of a code as the tokenizers library decodes it, special tokens and all; its decimal ids, if these are the names."""
+    return " ".join([names[i] for i in Codec.ids(code)])
+
+
 class Codec:
-    """Encodes chunks and mends their joins; decodes as the tokenizers library does."""
+    """Encodes chunks and mends their joins."""
 
     def __init__(self, path: str):
         self.tokenizer = tokens.load(path)
-        size = self.tokenizer.get_vocab_size()
-        self.names = [self.tokenizer.id_to_token(i) for i in range(size)]
-        self.digits = [str(i) for i in range(size)]
-        if self.tokenizer.decoder is not None:
-            raise ValueError(f"{path}: only vocabularies without a decoder, whose tokens are joined by spaces")
         self.memo = tokens.WordMemo(path, self.render, 400_000)
 
-    def render(self, ids: list[int]) -> tuple[str, str]:
-        """A code: the decimal ids and the decoded text."""
-        return " ".join([self.digits[i] for i in ids]), " ".join([self.names[i] for i in ids])
+    @staticmethod
+    def render(ids: list[int]) -> bytes:
+        """A code: the ids as little-endian unsigned 32-bit integers."""
+        return np.array(ids, "<u4").tobytes()
 
     @staticmethod
-    def ids(code: tuple[str, str]) -> list[int]:
-        return [int(i) for i in code[0].split()]
+    def ids(code: bytes) -> list[int]:
+        return np.frombuffer(code, "<u4").tolist()
 
     def encode(self, text: str) -> list[tuple]:
         """(text, code) of each word."""
@@ -169,17 +180,29 @@ def _find_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"chunk": pa.array(keys, pa.binary()), "doc_key": pa.array(docs, pa.int64()), "again": pa.array(again, pa.bool_())})
 
 
-def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
+def encode_documents(docs: DataFrame, tokenizer: str, decoded: bool = False, digest: bool = True) -> DataFrame:
     """(doc_id, ids binary, n_tokens, ids_sha256, decoded_sha256) of every whole text.
 
     Chunks that occur more than once are encoded once, where they occur first, and their ids
     are joined to the documents that hold them; other chunks are encoded with their document.
     Only hashes of chunks are shuffled to tell which are shared. ids are little-endian
-    unsigned 32-bit integers.
+    unsigned 32-bit integers. decoded=True adds their text as decoded; digest=False leaves out
+    the two hashes, which are those of the decimal ids, separated by spaces, and of that text.
 
     Null texts are empty and have no tokens. Rows that repeat a doc_id are encoded each by
     itself: chunks are looked up by doc_id and hash. An empty table gives no rows.
     """
+    schema = "doc_key long, ids binary, n_tokens long" + ", ids_sha256 string, decoded_sha256 string" * digest + ", decoded string" * decoded
 
     def encode_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, packer = codec(tokenizer), zstandard.ZstdCompressor(level=3)
@@ -208,9 +231,9 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
         return [(items[0], coder.render(ids[:first])), middle, (items[-1], coder.render(ids[len(ids) - last :]))]
 
     def encode_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(tokenizer)
-        for batch in batches:
-            rows = []
+        coder, digits = codec(tokenizer), [str(i) for i in range(len(spellings))]
+        for batch in _small(batches):
+            out = {"doc_key": batch["doc_key"].to_pylist()} | {name: [] for name in names}
             for text, given in zip(batch["text"], batch["given"].to_pylist(), strict=True):
                 given = {x["chunk"]: x["codes"] for x in given or ()}
                 texts, keys = chunks_of(text.as_py() or "")
@@ -220,13 +243,19 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
                     if k in given and k not in known:
                         known[k] = unpack(coder, part, given[k])
                     parts.append(known[k] if k in known else coder.encode(part))
-                parts = [c for c in coder.joined(texts, parts) if c[0]]
-                ids, names = " ".join([c[0] for c in parts]), " ".join([c[1] for c in parts])
-                n = ids.count(" ") + 1 if ids else 0
-                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(names.encode()).hexdigest()))
-            n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_pydict({"doc_key": batch["doc_key"], "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())})
-
+                ids = b"".join(coder.joined(texts, parts))
+                out["ids"].append(ids)
+                out["n_tokens"].append(len(ids) // 4)
+                body = spelt(ids, spellings) if decoded or digest else ""
+                if digest:
+                    out["ids_sha256"].append(_sha256(spelt(ids, digits)))
+                    out["decoded_sha256"].append(_sha256(body))
+                if decoded:
+                    out["decoded"].append(body)
+            yield pa.RecordBatch.from_pydict({name: pa.array(column, _ARROW[name]) for name, column in out.items()})
+
+    spellings = vocabulary(tokenizer)
+    names = [column.split()[0] for column in schema.split(", ")][1:]
     texts = docs.select(doc_key().alias("doc_key"), "text")
     found = saved(in_arrow(texts, _find_chunks, "chunk binary, doc_key long, again boolean"))
     shared = found.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.bool_or("again").alias("again"), F.min("doc_key").alias("doc_key")).filter("n > 1 or again")
@@ -234,5 +263,42 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     encoded = in_arrow(texts.join(owned, "doc_key").select("text", "owned"), encode_shared, "chunk binary, codes binary")
     encoded = encoded.groupBy("chunk").agg(F.first("codes").alias("codes"))
     given = found.select("chunk", "doc_key").join(encoded, "chunk").groupBy("doc_key").agg(F.collect_list(F.struct("chunk", "codes")).alias("given"))
-    done = in_arrow(texts.join(given, "doc_key", "left").select("doc_key", "text", "given"), encode_rest, "doc_key long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    done = in_arrow(texts.join(given, "doc_key", "left").select("doc_key", "text", "given"), encode_rest, schema)
+    return done.select(from_key().alias("doc_id"), *names)
+
+
+def decode_documents(encoded: DataFrame, tokenizer: str, column: str = "ids") -> DataFrame:
+    """The rows with the text of their ids, as encode_documents makes them, in a new column decoded.
+
+    Null ids give null, ids of no bytes an empty text; an id beyond the vocabulary is an error.
+    """
+    columns, names = encoded.columns, vocabulary(tokenizer)
+    at = columns.index(column)
+    schema = StructType([*encoded.schema.fields, StructField("decoded", StringType())])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _small(batches):
+            texts = [None if ids is None else spelt(ids, names) for ids in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*columns, "decoded"])
+
+    return in_arrow(encoded, decode, schema)
+
+
+def digests(encoded: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of rows (doc_id, ids), which are decoded for it."""
+    names = vocabulary(tokenizer)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digits = [str(i) for i in range(len(names))]
+        for batch in _small(batches):
+            n, a, b = [], [], []
+            for ids in batch["ids"]:
+                ids = ids.as_py()
+                n.append(len(ids) // 4)
+                a.append(_sha256(spelt(ids, digits)))
+                b.append(_sha256(spelt(ids, names)))
+            yield pa.RecordBatch.from_pydict({"doc_key": batch["doc_key"], "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())})
+
+    keyed = encoded.select(doc_key().alias("doc_key"), "ids")
+    done = in_arrow(keyed, digest, "doc_key long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return done.select(from_key().alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")

@@ -41,7 +41,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks.encode_documents(read_documents(spark, sf_dir), tokens.default_tokenizer())
+    tokenizer = tokens.default_tokenizer()
+    encoded = chunks.encode_documents(read_documents(spark, sf_dir), tokenizer, digest=False)
+    return chunks.digests(encoded, tokenizer)
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

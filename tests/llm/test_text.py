@@ -198,6 +198,18 @@ def test_bpe_of_repeated_rows(docs, table):
     assert len(found) == len(table) and {r["count"] for r in found} == {2}
 
 
+def test_bpe_returns_ids_and_their_text(docs, table):
+    t = tokens.load(PATH)
+    found = chunks.encode_documents(docs, PATH, decoded=True, digest=False)
+    assert found.columns == ["doc_id", "ids", "n_tokens", "decoded"]
+    found = by_id(found)
+    decoded = by_id(chunks.decode_documents(chunks.encode_documents(docs, PATH), PATH))
+    for i, text, *_ in table:
+        ids = encoded(text)
+        assert np.frombuffer(found[i]["ids"], "<u4").tolist() == np.frombuffer(decoded[i]["ids"], "<u4").tolist() == ids
+        assert found[i]["decoded"] == decoded[i]["decoded"] == t.decode(ids, skip_special_tokens=False)
+
+
 def test_joins_are_mended():
     coder, r = chunks.codec(PATH), random.Random(4)
     for text in ["hello world's fée 12ab, <|endoftext|>x y  z w été " * 3, "abcdefgh" * 40 + " tail", "\x1cab\x1d c"]:
