@@ -15,9 +15,9 @@ from gridweft.llm.common import WORD_PATTERN, running_before, saved, spare
 GOLDEN = 0.6180339887498949
 SOURCE_WEIGHTS = (5, 2, 1)
 REPEAT_CAP = 3
-#: Number of slots of a schedule at every input size; a block holds 1/SLOTS of all words.
-SLOTS = 1 << 20
-_RANGES = 1024
+#: A block holds 1/SLOTS of all words, MOST_WORDS at most, so that slots grow with the input, and
+#: no more than gives each source LEAST_SLOTS of its own, or as many as its target has words.
+SLOTS, MOST_WORDS, LEAST_SLOTS = 1 << 20, 256, 128
 _ROWS_A_BUCKET = 20_000
 
 
@@ -48,31 +48,38 @@ def source_targets(sized: DataFrame, weights=SOURCE_WEIGHTS, repeat_cap: int = R
     )
 
 
-def schedule(targets: DataFrame, slots: int) -> DataFrame:
-    """(slot, s, rank): slot i goes to the source in whose cumulative share frac((i + 1) * golden) lies.
+def spread(counts: DataFrame) -> DataFrame:
+    """(slot, s, rank): the `count` ranks of each source s, dealt evenly over the slots of all.
 
-    rank counts a source's slots. Points meet shares by an equi-join on 1/1024ths of the unit
-    interval, so that neither side must be small.
+    Rank k of n lies at (k + u) / n of the schedule, u being frac((s + 1) * golden), so that
+    every stretch holds a source's share to within one slot and sources don't move in step.
+    slot numbers the ranks of all sources in the order of their places.
     """
-    up = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    parts = counts.filter("count > 0").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / 4096))))
+    parts = parts.repartition("s", "part")
+    ranks = parts.select("s", "count", F.explode(F.sequence(F.col("part") * 4096, F.least(F.col("part") * 4096 + 4095, F.col("count") - 1))).alias("rank"))
+    at = (F.col("rank") + (F.col("s") + 1) * GOLDEN % 1.0) / F.col("count")
+    every = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("every"))
+    dealt = ranks.crossJoin(F.broadcast(every)).select("s", "rank", at.alias("at"), F.lit(1).alias("one"), F.floor(at * F.greatest(F.lit(1), F.col("every") / _ROWS_A_BUCKET)).alias("range"))
+    dealt = dealt.hint("merge")  # rows made by explode look few, and must not be broadcast
+    return running_before(dealt, [], ["at", "s", "rank"], "one", F.col("range"), "slot").select("slot", "s", "rank")
+
+
+def schedule(targets: DataFrame, slots: int) -> DataFrame:
+    """(slot, s, rank) of about so many slots in all, a source having its share of them by target, rounded up."""
     total = F.sum("target").over(Window.partitionBy())
-    shares = targets.filter("target > 0").withColumn("hi", F.sum("target").over(up) / total).withColumn("lo", F.col("hi") - F.col("target") / total)
-    shares = shares.withColumn("hi", F.when(F.col("hi") > 1 - 1e-12, 2.0).otherwise(F.col("hi")))
-    shares = shares.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("s")), F.lit(0.0)))
-    spans = shares.select("s", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * _RANGES), F.floor(F.least("hi", F.lit(1.0)) * _RANGES))).alias("cell"))
-    points = targets.sparkSession.range(slots).withColumnRenamed("id", "slot").withColumn("u", (F.col("slot") + 1) * GOLDEN % 1.0)
-    points = points.withColumn("cell", F.floor(F.col("u") * _RANGES))
-    dealt = points.join(spans, "cell").filter("u >= lo and u < hi").select("slot", "s", F.lit(1).alias("one"))
-    return running_before(dealt, ["s"], ["slot"], "one", F.floor(F.col("slot") / 4096), "rank").select("slot", "s", "rank")
+    return spread(targets.filter("target > 0").select("s", F.ceil(F.col("target") * slots / total - 1e-9).alias("count")))
 
 
 def mix(docs: DataFrame, weights=SOURCE_WEIGHTS, repeat_cap: int = REPEAT_CAP, slots: int = SLOTS, seed: int = 42) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken), one row per input row.
 
     A source's documents, in an order shuffled by a seeded hash, form a stream of words that
-    runs repeat_cap times; the stream is cut into blocks of equal words and the source's k-th
-    slot takes its k-th block, the last one up to the target. `taken` is the number of words
-    of the row's passages that lie in taken blocks. Reruns agree, and so do other partitionings.
+    runs repeat_cap times; the stream is cut into blocks of equal words, smaller ones for a
+    source that would have under LEAST_SLOTS of them, and the source's k-th slot takes its
+    k-th block, the last one up to the target. A source has slots for all blocks of its
+    target, so what it takes is its target in whole words. `taken` is the number of words of
+    the row's passages that lie in taken blocks. Reruns agree, and so do other partitionings.
 
     Null texts, empty texts and texts of white space have size 0 and take 0; a null source is
     a source of its own and sorts last; rows that repeat are documents of their own. An empty
@@ -81,19 +88,21 @@ def mix(docs: DataFrame, weights=SOURCE_WEIGHTS, repeat_cap: int = REPEAT_CAP, s
     columns = docs.select("doc_id", "source", word_count("text").alias("size"))
     sized = saved(columns.withColumn("uid", F.monotonically_increasing_id()))
     total, rows = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    block = max(1, math.ceil(total / slots))
+    most = max(1, min(math.ceil(total / slots), MOST_WORDS))
     bits = max(6, min(30, math.ceil(math.log2(max(1, rows / _ROWS_A_BUCKET)))))
-    targets = saved(source_targets(sized, weights, repeat_cap))
-    plan = schedule(targets, math.ceil(total / block) if total else 0)
+    limit, block = F.floor("target"), F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.floor("target") / LEAST_SLOTS)))
+    targets = saved(source_targets(sized, weights, repeat_cap).withColumn("limit", limit).withColumn("block", block))
+    plan = spread(targets.select("s", F.ceil(F.col("limit") / F.col("block")).alias("count")))
 
-    placed = sized.join(targets, sized.source.eqNullSafe(targets.source)).select("uid", "doc_id", "s", "size", "source_size", F.floor("target").alias("limit"))
+    placed = sized.join(targets, sized.source.eqNullSafe(targets.source)).select("uid", "doc_id", "s", "size", "source_size", "limit", "block")
     placed = placed.filter("size > 0").withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
     placed = running_before(placed, ["s"], ["h", "doc_id", "size", "uid"], "size", F.shiftright("h", 64 - bits), "before")
     passes = placed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(repeat_cap - 1))))
     passes = passes.withColumn("start", F.col("before") + F.col("pass") * F.col("source_size")).withColumn("end", F.least(F.col("start") + F.col("size"), F.col("limit"))).filter("start < end")
-    pieces = passes.withColumn("rank", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))))
-    pieces = pieces.select("uid", "s", "rank", (F.least("end", (F.col("rank") + 1) * block) - F.greatest("start", F.col("rank") * block)).alias("words"))
-    taken = pieces.join(plan, ["s", "rank"], "left_semi").groupBy("uid").agg(F.sum("words").alias("taken"))
+    pieces = passes.withColumn("rank", F.explode(F.sequence(F.floor(F.col("start") / F.col("block")), F.floor((F.col("end") - 1) / F.col("block")))))
+    low, high = F.col("rank") * F.col("block"), (F.col("rank") + 1) * F.col("block")
+    pieces = pieces.select("uid", "s", "rank", (F.least("end", high) - F.greatest("start", low)).alias("words"))
+    taken = pieces.join(plan.hint("merge"), ["s", "rank"], "left_semi").groupBy("uid").agg(F.sum("words").alias("taken"))
 
     out = sized.join(taken, "uid", "left").join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

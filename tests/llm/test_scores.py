@@ -165,6 +165,20 @@ def test_schedule_is_even(spark):
         assert part["rank"].tolist() == list(range(len(part)))
 
 
+def test_small_sources_beside_a_huge_one_take_their_targets(spark):
+    rows = [(k, "w " * 100, "huge") for k in range(300)] + [(1000 + k, "w " * (k % 9 + 1), f"tiny{k // 2:02}") for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for _, text, source in rows:
+        sizes[source] += len(text.split())
+    for r in mixing.mix(df, slots=64).collect():
+        taken[r["source"]] += r["taken"]
+    for source, target in targets_by_rounds(sizes).items():
+        assert abs(taken[source] - target) <= 1, source
+    kept = {r["doc_id"] for r in mixing.mixed_documents(df, slots=64).collect()}
+    assert kept >= {i for i, _, source in rows if source != "huge"}
+
+
 def test_mix_of_nothing(spark, empty):
     assert mixing.mix(empty).count() == 0
     blank = spark.createDataFrame([(1, "", "a"), (2, None, None), (2, None, None)], "doc_id long, text string, source string")
