@@ -9,10 +9,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from gridweft.llm.common import components, doc_key, from_key, in_arrow, saved, spare
+from gridweft.llm.common import components, doc_key, from_key, in_arrow, saved, spare, written
 
 SHINGLE_WORDS, MAX_BITS, SEED = 3, 3, 42
 #: Fixed value: generator polynomial of the binary Golay code of length 23.
@@ -143,6 +144,12 @@ def links(fps: DataFrame) -> DataFrame:
     return stored.join(probes, "key").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)).select("a", "b").distinct()
 
 
+def _roots(fps: DataFrame) -> DataFrame:
+    """(fp, root) of the fingerprints in column fp, which are distinct; root names the component."""
+    roots = components(links(fps))
+    return fps.join(roots, fps.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per input row.
 
@@ -155,21 +162,30 @@ def near_groups(docs: DataFrame) -> DataFrame:
     texts = docs.select(doc_key().alias("doc_key"), "text")
     found = saved(in_arrow(texts, _fingerprints, "doc_key long, fp long"))
     least = saved(found.groupBy("fp").agg(F.min(from_key()).alias("least")))
-    roots = components(links(least.select("fp")))
-    named = least.join(roots, least.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
-    named = saved(named.select("fp", "root", "least"))
+    named = saved(least.join(_roots(least.select("fp")), "fp").select("fp", "root", "least"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.join(ids, "root").select("fp", "component_id")
     return found.join(of, "fp").select(from_key().alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def without_near_copies(docs: DataFrame) -> DataFrame:
-    """The documents of smallest doc_id of each component, whole rows; one of rows that repeat that id.
+    """One row of each component, whole: that of smallest doc_id, null ids last.
 
-    Where all ids of a component are null one of its rows stays.
+    Rows are members each by itself, those too that repeat a doc_id or have none; of rows of
+    the same id in one component that of least text hash stays.
     """
-    key, number = spare(docs, "_key", "_number")
-    keep = near_groups(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(doc_key().alias(key)).distinct()
-    kept = docs.withColumn(key, doc_key()).join(keep, key, "left_semi")
-    first = Window.partitionBy(key).orderBy(F.xxhash64("text"))
-    return kept.withColumn(number, F.row_number().over(first)).filter(F.col(number) == 1).select(*docs.columns)
+    row, fp = spare(docs, "_row", "_fp")
+    columns, at = docs.columns, docs.columns.index("text")
+
+    def with_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = pa.array([fingerprint(t.as_py()) for t in batch.column(at)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, fps], [*columns, fp])
+
+    rows = in_arrow(docs, with_fingerprints, StructType([*docs.schema.fields, StructField(fp, LongType())]))
+    rows = written(rows.withColumn(row, F.monotonically_increasing_id()))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.col(row).alias("row"))
+    members = rows.select(F.col(fp).alias("fp"), place.alias("place"))
+    least = saved(members.groupBy("fp").agg(F.min("place").alias("place")))
+    keep = least.join(_roots(least.select("fp")), "fp").groupBy("root").agg(F.min("place").alias("place")).select(F.col("place.row").alias(row))
+    return rows.join(keep, row, "left_semi").select(*columns)

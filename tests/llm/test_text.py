@@ -182,6 +182,15 @@ def test_chains_and_one_of_each(spark, wide, table):
     assert sorted((r["doc_id"] for r in kept if r["doc_id"] is not None)) == sorted(x for x in set(brute_components(fps).values()) if x is not None)
 
 
+def test_rows_without_ids_or_with_one_id_are_members_each_by_itself(spark):
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(40)) for _ in range(9)]
+    rows = [(None, t) for t in texts[:5]] + [(None, texts[0]), (7, texts[5]), (7, texts[6]), (7, texts[6]), (9, texts[6]), (None, texts[7]), (4, texts[7]), (3, texts[8]), (None, None), (None, "")]
+    kept = simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"] or 0, x["text"]) for x in kept if x["text"]) == sorted([*[(0, t) for t in texts[:5]], (7, texts[5]), (7, texts[6]), (4, texts[7]), (3, texts[8])])
+    assert len(kept) == 10
+
+
 # -- 4: BPE --
 
 
