@@ -52,6 +52,21 @@ def doc_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
 
+def row_keyed(docs: DataFrame, name: str = "row_key") -> DataFrame:
+    """docs with a long column `name` that is another in each row and rises with doc_id, null first.
+
+    It is doc_key() where no doc_id repeats. Where one does, null among them, it numbers the
+    rows of a copy that is dealt to ranges of doc_id, text hash and arrival and saved.
+    """
+    keys = docs.select(doc_key().alias("k")).groupBy("k").count()
+    if keys.filter("count > 1").limit(1).count() == 0:
+        return docs.withColumn(name, doc_key())
+    key, h, arrival = spare(docs, "_doc", "_h", "_arrival")
+    dealt = docs.withColumn(key, doc_key()).withColumn(h, F.xxhash64("text")).withColumn(arrival, F.monotonically_increasing_id())
+    dealt = dealt.repartitionByRange(partitions(docs.sparkSession), key, h, arrival).sortWithinPartitions(key, h, arrival)
+    return written(dealt.select(*docs.columns, F.monotonically_increasing_id().alias(name)))
+
+
 def from_key(column: str = "doc_key") -> Column:
     return F.when(F.col(column) != NULL_ID, F.col(column))
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweft.llm.common import NULL_ID, doc_key, from_key, in_arrow, running_before, spare, table_path, written
+from gridweft.llm.common import NULL_ID, doc_key, from_key, in_arrow, row_keyed, running_before, spare, table_path, written
 
 #: A repeated run is deleted from so many lines on, or if its first line alone is so long.
 MIN_LINES, LONG_LINE = 2, 100
@@ -48,14 +48,16 @@ class SuffixArray:
     ends sooner is smaller. Suffixes are known by (doc_key, line). Those whose first line is
     unique share no prefix with any other and need no rank: as the next lines of others they
     tell these apart by their place. Only groups not yet told apart go through further rounds.
+    doc_key is that of row_keyed(), or a column of such keys that docs has.
     """
 
-    def __init__(self, docs: DataFrame):
-        texts = docs.select(doc_key().alias("doc_key"), "text")
+    def __init__(self, docs: DataFrame, key: str | None = None):
+        if key is None:
+            (key,) = spare(docs, "_key")
+            docs = row_keyed(docs, key)
+        texts = docs.select(F.col(key).alias("doc_key"), "text")
         rows = in_arrow(texts, _find_lines, "doc_key long, line int, h1 long, h2 long, long boolean, n int")
-        low, high, n, repeated = texts.groupBy("doc_key").count().agg(F.min(F.when(F.col("doc_key") > NULL_ID, F.col("doc_key"))), F.max("doc_key"), F.count(F.lit(1)), F.max("count")).first()
-        if repeated and repeated > 1:
-            rows = rows.groupBy("doc_key", "line").agg(F.min("h1").alias("h1"), F.min("h2").alias("h2"), F.bool_or("long").alias("long"), F.max("n").alias("n"))
+        low, high, n = texts.agg(F.min(F.when(F.col("doc_key") > NULL_ID, F.col("doc_key"))), F.max("doc_key"), F.count(F.lit(1))).first()
         self.spread = 1 if low is None else (high - low) // max(1, n // _ROWS_A_BUCKET) + 1
         bits = max(4, min(30, math.ceil(math.log2(max(1, n / _ROWS_A_BUCKET)))))
         ids = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -166,10 +168,10 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.drop_columns(["kept"]).append_column("kept_sha256", pa.array(sums, pa.string()))
 
 
-def removed_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc_key, gone array, longest): places of the lines to delete among a document's lines
-    that aren't blank, and the longest run of its lines that stands elsewhere too."""
-    array = SuffixArray(docs)
+def removed_lines(docs: DataFrame, key: str, min_lines: int = MIN_LINES) -> DataFrame:
+    """(doc_key, gone array, longest): places of the lines to delete among a row's lines that
+    aren't blank, and the longest run of its lines that stands elsewhere too; key is a column of row_keyed()."""
+    array = SuffixArray(docs, key)
     runs = array.common()
     gone = later_copies(array, runs, min_lines).groupBy("doc_key").agg(F.collect_set("line").alias("gone"))
     ends = runs.select("doc_key", "lcp").union(runs.filter("doc_b is not null").select("doc_b", "lcp"))
@@ -186,11 +188,13 @@ def without_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, digest:
     stay. digest=True returns kept_sha256 in place of kept.
 
     A null text stays null and an empty one empty, both without lines; a null doc_id sorts
-    first; rows that repeat a doc_id count as one document, whose lines are those of the
-    texts together by place. An empty table gives no rows.
+    first; rows that repeat a doc_id are documents of their own, in the order of a hash of
+    their texts. An empty table gives no rows.
     """
-    found = removed_lines(docs, min_lines)
-    texts = docs.select(doc_key().alias("doc_key"), "text").join(found, "doc_key", "left")
+    (key,) = spare(docs, "_key")
+    docs = row_keyed(docs, key)
+    found = removed_lines(docs, key, min_lines).withColumnRenamed("doc_key", key)
+    texts = docs.select(key, doc_key().alias("doc_key"), "text").join(found, key, "left")
     texts = texts.select("doc_key", "text", "gone", F.coalesce("longest", F.lit(0)).alias("longest"))
     last = "kept_sha256" if digest else "kept"
     out = in_arrow(texts, _digest if digest else _finish, f"doc_key long, n_lines long, n_removed long, longest_repeat long, {last} string")
@@ -200,8 +204,9 @@ def without_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES, digest:
 def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """The documents with the texts that without_repeated_lines keeps, every row and column; n_chars, if there, follows."""
     key, gone = spare(docs, "_key", "_gone")
-    found = removed_lines(docs, min_lines).select(F.col("doc_key").alias(key), F.col("gone").alias(gone))
-    columns, at = docs.columns, docs.columns.index("text")
+    columns, at, schema = docs.columns, docs.columns.index("text"), docs.schema
+    docs = row_keyed(docs, key)
+    found = removed_lines(docs, key, min_lines).select(F.col("doc_key").alias(key), F.col("gone").alias(gone))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,6 +214,6 @@ def deduplicated(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
             arrays = [pa.array(texts, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(len(columns))]
             yield pa.RecordBatch.from_arrays(arrays, columns)
 
-    joined = docs.withColumn(key, doc_key()).join(found, key, "left").select(*columns, gone)
-    out = in_arrow(joined, keep, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
+    joined = docs.join(found, key, "left").select(*columns, gone)
+    out = in_arrow(joined, keep, schema)
+    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in columns else out

@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridweft.llm.common import doc_key, from_key, in_arrow, partitions
+from gridweft.llm.common import doc_key, from_key, in_arrow, partitions, row_keyed, spare
 
 WINDOW = 20
 #: Any two residues modulo 13 reach this set by one common shift below 13.
@@ -220,7 +221,7 @@ def _windows(bits: int, doc_bits: int):
             a, b, d, s = a[order], b[order], d[order], s[order]
             first = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
             lead = np.maximum.accumulate(np.where(first, np.arange(len(a)), 0))
-            asked = first | (d == d[lead]) & (s == s[lead])  # rows that repeat a doc_id stand for one document
+            asked = first | (d == d[lead]) & (s == s[lead])
             yield _dealt((a[first] >> np.uint64(64 - bits)).astype(np.int64), False, [a[first], b[first], d[first], s[first]])
             later = ~asked
             if later.any():
@@ -336,16 +337,18 @@ def without_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     so that a passage shared by very many documents is no hot group, and no pairs are made.
 
     digest=True returns kept_sha256 in place of kept. Null and empty texts have no words; a
-    null doc_id sorts first; rows that repeat a doc_id stand for one document, none of them
-    earlier than another. An empty table gives no rows.
+    null doc_id sorts first; rows that repeat a doc_id are documents of their own, in the
+    order of a hash of their texts. An empty table gives no rows.
     """
     bits, doc_bits = _bucket_bits(docs.sparkSession)
-    texts = docs.select(doc_key().alias("doc_key"), "text")
+    (key,) = spare(docs, "_key")
+    keyed = row_keyed(docs.select("doc_id", "text"), key)
+    texts = keyed.select(F.col(key).alias("doc_key"), "text")
     anchors = _exchanged(in_arrow(texts, _anchors(bits, doc_bits), _DEALT), _repeated_anchors(doc_bits), _DEALT)
     wanted = _exchanged(anchors, _gathered, _OF_DOC)
     windows = in_arrow(texts.join(wanted, "doc_key"), _windows(bits, doc_bits), _DEALT)
     starts = _exchanged(_exchanged(windows, _later_windows(doc_bits), _DEALT), _gathered, _OF_DOC)
-    rows = texts.join(starts, "doc_key", "left").select("doc_key", "text", "items")
+    rows = keyed.join(starts.withColumnRenamed("doc_key", key), key, "left").select(doc_key().alias("doc_key"), "text", "items")
     if digest:
         return in_arrow(rows, _digest, "doc_key long, n_words long, n_removed long, kept_sha256 string").withColumn("doc_id", from_key()).drop("doc_key")
     return in_arrow(rows, _finish, "doc_key long, n_words long, n_removed long, kept string").withColumn("doc_id", from_key()).drop("doc_key")

@@ -359,6 +359,32 @@ def test_allocation_rule():
     assert crossing.tolist() == [False, True, False, False, True]
 
 
+# -- rows of one doc_id --
+
+
+def rows_of_one_id():
+    """Rows without ids and rows of one id, with repeated and unique texts at the same places, in the order in which they count."""
+    r = random.Random(9)
+    line = lambda k: " ".join("".join(r.choice("abcdefgh") for _ in range(12)) for _ in range(k))
+    shared, again = [line(22), line(22)], [line(30), line(3)]
+    texts = ["\n".join(["x" + line(4), *shared, line(25)]), "\n".join(["y" + line(4), *shared, line(25)]), "\n".join([line(30), *[line(24) for _ in range(5)]]), "\n".join([*again, line(25)])]
+    return [(i, t) for i in (None, 5) for t in texts] + [(1, "\n".join([line(4), *again, *shared])), (9, line(40))]
+
+
+def test_rows_of_one_id_are_documents_of_their_own(spark):
+    rows = rows_of_one_id()
+    for df in (spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(rows, "doc_id long, text string").repartition(3)):
+        for found in (lines.without_repeated_lines(df).collect(), substring.without_repeats(df).collect()):
+            assert sorted(str(r["doc_id"]) for r in found) == sorted(str(i) for i, _ in rows)
+            kept = [(r["doc_id"], w) for r in found for w in r["kept"].split()]
+            # the first rows have no ids; what they share goes once from one of them, and all of it from later rows
+            assert Counter(w for _, w in kept) == Counter({w: 1 for _, t in rows for w in t.split()})
+            assert {w for i, w in kept if i is None} == {w for i, t in rows for w in t.split() if i is None}
+    whole = lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(whole) == len(rows)
+    assert Counter(w for r in whole for w in r["text"].split()) == Counter({w: 1 for _, t in rows for w in t.split()})
+
+
 # -- empty tables and clashing names --
 
 
