@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,8 @@ _KEPT = 120_000
 #: Terms whose keys are made at once, so that the arrays stay in the processor's cache.
 _STEP = 128
 _EMPTY = np.uint64(2**64 - 1)
+#: Characters of the texts that are compared at once.
+_CHARS = 1 << 22
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -30,11 +33,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def _uniforms(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Three numbers in (0, 1) from each 64-bit value, by 21 bits each."""
-    low = np.uint64((1 << 21) - 1)
-    scale, half = np.float32(2**-21), np.float32(0.5)
-    return tuple((((x >> np.uint64(k)) & low).astype(np.int32).astype(np.float32) + half) * scale for k in (0, 21, 42))
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Quantiles of 65,536 equal steps: of the exponential and of the Gamma(2, 1) distribution, the latter by Newton's steps."""
+    q = (np.arange(1 << 16) + 0.5) / (1 << 16)
+    exponential = -np.log(q)
+    gamma = np.sqrt(2 * q) + q * exponential[::-1]
+    for _ in range(60):
+        gamma = np.maximum(gamma / 2, gamma - (1 - (1 + gamma) * np.exp(-gamma) - q) / (gamma * np.exp(-gamma)))
+    return exponential.astype(np.float32), gamma.astype(np.float32)
 
 
 def sample_keys(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -42,20 +49,35 @@ def sample_keys(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
     With r, c ~ Gamma(2, 1) and b ~ U(0, 1) fixed by term and column, a term of weight w has
     t = floor(ln w / r + b) and ln a = ln c - r (t - b) - r. The term of least a and its t are
-    equal for two texts with a probability of their generalised Jaccard similarity. A key
-    holds ln a in its upper half and a hash of (term, t) in its lower.
+    equal for two texts with a probability of their generalised Jaccard similarity. A term
+    and column have 64 bits: 32 for c, a sum of two exponentials, as small ones decide, and
+    16 each for r and b. A key holds ln a in its upper half and a hash of (term, t) in its lower.
     """
+    exponential, gamma = _tables()
     columns = _mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    seed = _mix(hashes[:, None] ^ columns)
-    u1, u2, b = _uniforms(seed)
-    v1, v2, _ = _uniforms(_mix(seed + np.uint64(0x632BE59BD9B4E019)))
-    r = -np.log(u1 * u2)
-    t = np.floor(np.log(weights.astype(np.float32))[:, None] / r + b)
-    a = np.log(-np.log(v1 * v2)) - r * (t - b + np.float32(1))
+    lanes = _mix(hashes[:, None] ^ columns).view(np.uint16).reshape(len(hashes), SAMPLES, 4)
+    r = gamma.take(lanes[:, :, 0])
+    b = (lanes[:, :, 1].astype(np.float32) + np.float32(0.5)) * np.float32(2**-16)
+    c = exponential.take(lanes[:, :, 2])
+    c += exponential.take(lanes[:, :, 3])
+    a = np.log(c, out=c)
+    mark = np.repeat((hashes >> np.uint64(13)).astype(np.uint32)[:, None], SAMPLES, axis=1)
+    more = np.flatnonzero(weights > 1)
+    if len(more):
+        t = np.floor(np.log(weights[more].astype(np.float32))[:, None] / r[more] + b[more])
+        b[more] -= t
+        mark[more] += t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1)
+    b -= np.float32(1)
+    b *= r
+    a += b
+    mark *= np.uint32(0x85EBCA6B)
+    mark ^= mark >> np.uint32(15)
     bits = a.view(np.int32)
-    rising = (bits ^ (bits >> 31 | np.int32(-(1 << 31)))).view(np.uint32).astype(np.uint64)
-    mark = (seed ^ seed >> np.uint64(29)) + t.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) & np.uint64(0xFFFFFFFF)
-    return rising << np.uint64(32) | mark
+    keys = np.empty((len(hashes), SAMPLES), np.uint64)
+    halves = keys.view("<u4").reshape(len(hashes), SAMPLES, 2)
+    halves[:, :, 0] = mark
+    halves[:, :, 1] = (bits ^ (bits >> 31 | np.int32(-(1 << 31)))).view(np.uint32)
+    return keys
 
 
 class Sampler:
@@ -160,45 +182,38 @@ def against_next(docs: DataFrame, buckets_a_partition: int = 4) -> DataFrame:
         return pd.Series([[o] if g < 0 else [o, -1 - g] for o, g in zip(own.tolist(), guest.tolist(), strict=True)])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, str, str]] = []
-        last = None  # (bucket, guest, key, text)
+        held: list[tuple[int, str, Counter, str, Counter]] = []
+        last, chars = None, 0  # (bucket, guest, key, text, its terms)
 
         def flush() -> pa.RecordBatch:
-            edited = []
-            for _, text, after in held:
+            edited, counts, own, other, rows = [], [], [], [], []
+            for _, text, count, after, count_after in held:
+                if not counts or counts[-1] is not count:  # else the next text of the row before
+                    counts.append(count)
+                own.append(len(counts) - 1)
+                counts.append(count_after)
+                other.append(len(counts) - 1)
                 k = len(text) // 3
                 edited.append(text[: len(text) - k] + after[:k])
-            pairs = [(terms(text), terms(e), terms(after)) for (_, text, after), e in zip(held, edited, strict=True)]
-            chained = {}
-            flat = []
-            for (_, text, after), (a, b, c) in zip(held, pairs, strict=True):
-                for body, count in ((text, a), (after, c)):
-                    if body not in chained:
-                        chained[body] = len(flat)
-                        flat.append(count)
-                flat.append(b)
-            signs = sampler().signatures(flat)
-            rows, at = [], 0
-            seen = set()
-            for (key, text, after), e in zip(held, edited, strict=True):
-                for body in (text, after):
-                    if body not in seen:
-                        seen.add(body)
-                        at += 1
-                own, other, mixed = signs[chained[text]], signs[chained[after]], signs[at]
-                at += 1
-                rows.append((key, len(text), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), own.tobytes().hex(), mixed.tobytes().hex(), _likeness(own, mixed), _likeness(own, other)))
+            signs = sampler().signatures(counts + [terms(e) for e in edited])
+            for n, (key, text, *_) in enumerate(held):
+                a, b, c = signs[own[n]], signs[len(counts) + n], signs[other[n]]
+                rows.append((key, len(text), hashlib.sha256(edited[n].encode("utf-8", "surrogatepass")).hexdigest(), a.tobytes().hex(), b.tobytes().hex(), _likeness(a, b), _likeness(a, c)))
             held.clear()
             names = [f.split()[0] for f in _PAIR.split(", ")]
             return pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
 
         for batch in batches:
-            for bucket, guest, key, text in zip(batch["bucket"].to_pylist(), batch["guest"].to_pylist(), batch["doc_key"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            for bucket, guest, key, text in zip(batch["bucket"].to_pylist(), batch["guest"].to_pylist(), batch["doc_key"].to_pylist(), batch["text"], strict=True):
+                text = text.as_py()
+                count = terms(text)
                 if last and last[0] == bucket and not last[1]:
-                    held.append((last[2], last[3], text))
-                    if len(held) >= 256:
+                    held.append((*last[2:], text, count))
+                    chars += len(last[3])
+                    if len(held) >= 256 or chars >= _CHARS:
                         yield flush()
-                last = (bucket, guest, key, text)
+                        chars = 0
+                last = (bucket, guest, key, text, count)
         if held:
             yield flush()
 
