@@ -113,6 +113,27 @@ def banded(bands: list[DataFrame], grids: list[Grid] | None = None, names: list[
     return out
 
 
+def band_count(cells: DataFrame) -> int:
+    return cells.agg(F.coalesce(F.max("band") + 1, F.lit(0))).first()[0]
+
+
+def band(cells: DataFrame, index: int) -> DataFrame:
+    """One band of a banded raster as a grid; an absent band gives no rows."""
+    return cells.where(F.col("band") == index).select(*CELL, "value")
+
+
+def band_names(cells: DataFrame) -> DataFrame:
+    """(band, name) of the bands."""
+    return cells.groupBy("band").agg(F.max("name").alias("name"))
+
+
+def with_band(cells: DataFrame, index: int, values: DataFrame) -> DataFrame:
+    """The banded raster with other values in one band."""
+    new = values.select(*CELL, F.col("value").alias("_new")).withColumn("band", F.lit(index))
+    joined = cells.join(new, [*CELL, "band"], "left")
+    return joined.withColumn("value", F.when(F.col("band") == index, F.col("_new")).otherwise(F.col("value"))).select(*cells.columns)
+
+
 def stack(layers: list[DataFrame], timestamps: list[float], grids: list[Grid] | None = None) -> DataFrame:
     """Layers of one shape as (raster_id, row, col, value, t_idx, t); their order is by index, never by time."""
     if not layers or len(layers) != len(timestamps):

@@ -2,22 +2,40 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _IDS_A_BUCKET = 100_000
 
 
+def use_checkpoints(spark: SparkSession) -> str:
+    """The folder of checkpoints: that of spark.checkpoint.dir. Only a local session may do without one."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gridweft-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut at a copy in spark.checkpoint.dir, which all executors share."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridweft-"))
+    use_checkpoints(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in that of checkpoints, which must be mounted, as raster files are read and written by place."""
+    folder = f"{use_checkpoints(spark).removeprefix('file://').removeprefix('file:')}/files-{uuid.uuid4()}"
+    os.makedirs(folder)
+    return folder
+
+
 def numbered(ids: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
     """Adds 1, 2, ... in the order of a distinct integer column within each `by`.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from gridweft.functions.grid import FormatError
+from gridweft.functions.grid import FormatError, Grid
 from gridweft.sources.samples import RangeRead, unpack
 
 #: Code tables of grid templates, time units and packings.
@@ -12,6 +12,8 @@ TEMPLATES = {0: "lat_lon", 1: "rotated_lat_lon", 10: "mercator", 20: "polar_ster
 TIME_UNITS = {0: "minute", 1: "hour", 2: "day", 3: "month", 4: "year"}
 PACKINGS = {0: "simple", 2: "complex", 3: "complex_spatial_diff", 40: "jpeg2000", 41: "png"}
 _LOOK_AHEAD = 10_240
+#: Fixed value: what stands for no data.
+MISSING = 9999.0
 
 
 def _message(source: RangeRead, at: int, size: int, discipline: int, edition: int) -> dict:
@@ -78,15 +80,21 @@ def scan(source: RangeRead, size: int) -> list[dict]:
     return out
 
 
+def geometry(message: dict) -> Grid:
+    """Shape and cell size of a message: the increment along a parallel."""
+    g = message["grid"]
+    return Grid(g["ni"], g["nj"], g["di"], pixel_width=g["di"], pixel_height=g["dj"])
+
+
 def decode(source: RangeRead, message: dict) -> np.ndarray:
-    """(nj, ni) values (R + X * 2^E) / 10^D of a message in simple packing; NaN past the data's end."""
+    """(nj, ni) values (R + X * 2^E) / 10^D of a message in simple packing; NaN where that is 9999 and past the data's end."""
     p = message["simple"]
     if not p:
         raise FormatError(f"packing {message['packing']}")
     nj, ni = message["grid"]["nj"], message["grid"]["ni"]
     n, bits = nj * ni, p["bits"]
     if bits == 0:
-        return np.full((nj, ni), p["reference"])
+        return np.full((nj, ni), np.nan if p["reference"] == MISSING else p["reference"])
     raw = np.frombuffer(source.read_range(message["data_offset"], message["data_length"]), np.uint8)
     whole = min(n, len(raw) * 8 // bits)
     flat = np.unpackbits(raw)[: whole * bits].reshape(whole, bits)
@@ -95,4 +103,4 @@ def decode(source: RangeRead, message: dict) -> np.ndarray:
         numbers = numbers * 2 + flat[:, k]
     out = np.full(n, np.nan)
     out[:whole] = (p["reference"] + numbers * float(np.float32(2.0) ** p["binary"])) * 10.0 ** -p["decimal"]
-    return out.reshape(nj, ni)
+    return np.where(out == MISSING, np.nan, out).reshape(nj, ni)

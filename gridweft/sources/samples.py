@@ -93,6 +93,9 @@ class RangeRead:
     def read_range(self, offset: int, length: int) -> bytes:
         raise NotImplementedError
 
+    def size(self) -> int:
+        raise NotImplementedError
+
     def read_ranges(self, ranges: list[tuple[int, int]]) -> list[bytes]:
         return [self.read_range(o, n) for o, n in ranges]
 
@@ -101,15 +104,25 @@ class BytesRange(RangeRead):
     def __init__(self, data: bytes):
         self.data = data
 
+    def size(self) -> int:
+        return len(self.data)
+
     def read_range(self, offset: int, length: int) -> bytes:
         if offset + length > len(self.data):
             raise FormatError(f"{length} bytes at {offset} of {len(self.data)}")
         return self.data[offset : offset + length]
 
 
+def local_path(path: str) -> str:
+    return path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
+
+
 class FileRange(RangeRead):
     def __init__(self, path: str):
-        self.path = path.removeprefix("file://") if path.startswith("file://") else path.removeprefix("file:")
+        self.path = local_path(path)
+
+    def size(self) -> int:
+        return os.path.getsize(self.path)
 
     def read_range(self, offset: int, length: int) -> bytes:
         fd = os.open(self.path, os.O_RDONLY)
@@ -122,6 +135,38 @@ class FileRange(RangeRead):
         return data
 
 
+class RangeWrite:
+    """Positional writes to one object that all executors see; transports of remote stores subclass it."""
+
+    def create(self, head: bytes) -> None:
+        """A new object that begins with these bytes."""
+        raise NotImplementedError
+
+    def write_range(self, offset: int, body) -> None:
+        raise NotImplementedError
+
+
+class FileWrite(RangeWrite):
+    """A file in a folder that driver and executors share. A task that runs again writes the same bytes."""
+
+    def __init__(self, path: str):
+        self.path = local_path(path)
+
+    def create(self, head: bytes) -> None:
+        with open(self.path, "wb") as out:
+            out.write(head)
+
+    def write_range(self, offset: int, body) -> None:
+        fd = os.open(self.path, os.O_WRONLY | os.O_CREAT, 0o644)
+        try:
+            view = memoryview(body)
+            while len(view):
+                n = os.pwrite(fd, view, offset)
+                view, offset = view[n:], offset + n
+        finally:
+            os.close(fd)
+
+
 def unpack(kind: str, data: bytes, offset: int = 0) -> tuple:
     try:
         return struct.unpack_from(kind, data, offset)

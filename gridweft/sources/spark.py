@@ -24,18 +24,18 @@ from gridweft.functions.rounds import cut
 from gridweft.operators.pyramid import generate_overviews, select_level
 from gridweft.ship import ship
 from gridweft.sources import grib, netcdf, tiff
-from gridweft.sources.samples import FileRange, RangeRead, check_nodata, format_named
+from gridweft.sources.samples import FileRange, FileWrite, RangeRead, RangeWrite, check_nodata, format_named
 
 CELLS = "raster_id string, band int, row int, col int, value double"
 
 
 @dataclass
 class Part(InputPartition):
-    """One range of a file; `what` says which."""
+    """A piece of a file with all that its task has to know of it, so that no task reads headers again."""
 
-    what: int
+    what: object
 
-    def __init__(self, what: int):
+    def __init__(self, what: object):
         super().__init__(what)
         self.what = what
 
@@ -75,23 +75,43 @@ class _Reader(DataSourceReader):
         return _batch(self.raster_id, max(row, r0), max(col, c0), values[:, :, bands], bands)
 
 
+    def describe(self) -> list[dict]:
+        """Rows of the metadata table."""
+        raise NotImplementedError
+
+
 class GeoTiffReader(_Reader):
+    _ROWS = 256
+
     def partitions(self) -> list[Part]:
         d = tiff.directories(open_range(self.options))[0]
+        slim = tiff.Directory({t: v for t, v in d.tags.items() if t not in (tiff.STRIP_OFFSETS, tiff.STRIP_COUNTS)}, 0)
         _, r0, _, r1 = self._box(tiff.geometry(d))
-        return [Part(k) for k, s in enumerate(tiff.strips(d)) if s.row <= r1 and s.row + s.rows > r0]
+        parts = []
+        for s in tiff.strips(d):
+            row_bytes = s.length // max(1, s.rows)
+            for k in range(0, s.rows, self._ROWS):  # a strip may be the whole image
+                rows = min(self._ROWS, s.rows - k)
+                if s.row + k <= r1 and s.row + k + rows > r0:
+                    parts.append(Part((slim, tiff.Strip(s.row + k, rows, s.offset + k * row_bytes, rows * row_bytes))))
+        return parts
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        source = open_range(self.options)
-        d = tiff.directories(source)[0]
-        strip, step = tiff.strips(d)[partition.what], 256
-        for k in range(0, strip.rows, step):  # a strip may be the whole image
-            row_bytes = strip.length // strip.rows
-            part = tiff.Strip(strip.row + k, min(step, strip.rows - k), strip.offset + k * row_bytes, min(step, strip.rows - k) * row_bytes)
-            yield self._emit(part.row, 0, tiff.read_strip(source, d, part), tiff.geometry(d))
+        d, strip = partition.what
+        yield self._emit(strip.row, 0, tiff.read_strip(open_range(self.options), d, strip), tiff.geometry(d))
+
+    def describe(self) -> list[dict]:
+        d = tiff.directories(open_range(self.options))[0]
+        return [_shape(0, tiff.geometry(d), d.one(tiff.SAMPLES, 1), tiff.sample_format(d).name) | {"tile_width": d.need(tiff.WIDTH)[0], "tile_height": d.one(tiff.ROWS_PER_STRIP, d.need(tiff.LENGTH)[0])}]
+
+
+def _shape(level: int, grid: Grid, bands: int, sample_format: str) -> dict:
+    return {"level": level, "width": grid.width, "height": grid.height, "pixel_width": grid.pixel_width, "pixel_height": grid.pixel_height, "origin_x": grid.origin_x, "origin_y": grid.origin_y, "epsg": grid.epsg, "bands": bands, "sample_format": sample_format}
 
 
 class CogReader(_Reader):
+    _TILE_BYTES = 8 << 20
+
     def _level(self, source: RangeRead) -> tiff.Level:
         levels = tiff.open_levels(source)
         if "resolution" in self.options:
@@ -99,49 +119,83 @@ class CogReader(_Reader):
         return levels[int(self.options.get("level", 0))]
 
     def partitions(self) -> list[Part]:
+        """Neighbouring tiles of about 8 MB of pixels, with the places of their bytes."""
         level = self._level(open_range(self.options))
         c0, r0, c1, r1 = self._box(level.grid)
-        return [Part(t) for t in tiff.touched(level, c0, r0, c1 - c0 + 1, r1 - r0 + 1)]
+        tiles = tiff.touched(level, c0, r0, c1 - c0 + 1, r1 - r0 + 1)
+        spans = [(t, level.span(t), level.mask.span(t) if level.mask else (0, 0)) for t in tiles]
+        step = max(1, self._TILE_BYTES // (8 * level.tile[0] * level.tile[1] * level.bands))
+        slim = level.without_spans()
+        return [Part((slim, spans[k : k + step])) for k in range(0, len(spans), step)]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        level, spans = partition.what
         source = open_range(self.options)
-        level = self._level(source)
-        yield self._emit(*tiff.read_tile(source, level, partition.what), level.grid)
+        for tile, span, mask in spans:
+            yield self._emit(*tiff.read_tile(source, level, tile, span, mask), level.grid)
+
+    def describe(self) -> list[dict]:
+        levels = tiff.open_levels(open_range(self.options))
+        return [_shape(k, x.grid, x.bands, x.format.name) | {"tile_width": x.tile[0], "tile_height": x.tile[1], "compression": x.compression, "predictor": x.predictor, "nodata": x.nodata, "masked": x.mask is not None} for k, x in enumerate(levels)]
 
 
 class GribReader(_Reader):
     def _messages(self) -> list[dict]:
-        size = int(self.options.get("size", 0)) or os.path.getsize(self.options["path"].removeprefix("file://").removeprefix("file:"))
-        return grib.scan(open_range(self.options), size)
+        source = open_range(self.options)
+        return grib.scan(source, int(self.options.get("size", 0)) or source.size())
 
     def partitions(self) -> list[Part]:
         wanted = self.options.get("message")
-        return [Part(k) for k in range(len(self._messages())) if wanted is None or k == int(wanted)]
+        return [Part((k, m)) for k, m in enumerate(self._messages()) if wanted is None or k == int(wanted)]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        message = self._messages()[partition.what]
+        number, message = partition.what
         values = grib.decode(open_range(self.options), message)
-        g = Grid(message["grid"]["ni"], message["grid"]["nj"])
-        c0, r0, c1, r1 = self._box(g)
-        yield _batch(self.raster_id, r0, c0, values[r0 : r1 + 1, c0 : c1 + 1, None], [partition.what])
+        c0, r0, c1, r1 = self._box(grib.geometry(message))
+        yield _batch(self.raster_id, r0, c0, values[r0 : r1 + 1, c0 : c1 + 1, None], [number])
+
+    def describe(self) -> list[dict]:
+        out = []
+        for k, m in enumerate(self._messages()):
+            t, g, p = m["reference_time"] or {}, m["grid"], m["product"] or {}
+            when = "{year:04d}-{month:02d}-{day:02d} {hour:02d}:{minute:02d}:{second:02d}".format(**t) if t else None
+            out.append({"message": k, "discipline": m["discipline"], "reference_time": when, "packing": m["packing"], "cell_size": g["di"]} | {c: g[c] for c in ("template", "ni", "nj", "lat_first", "lon_first", "lat_last", "lon_last", "di", "dj", "scan_mode")} | {c: p.get(c) for c in ("category", "number", "forecast_time", "time_unit", "level_type", "level_value")})
+        return out
 
 
 class NetCdfReader(_Reader):
     _ROWS = 512
 
-    def _variable(self) -> dict:
-        return netcdf.find(netcdf.metadata(open_range(self.options)), self.options.get("variable", ""))
-
     def partitions(self) -> list[Part]:
-        height, width = self._variable()["shape"][-2:]
+        v = netcdf.find(netcdf.metadata(open_range(self.options)), self.options.get("variable", ""))
+        height, width = v["shape"][-2:]
         _, r0, _, r1 = self._box(Grid(width, height))
-        return [Part(k) for k in range(0, height, self._ROWS) if k <= r1 and k + self._ROWS > r0]
+        return [Part((v, k)) for k in range(0, height, self._ROWS) if k <= r1 and k + self._ROWS > r0]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
-        v = self._variable()
+        v, row = partition.what
         height, width = v["shape"][-2:]
-        rows = min(self._ROWS, height - partition.what)
-        yield self._emit(partition.what, 0, netcdf.read_rows(open_range(self.options), v, partition.what, rows)[:, :, None], Grid(width, height))
+        rows = min(self._ROWS, height - row)
+        yield self._emit(row, 0, netcdf.read_rows(open_range(self.options), v, row, rows)[:, :, None], Grid(width, height))
+
+    def describe(self) -> list[dict]:
+        meta = netcdf.metadata(open_range(self.options))
+        texts = lambda own: {k: a["text"] if a["text"] is not None else " ".join(map(repr, a["nums"])) for k, a in own.items()}
+        return [{"variable": v["name"], "data_type": v["data_type"], "dimensions": v["dimensions"], "shape": v["shape"], "cell_size": netcdf.cell_size(meta, v) if v["dimensions"] else None, "attributes": list(texts(v["attributes"]).items()), "global_attributes": list(texts(meta["global_attributes"]).items())} for v in meta["variables"]]
+
+
+class _MetadataReader(DataSourceReader):
+    """The one-partition table of the option metadata=true: levels, messages or variables of a file."""
+
+    def __init__(self, reader: _Reader, fields: list[str]):
+        self.inner, self.fields = reader, fields
+
+    def partitions(self) -> list[Part]:
+        return [Part(0)]
+
+    def read(self, partition: Part) -> Iterator[tuple]:
+        for row in self.inner.describe():
+            yield tuple(dict(v) if isinstance(v, list) and v and isinstance(v[0], tuple) else v for v in (row.get(f) for f in self.fields))
 
 
 def _pushing(reader: type[_Reader]) -> type[_Reader]:
@@ -169,13 +223,26 @@ def _pushing(reader: type[_Reader]) -> type[_Reader]:
     return Pushing
 
 
+#: Columns of the metadata tables.
+_IMAGES = "level int, width int, height int, pixel_width double, pixel_height double, origin_x double, origin_y double, epsg int, bands int, sample_format string, tile_width int, tile_height int, compression int, predictor int, nodata double, masked boolean"
+_MESSAGES = "message int, discipline int, reference_time string, packing string, template string, ni int, nj int, lat_first double, lon_first double, lat_last double, lon_last double, di double, dj double, scan_mode int, category int, number int, forecast_time int, time_unit string, level_type int, level_value double, cell_size double"
+_VARIABLES = "variable string, data_type string, dimensions array<string>, shape array<int>, cell_size double, attributes map<string,string>, global_attributes map<string,string>"
+
+
 class _Source(DataSource):
     reader_class: type[_Reader]
 
+    metadata = _IMAGES
+
+    def _described(self) -> bool:
+        return self.options.get("metadata") == "true"
+
     def schema(self) -> str:
-        return CELLS
+        return self.metadata if self._described() else CELLS
 
     def reader(self, schema) -> DataSourceReader:
+        if self._described():
+            return _MetadataReader(self.reader_class(self.options), [f.name for f in schema.fields])
         return (_pushing(self.reader_class) if self.options.get("push") == "true" else self.reader_class)(self.options)
 
 
@@ -197,6 +264,7 @@ class CogSource(_Source):
 
 class GribSource(_Source):
     reader_class = GribReader
+    metadata = _MESSAGES
 
     @classmethod
     def name(cls) -> str:
@@ -205,6 +273,7 @@ class GribSource(_Source):
 
 class NetCdfSource(_Source):
     reader_class = NetCdfReader
+    metadata = _VARIABLES
 
     @classmethod
     def name(cls) -> str:
@@ -224,27 +293,61 @@ def _bands(cells: DataFrame) -> DataFrame:
     return cells if "band" in cells.columns else cells.withColumn("band", F.lit(0))
 
 
-def write_geotiff(cells: DataFrame, path: str, grid: Grid, bands: int = 1, sample_format: str = "f64", nodata: float = -9999.0, plain: bool = False, rows_a_block: int = 256) -> None:
-    """One file of one strip. Blocks of rows are encoded by the executors and written in order.
+def open_sink(path: str, transport: str | None = None) -> RangeWrite:
+    """The file at `path`, or what the class named by `transport` (module:Class) makes of it; executors and driver see one file."""
+    if transport:
+        module, _, name = transport.partition(":")
+        return getattr(importlib.import_module(module), name)(path)
+    return FileWrite(path)
+
+
+def _placed(pieces: DataFrame, path: str, transport: str | None) -> int:
+    """Writes (at, body) pieces to their places in the file, each from the task that holds it; how many bytes."""
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sink, n = open_sink(path, transport), 0
+        for batch in batches:
+            for at, body in zip(batch["at"].to_pylist(), batch["body"], strict=True):
+                sink.write_range(at, body.as_buffer())
+                n += len(body.as_buffer())
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return pieces.select("at", "body").mapInArrow(put, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-    plain=True gives the single-band f64 file of fixed byte layout.
+
+def _one_raster(cells: DataFrame) -> DataFrame:
+    """cells, after a check that they are of one raster: a file holds no other."""
+    if "raster_id" in cells.columns and cells.select("raster_id").distinct().limit(2).count() > 1:
+        raise InvalidInput("cells of several rasters in one file")
+    return cells
+
+
+def write_geotiff(cells: DataFrame, path: str, grid: Grid, bands: int = 1, sample_format: str = "f64", nodata: float = -9999.0, plain: bool = False, rows_a_block: int = 256, transport: str | None = None) -> None:
+    """One file of one strip. The driver writes the header; blocks of rows are encoded and put in
+    their places by the executors, which must see the same file (a shared folder, or a transport).
+
+    plain=True gives the single-band f64 file of fixed byte layout. Cells that are absent or
+    NULL hold nodata.
     """
     fmt = format_named(sample_format)
     header = tiff.geotiff_header(grid, bands, fmt, plain)
+    block_bytes = rows_a_block * grid.width * bands * fmt.bytes
 
     def encode(key: tuple, table: pa.Table) -> pa.Table:
-        first = key[0].as_py() * rows_a_block
+        block = key[0].as_py()
+        first = block * rows_a_block
         values = np.full((min(rows_a_block, grid.height - first), grid.width, bands), nodata)
         have = table.filter(pa.compute.is_valid(table["value"]))
         values[have["row"].to_numpy() - first, have["col"].to_numpy(), have["band"].to_numpy()] = have["value"].to_numpy()
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "body": pa.array([fmt.encode(values.reshape(-1))], pa.binary())})
+        return pa.table({"at": pa.array([len(header) + block * block_bytes], pa.int64()), "body": pa.array([fmt.encode(values.reshape(-1))], pa.binary())})
 
-    ship(cells.sparkSession)
-    blocks = _bands(cells).select((F.floor(F.col("row") / rows_a_block)).alias("block"), "row", "col", "band", "value").groupBy("block").applyInArrow(encode, "block long, body binary")
-    with open(path, "wb") as out:
-        out.write(header)
-        for row in blocks.orderBy("block").toLocalIterator():
-            out.write(row["body"])
+    spark = cells.sparkSession
+    ship(spark)
+    cells = _bands(_one_raster(cells))
+    rows = cells.select(F.floor(F.col("row") / rows_a_block).alias("block"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("band").cast("int").alias("band"), F.col("value").cast("double").alias("value"))
+    every = spark.range(-(-grid.height // rows_a_block)).select(F.col("id").alias("block"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(0).alias("band"), F.lit(None).cast("double").alias("value"))
+    open_sink(path, transport).create(header)
+    _placed(rows.union(every).groupBy("block").applyInArrow(encode, "at long, body binary"), path, transport)
 
 
 def encoded_tiles(cells: DataFrame, grid: Grid, bands: int, sample_format: str, tile: tuple[int, int], overviews: int, deflate: bool, nodata: float | None) -> DataFrame:
@@ -279,18 +382,29 @@ def encoded_tiles(cells: DataFrame, grid: Grid, bands: int, sample_format: str,
     return placed.groupBy("level", "tile").applyInArrow(encode, "level int, tile long, body binary")
 
 
-def write_cog(cells: DataFrame, path: str, grid: Grid, bands: int = 1, sample_format: str = "f64", tile: tuple[int, int] = (256, 256), overviews: int = 4, deflate: bool = False, nodata: float | None = float("nan")) -> None:
-    """A cloud-optimised GeoTIFF; cells must be dense. The driver sees tile sizes, then one tile at a time."""
+def write_cog(cells: DataFrame, path: str, grid: Grid, bands: int = 1, sample_format: str = "f64", tile: tuple[int, int] = (256, 256), overviews: int = 4, deflate: bool = False, nodata: float | None = float("nan"), transport: str | None = None) -> None:
+    """A cloud-optimised GeoTIFF; cells must be dense.
+
+    Tiles are encoded once and saved. The driver sees their sizes, numbers only, and writes the
+    header; executors put the tiles in the places that follow from the sizes. All must see the
+    same file (a shared folder, or a transport).
+    """
     check_nodata(format_named(sample_format), nodata)
-    tiles = cut(encoded_tiles(cells, grid, bands, sample_format, tile, overviews, deflate, nodata))
+    spark = cells.sparkSession
+    tiles = cut(encoded_tiles(_one_raster(cells), grid, bands, sample_format, tile, overviews, deflate, nodata))
     sizes = tiff.level_sizes(grid, overviews)
     counts = [[0] * (-(-w // tile[0]) * -(-h // tile[1])) for w, h in sizes]
     for row in tiles.select("level", "tile", F.length("body").alias("n")).toLocalIterator():
         counts[row["level"]][row["tile"]] = row["n"]
-    with open(path, "wb") as out:
-        out.write(tiff.cog_header(grid, sizes, bands, format_named(sample_format), tile, deflate, nodata, counts))
-        for row in tiles.orderBy(F.desc("level"), "tile").toLocalIterator():
-            out.write(row["body"])
+    header = tiff.cog_header(grid, sizes, bands, format_named(sample_format), tile, deflate, nodata, counts)
+    starts, at = [], len(header)
+    for level in range(len(sizes) - 1, -1, -1):
+        for k, n in enumerate(counts[level]):
+            starts.append((level, k, at))
+            at += n
+    open_sink(path, transport).create(header)
+    places = spark.createDataFrame(starts, "level int, tile long, at long")
+    _placed(tiles.join(places, ["level", "tile"]), path, transport)
 
 
 def write_cog_tiles(path: str, grid: Grid, bands: int, sample_format: str, tile: tuple[int, int], overviews: int, deflate: bool, nodata: float | None, produce) -> None:

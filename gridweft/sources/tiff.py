@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import struct
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 
@@ -137,6 +137,10 @@ class Level:
     def span(self, tile: int) -> tuple[int, int]:
         return self.directory.tags[TILE_OFFSETS][tile], self.directory.tags[TILE_COUNTS][tile]
 
+    def without_spans(self) -> Level:
+        """The level without its directories, which list the places of all tiles."""
+        return replace(self, directory=Directory({}, 0), mask=self.mask and self.mask.without_spans())
+
 
 def _level(d: Directory, mask: bool = False) -> Level:
     width, height = d.need(WIDTH)[0], d.need(LENGTH)[0]
@@ -232,11 +236,11 @@ def touched(level: Level, col0: int, row0: int, cols: int, rows: int) -> list[in
     return [y * level.across + x for y in r for x in c] if cols > 0 and rows > 0 else []
 
 
-def read_tile(source: RangeRead, level: Level, tile: int) -> tuple[int, int, np.ndarray]:
-    """(row, col, values) of a tile cut to the image, masked pixels NaN in all bands."""
-    offset, count = level.span(tile)
+def read_tile(source: RangeRead, level: Level, tile: int, span: tuple[int, int] | None = None, mask: tuple[int, int] | None = None) -> tuple[int, int, np.ndarray]:
+    """(row, col, values) of a tile cut to the image, masked pixels NaN in all bands; span and mask are the places of its bytes."""
+    offset, count = span or level.span(tile)
     wanted = [(offset, count)] if count else []
-    mask = level.mask.span(tile) if level.mask else (0, 0)
+    mask = mask or (level.mask.span(tile) if level.mask else (0, 0))
     got = iter(source.read_ranges(wanted + ([mask] if mask[1] else [])))
     values = decode_tile(level, next(got) if count else b"")
     if level.mask:
