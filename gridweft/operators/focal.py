@@ -30,10 +30,16 @@ def _median(sorted_: Column) -> Column:
     return (F.element_at(sorted_, F.floor((n + 1) / 2).cast("int")) + F.element_at(sorted_, (F.floor(n / 2) + 1).cast("int"))) / 2
 
 
-def _majority(items: Column) -> Column:
-    """The commonest value, the smallest of equally common ones."""
-    counted = F.transform(F.array_distinct(items), lambda x: F.struct(F.size(F.filter(items, lambda y: y == x)).alias("n"), (-x).alias("v")))
-    return -F.array_max(counted)["v"]
+def _majority(sorted_: Column) -> Column:
+    """The commonest value, the smallest of equally common ones, by one pass over the sorted values."""
+    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("most"), F.lit(None).cast("double").alias("now"), F.lit(0).alias("n"))
+
+    def add(s: Column, x: Column) -> Column:
+        n = F.when(s["now"] == x, s["n"] + 1).otherwise(1)
+        more = n > s["most"]
+        return F.struct(F.when(more, x).otherwise(s["best"]).alias("best"), F.when(more, n).otherwise(s["most"]).alias("most"), x.alias("now"), n.alias("n"))
+
+    return F.aggregate(sorted_, start, add)["best"]
 
 
 def focal_stats(cells: DataFrame, radius: int, shape: str = "square", stat: str = "mean") -> DataFrame:

@@ -58,8 +58,9 @@ def flow_accumulation(directions: DataFrame, grid: Grid) -> DataFrame:
     def step(pointers: DataFrame) -> DataFrame:
         brought = pointers.where(F.col("to").isNotNull()).groupBy("raster_id", F.col("to").alias("id")).agg(F.sum("n").alias("more"))
         further = pointers.select("raster_id", F.col("id").alias("to"), F.col("to").alias("next"))
-        moved = pointers.join(further, ["raster_id", "to"], "left").join(brought, ["raster_id", "id"], "left")
-        return moved.select("raster_id", "id", F.col("next").alias("to"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+        moving = pointers.where(F.col("to").isNotNull()).join(further, ["raster_id", "to"]).select("raster_id", "id", F.col("next").alias("to"), "n")
+        ended = pointers.where(F.col("to").isNull()).select("raster_id", "id", "to", "n")  # many, and no key of a join
+        return moving.union(ended).join(brought, ["raster_id", "id"], "left").select("raster_id", "id", "to", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
 
     counted = _doubled(start, grid, step).select("raster_id", "id", "n")
     return cells.join(counted, ["raster_id", "id"], "left").select("raster_id", "row", "col", (F.col("n") - 1).cast("double").alias("value"))
@@ -74,7 +75,8 @@ def outlets(directions: DataFrame, grid: Grid) -> DataFrame:
 
     def step(pointers: DataFrame) -> DataFrame:
         further = pointers.select("raster_id", F.col("id").alias("to"), F.col("to").alias("next"), F.col("outlet").alias("end"))
-        return pointers.join(further, ["raster_id", "to"], "left").select("raster_id", "id", F.col("next").alias("to"), F.coalesce("end", "outlet").alias("outlet"))
+        moving = pointers.where(F.col("to").isNotNull()).join(further, ["raster_id", "to"]).select("raster_id", "id", F.col("next").alias("to"), F.col("end").alias("outlet"))
+        return moving.union(pointers.where(F.col("to").isNull()).select("raster_id", "id", "to", "outlet"))
 
     ends = _doubled(start, grid, step).select("raster_id", "id", "outlet")
     return cells.select("raster_id", "row", "col", "id").join(ends, ["raster_id", "id"])

@@ -15,14 +15,18 @@ def viewshed(cells: DataFrame, grid: Grid, row: int, col: int, height: float, ra
     whole steps of the longer span and are bilinear; one next to missing data hides nothing.
     Each cell brings its own, its eastern, southern and diagonal elevation to one equi-join.
     """
-    at = F.lit(float(row)), F.lit(float(col))
+    at, reach = (F.lit(float(row)), F.lit(float(col))), int(radius / grid.cell_size) + 2
+    frame = cells.select("raster_id", "row", "col")
+    # the box that sight lines can cross, before any window or join
+    cells = cells.where(F.col("row").between(row - reach, row + reach) & F.col("col").between(col - reach, col + reach))
     observer = cells.where((F.col("row") == row) & (F.col("col") == col) & F.col("value").isNotNull()).select("raster_id", (F.col("value") + height).alias("eye"))
     quads = cells.withColumn("z01", F.when(F.col("col") == grid.width - 1, F.col("value")).otherwise(F.lead("value").over(rows_window())))
     last = F.col("row") == grid.height - 1
     quads = quads.withColumn("z10", F.when(last, F.col("value")).otherwise(F.lead("value").over(cols_window()))).withColumn("z11", F.when(last, F.col("z01")).otherwise(F.lead("z01").over(cols_window())))
     quads = quads.select("raster_id", F.col("row").alias("r0"), F.col("col").alias("c0"), F.col("value").alias("z00"), "z01", "z10", "z11").where("z00 is not null and z01 is not null and z10 is not null and z11 is not null")
 
-    spans = cells.join(observer, "raster_id").where(F.col("value").isNotNull()).withColumn("dr", F.col("row") - at[0]).withColumn("dc", F.col("col") - at[1])
+    # one row of two numbers for each raster
+    spans = cells.join(F.broadcast(observer), "raster_id").where(F.col("value").isNotNull()).withColumn("dr", F.col("row") - at[0]).withColumn("dc", F.col("col") - at[1])
     spans = spans.withColumn("length", F.hypot("dr", "dc")).where(F.col("length") <= radius / grid.cell_size)
     spans = spans.withColumn("steps", F.greatest(F.abs("dr"), F.abs("dc")).cast("int")).withColumn("angle", F.when(F.col("length") > 0, (F.col("value") - F.col("eye")) / F.col("length")))
     samples = spans.where("steps > 1").withColumn("step", F.explode(F.sequence(F.lit(1), F.col("steps") - 1))).withColumn("along", F.col("step").cast("double") / F.col("steps"))
@@ -33,4 +37,4 @@ def viewshed(cells: DataFrame, grid: Grid, row: int, col: int, height: float, ra
     ground = F.col("z00") * ((1 - down) * (1 - right)) + F.col("z01") * ((1 - down) * right) + F.col("z10") * (down * (1 - right)) + F.col("z11") * (down * right)
     hidden = met.where((ground - F.col("eye")) / (F.col("length") * F.col("along")) > F.col("angle")).select("raster_id", "row", "col").distinct().withColumn("hidden", F.lit(True))
     seen = spans.select("raster_id", "row", "col").join(hidden, ["raster_id", "row", "col"], "left").withColumn("seen", F.when(F.col("hidden"), 0.0).otherwise(1.0))
-    return cells.select("raster_id", "row", "col").join(seen.select("raster_id", "row", "col", F.col("seen").alias("value")), ["raster_id", "row", "col"], "left")
+    return frame.join(seen.select("raster_id", "row", "col", F.col("seen").alias("value")), ["raster_id", "row", "col"], "left")

@@ -14,4 +14,4 @@ def zonal_stats(values: DataFrame, zones: DataFrame, value_grid: Grid | None = N
     labels = zones.select(*CELL, F.col("value").alias("zone"))
     both = values.join(labels, CELL).where(F.col("value").isNotNull() & F.col("zone").isNotNull())
     v = "value"
-    return both.groupBy("raster_id", "zone").agg(F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.sum(v).alias("sum"), F.stddev_pop(v).alias("std"), F.median(v).alias("median"))
+    return both.groupBy("raster_id", "zone").agg(F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.sum(v).alias("sum"), F.stddev_pop(v).alias("std"), F.median(v).alias("median")).orderBy("raster_id", "zone")
