@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweft.operators import algebra, focal, hydro, pyramid, terrain, timeseries, vector, visibility, zonal
-from gridweft.plans import surfaces as S
+from gridweft.plans import derived, files, surfaces as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -194,11 +194,16 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
 
 _POINTS = {"T": ("x0 + (CASE WHEN abs(tr - tl) < 1e-12 THEN 0.5 ELSE (l - tl) / (tr - tl) END) * 10", "y0"), "R": ("x0 + 10", "y0 - (CASE WHEN abs(br - tr) < 1e-12 THEN 0.5 ELSE (l - tr) / (br - tr) END) * 10"), "B": ("x0 + (CASE WHEN abs(br - bl) < 1e-12 THEN 0.5 ELSE (l - bl) / (br - bl) END) * 10", "y0 - 10"), "L": ("x0", "y0 - (CASE WHEN abs(bl - tl) < 1e-12 THEN 0.5 ELSE (l - tl) / (bl - tl) END) * 10")}
 _CASES = [(k, "TRUE", 0, e) for k, e in vector.SEGMENTS.items()] + [(k, f"(tl + tr + br + bl) / 4 {sign} l", part, e) for k, pair in vector.SADDLES.items() for sign, es in zip((">=", "<"), pair, strict=True) for part, e in enumerate(es)]
-_SQL_BLOCKS = f"g AS (SELECT row, col, value % 400 AS value FROM ({S.SQL_HOLES})), m AS (SELECT ceil(min(value) / {_STEP}) * {_STEP} AS a, max(value) AS b FROM g), lv AS (SELECT a + i * {_STEP} AS l FROM m, generate_series(0, 20) AS s(i) WHERE a + i * {_STEP} <= b), q AS (SELECT a.row, a.col, a.value AS tl, b.value AS tr, c.value AS br, d.value AS bl, a.col * 10.0 AS x0, (15 - a.row) * 10.0 AS y0 FROM g a JOIN g b ON b.row = a.row AND b.col = a.col + 1 JOIN g c ON c.row = a.row + 1 AND c.col = a.col + 1 JOIN g d ON d.row = a.row + 1 AND d.col = a.col WHERE a.value + b.value + c.value + d.value IS NOT NULL), k AS (SELECT *, (tl >= l)::INT + 2 * (tr >= l)::INT + 4 * (br >= l)::INT + 8 * (bl >= l)::INT AS kind FROM q, lv)"
-_SQL_SEGMENTS = f"WITH {_SQL_BLOCKS} " + " UNION ALL ".join(f"SELECT l::DOUBLE AS level, row, col, {part}::INT AS part, {_sql_cut(_POINTS[e[0]][0], 'x1')}, {_sql_cut(_POINTS[e[0]][1], 'y1')}, {_sql_cut(_POINTS[e[1]][0], 'x2')}, {_sql_cut(_POINTS[e[1]][1], 'y2')} FROM k WHERE kind = {kind} AND {test}" for kind, test, part, e in _CASES)
+
+
+def _segments_sql(base: float) -> str:
+    blocks = f"g AS (SELECT row, col, value % 400 AS value FROM ({S.SQL_HOLES})), m AS (SELECT ceil((min(value) - {base}) / {_STEP}) * {_STEP} + {base} AS a, max(value) AS b FROM g), lv AS (SELECT a + i * {_STEP} AS l FROM m, generate_series(0, 20) AS s(i) WHERE a + i * {_STEP} <= b), q AS (SELECT a.row, a.col, a.value AS tl, b.value AS tr, c.value AS br, d.value AS bl, a.col * 10.0 AS x0, (15 - a.row) * 10.0 AS y0 FROM g a JOIN g b ON b.row = a.row AND b.col = a.col + 1 JOIN g c ON c.row = a.row + 1 AND c.col = a.col + 1 JOIN g d ON d.row = a.row + 1 AND d.col = a.col WHERE a.value + b.value + c.value + d.value IS NOT NULL), k AS (SELECT *, (tl >= l)::INT + 2 * (tr >= l)::INT + 4 * (br >= l)::INT + 8 * (bl >= l)::INT AS kind FROM q, lv)"
+    return f"WITH {blocks} " + " UNION ALL ".join(f"SELECT l::DOUBLE AS level, row, col, {part}::INT AS part, {_sql_cut(_POINTS[e[0]][0], 'x1')}, {_sql_cut(_POINTS[e[0]][1], 'y1')}, {_sql_cut(_POINTS[e[1]][0], 'x2')}, {_sql_cut(_POINTS[e[1]][1], 'y2')} FROM k WHERE kind = {kind} AND {test}" for kind, test, part, e in _CASES)
+
+
+_SQL_SEGMENTS = _segments_sql(0.0)
 _add("contour_segments", _segments, _SQL_SEGMENTS)
 _add("contour_levels", lambda spark, d: _segments(spark, d).groupBy("level").agg(F.count(F.lit(1)).alias("n_segments")), f"SELECT level, count(*) AS n_segments FROM ({_SQL_SEGMENTS}) GROUP BY level")
-_add("contour_lines", lambda spark, d: vector.contour_lines(S.holes(spark, d).withColumn("value", F.col("value") % 400), S.SALES, _STEP).select("level", "line_id", "vertices"))
 
 
 def _classes(spark: SparkSession, d: str) -> DataFrame:
@@ -210,7 +215,6 @@ _add(
     lambda spark, d: vector.label_regions(_classes(spark, d), S.SALES).groupBy(F.col("region").cast("long").alias("region"), F.col("value").cast("double").alias("value")).agg(F.count(F.lit(1)).alias("cells")),
     f"WITH RECURSIVE g AS (SELECT row * 16 + col AS id, row, col, floor(value / 60) AS value FROM ({S.SQL_HOLES}) WHERE value IS NOT NULL), e AS (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.value = b.value AND abs(a.row - b.row) + abs(a.col - b.col) = 1), reach(id, other) AS (SELECT id, id FROM g UNION SELECT r.id, e.b FROM reach r JOIN e ON e.a = r.other), l AS (SELECT id, min(other) AS region FROM reach GROUP BY id) SELECT l.region::BIGINT AS region, g.value::DOUBLE AS value, count(*) AS cells FROM l JOIN g ON g.id = l.id GROUP BY ALL",
 )
-_add("polygonize_rings", lambda spark, d: vector.polygonize(_classes(spark, d).withColumn("value", F.col("value").cast("double")), S.SALES).select("value", "region", "poly", "rings"))
 
 # -- hydrology and sight --
 
@@ -243,3 +247,10 @@ _add(
     f"WITH g AS ({S.SQL_HOLES}), o AS (SELECT value + 50 AS eye FROM g WHERE row = 7 AND col = 7), t AS (SELECT g.row, g.col, value, eye, (row - 7)::DOUBLE AS dr, (col - 7)::DOUBLE AS dc, sqrt((row - 7) * (row - 7) + (col - 7) * (col - 7)) AS len, greatest(abs(row - 7), abs(col - 7)) AS steps FROM g, o WHERE value IS NOT NULL AND eye IS NOT NULL), s AS (SELECT *, i::DOUBLE / steps AS f, 7 + dr * (i::DOUBLE / steps) AS r, 7 + dc * (i::DOUBLE / steps) AS c FROM t, generate_series(1, 15) AS k(i) WHERE i < steps AND len <= 7), q AS (SELECT s.*, r - floor(r) AS y, c - floor(c) AS x FROM s), h AS (SELECT DISTINCT q.row, q.col FROM q JOIN g a ON a.row = floor(r) AND a.col = floor(c) JOIN g b ON b.row = floor(r) AND b.col = least(floor(c) + 1, 15) JOIN g p ON p.row = least(floor(r) + 1, 15) AND p.col = floor(c) JOIN g z ON z.row = least(floor(r) + 1, 15) AND z.col = least(floor(c) + 1, 15) WHERE (a.value * ((1 - y) * (1 - x)) + b.value * ((1 - y) * x) + p.value * (y * (1 - x)) + z.value * (y * x) - eye) / (len * f) > (q.value - eye) / len) SELECT g.row, g.col, CASE WHEN t.row IS NULL OR t.len > 7 THEN NULL WHEN h.row IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM g LEFT JOIN t ON t.row = g.row AND t.col = g.col LEFT JOIN h ON h.row = g.row AND h.col = g.col",
 )
 
+derived.register_functions(ORACLES, _sql_cut)
+derived.register_wide(ORACLES, _SQL_NEAR)
+_add("contour_lines", derived.contour_lines, derived.contour_sql(_segments_sql(0.5)))
+_add("flat_contours", derived.flat_contours, f"SELECT level, lines, vertices, vertices AS pairs FROM ({derived.contour_sql(_segments_sql(0.5))})")
+for _module in (files, derived):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES

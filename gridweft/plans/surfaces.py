@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweft.functions.grid import CELL, Grid, densify
+from gridweft.functions.grid import CELL, Grid, blank, densify
 
 SALES = Grid(16, 16, cell_size=10.0)
 LAYERS = 7
@@ -33,6 +35,20 @@ def surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("value", F.col("value").cast("double"))
 
 
+def plane_grid(spark: SparkSession, sf_dir: str) -> Grid:
+    """A square grid of about as many cells as there are line items."""
+    side = math.isqrt(_table(spark, sf_dir, "lineitem").count())
+    return Grid(side, side)
+
+
+def plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities sold by order and part, modulo the side of plane_grid(); every cell, 0 where nothing was sold."""
+    grid = plane_grid(spark, sf_dir)
+    rows = _table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % grid.height).cast("int").alias("row"), (F.col("l_partkey") % grid.width).cast("int").alias("col"))
+    sold = rows.agg(F.sum(F.col("l_quantity").cast("long")).cast("double").alias("sold"))
+    return blank(spark, grid).select(*CELL).join(sold, ["row", "col"], "left").select(*CELL, F.coalesce("sold", F.lit(0.0)).alias("value"))
+
+
 def years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sales() by year of shipping, 1995 to 2001, as layers."""
     rows = _table(spark, sf_dir, "lineitem").where(F.year("l_shipdate").between(1995, 2001))
@@ -52,6 +68,7 @@ def dense(cells: DataFrame) -> DataFrame:
     return densify(cells, SALES).select(*CELL, "value")
 
 
+SQL_PLANE = "WITH side AS (SELECT floor(sqrt(count(*)))::BIGINT AS n FROM lineitem), sold AS (SELECT (l_orderkey % n)::INT AS row, (l_partkey % n)::INT AS col, sum(l_quantity::BIGINT)::DOUBLE AS value FROM lineitem, side GROUP BY ALL), cells AS (SELECT r::INT AS row, c::INT AS col FROM side, range(n) AS a(r), range(n) AS b(c)) SELECT cells.row, cells.col, coalesce(sold.value, 0.0) AS value FROM cells LEFT JOIN sold ON sold.row = cells.row AND sold.col = cells.col"
 _PLACE = "(l_orderkey % 16)::INT AS row, (l_partkey % 16)::INT AS col"
 SQL_SALES = f"SELECT {_PLACE}, sum(l_quantity::BIGINT)::DOUBLE AS value FROM lineitem GROUP BY ALL"
 SQL_HOLES = f"SELECT row, col, CASE WHEN (row * 7 + col * 3) % 11 <> 0 THEN value END AS value FROM ({SQL_SALES})"
