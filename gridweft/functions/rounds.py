@@ -17,7 +17,7 @@ def use_checkpoints(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local["):
+        if folder is None and context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gridweft-"))
     return context._jsc.sc().getCheckpointDir().get()
