@@ -282,3 +282,10 @@ def wide_flow_accumulation(spark: SparkSession, d: str) -> DataFrame:
 @_query(f"SELECT row, col, 1.0::DOUBLE AS value FROM ({S.SQL_PLANE})")
 def wide_watershed(spark: SparkSession, d: str) -> DataFrame:
     return hydro.watershed(_downhill(spark, d), S.plane_grid(spark, d)).select("row", "col", "value")
+
+
+@_query(f"WITH p AS ({S.SQL_PLANE}), n AS (SELECT max(col) AS last FROM p) SELECT row, col, CASE WHEN col = last AND row > 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS value FROM p, n")
+def wide_stream_order(spark: SparkSession, d: str) -> DataFrame:
+    """Each row a stream into the last column: where two streams meet, their sequence does not matter."""
+    grid, ways = S.plane_grid(spark, d), _downhill(spark, d)
+    return hydro.stream_order(hydro.flow_accumulation(ways, grid), ways, grid, 0.0).select("row", "col", "value")
