@@ -315,3 +315,44 @@ def test_running_composite(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted((r["mean"], r["n"]) for r in spark.table("composites").collect()) == [(2.0, 2), (9.0, 1)]
+
+
+def test_metadata_tables(spark, tmp_path):
+    path, grid = str(tmp_path / "m.tif"), G.Grid(40, 30, 0.5, 10.0, 50.0, 0.5, 0.5, 4326)
+    S.write_cog(cells(spark, ramp(30, 40)), path, grid, 1, "u16", (16, 16), 1, True, 999.0)
+    rows = spark.read.format("cog").option("path", path).option("metadata", "true").load().orderBy("level").collect()
+    assert [(r["width"], r["height"], r["sample_format"], r["nodata"], r["compression"], r["masked"]) for r in rows] == [(40, 30, "u16", 999.0, 8, False), (20, 15, "u16", 999.0, 8, False)]
+    message = tmp_path / "m.grib2"
+    message.write_bytes(grib_bytes() + grib_bytes(0, b"", 9999.0))
+    df = spark.read.format("grib2").option("path", str(message))
+    assert [r["message"] for r in df.option("metadata", "true").load().collect()] == [0, 1]
+    assert df.option("metadata", "false").option("message", 1).load().where("value is not null").count() == 0  # 9999 is no data
+    classic = tmp_path / "m.nc"
+    classic.write_bytes(netcdf_bytes(1, (("scale_factor", 2.0),)))
+    found = {r["variable"]: r for r in spark.read.format("netcdf").option("path", str(classic)).option("metadata", "true").load().collect()}
+    assert found["temp"]["shape"] == [2, 2] and found["temp"]["attributes"] == {"scale_factor": "2.0"} and found["precip"]["global_attributes"] == {"title": "made here"}
+
+
+def test_files_hold_one_raster_and_are_written_by_place(spark, tmp_path):
+    one = cells(spark, ramp(20, 3))
+    with pytest.raises(G.InvalidInput):
+        S.write_geotiff(one.union(one.withColumn("raster_id", F.lit("other"))), str(tmp_path / "x.tif"), G.Grid(3, 20))
+    path = str(tmp_path / "y.tif")
+    S.write_geotiff(one.where("row <> 7").repartition(5), path, G.Grid(3, 20), rows_a_block=4, transport="gridweft.sources.samples:FileWrite")
+    found = back(spark.read.format("geotiff").option("path", path).load(), 20, 3)
+    assert np.isnan(found[7]).all() and np.array_equal(np.delete(found, 7, 0), np.delete(ramp(20, 3), 7, 0))
+    sink = samples.FileWrite(str(tmp_path / "z"))
+    sink.create(b"head")
+    sink.write_range(6, b"tail")
+    assert (tmp_path / "z").read_bytes() == b"head\0\0tail"
+
+
+def test_bands(spark):
+    both = G.banded([cells(spark, ramp(4, 3)), cells(spark, ramp(4, 3) + 100)], names=["a", None])
+    assert G.band_count(both) == 2
+    assert {r["band"]: r["name"] for r in G.band_names(both).collect()} == {0: "a", 1: None}
+    changed = G.with_band(both, 1, cells(spark, ramp(4, 3) * 2))
+    assert changed.columns == both.columns
+    got = {(r["row"], r["col"]): r["value"] for r in G.band(changed, 1).collect()}
+    assert got == {(r, c): (r * 3 + c) * 2.0 for r in range(4) for c in range(3)}
+    assert G.band(both, 5).count() == 0
