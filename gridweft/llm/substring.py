@@ -18,6 +18,7 @@ WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 _GROUP = 1 << 20
+_DOCS_A_HASH_BUCKET, _DOCS_A_BUCKET = 2_000, 8_000
 _SEGMENT = 1 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F | 1)
 _TABLES = [np.random.Generator(np.random.PCG64(s)).integers(0, 1 << 63, 256, np.uint64) << np.uint64(1) | np.uint64(1) for s in (11, 12)]
@@ -314,10 +315,11 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.drop_columns(["kept"]).append_column("kept_sha256", pa.array(sums, pa.string()))
 
 
-def _bucket_bits(spark: SparkSession) -> tuple[int, int]:
-    """Bits of the buckets of hashes, some for each partition, and of documents, about one for each."""
+def _bucket_bits(spark: SparkSession, documents: int) -> tuple[int, int]:
+    """Bits of the buckets of hashes and of documents: some, or about one, for each partition, and
+    enough that a bucket, which a task holds whole, keeps its size whatever the number of documents."""
     n = partitions(spark)
-    return max(4, (4 * n - 1).bit_length()), max(2, (n - 1).bit_length())
+    return max(4, (4 * n - 1).bit_length(), (documents // _DOCS_A_HASH_BUCKET).bit_length()), max(2, (n - 1).bit_length(), (documents // _DOCS_A_BUCKET).bit_length())
 
 
 def _exchanged(df: DataFrame, step, schema: str) -> DataFrame:
@@ -340,7 +342,7 @@ def without_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     null doc_id sorts first; rows that repeat a doc_id are documents of their own, in the
     order of a hash of their texts. An empty table gives no rows.
     """
-    bits, doc_bits = _bucket_bits(docs.sparkSession)
+    bits, doc_bits = _bucket_bits(docs.sparkSession, docs.count())
     (key,) = spare(docs, "_key")
     keyed = row_keyed(docs.select("doc_id", "text"), key)
     texts = keyed.select(F.col(key).alias("doc_key"), "text")
