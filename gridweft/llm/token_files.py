@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridweft.llm import tokens
-from gridweft.llm.common import doc_key, from_key, in_arrow, partitions, use_checkpoints
+from gridweft.llm.common import doc_key, from_key, in_arrow, partitions, row_keyed, use_checkpoints
 from gridweft.llm.wavelet import WaveletMatrix
 
 SHARD_IDS = 2_000_000
@@ -23,11 +23,11 @@ _SHARD = "first_key long, part int, n_docs long, n_ids long, content binary"
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
     """Writes the ids of every whole text to Parquet files of shards under path.
 
-    Rows are dealt to ranges of doc_id, so shards sorted by (first_key, part) hold all
+    Rows are dealt to ranges of row_keyed(), so shards sorted by (first_key, part) hold all
     documents in ascending order; a null doc_id comes first. A shard ends with the document
     that brings it to shard_ids. Null texts are empty; every document gets end_id. Rows that
-    repeat a doc_id are documents of their own, those of smaller text first. An empty table
-    gives no shards.
+    repeat a doc_id or have none are documents of their own, in the order of a hash of their
+    texts. An empty table gives no shards.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -35,17 +35,18 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         kind, code = (np.dtype("<u2"), "H") if max(size, end_id + 1) <= 1 << 16 else (np.dtype("<u4"), "I")
         bits = max(size - 1, end_id, 1).bit_length()
         memo, end = tokens.memo(tokenizer, code), np.array([end_id], kind).tobytes()
-        keys, lengths, bodies, held, part = [], [], [], 0, 0
+        keys, lengths, bodies, held, part, first = [], [], [], 0, 0, None
 
         def shard() -> pa.RecordBatch:
             nonlocal part
             matrix = WaveletMatrix.build(np.frombuffer(b"".join(bodies), kind), keys, lengths, bits)
-            row = {"first_key": [keys[0]], "part": pa.array([part], pa.int32()), "n_docs": [len(keys)], "n_ids": [matrix.n], "content": pa.array([matrix.to_bytes()], pa.binary())}
+            row = {"first_key": pa.array([first], pa.int64()), "part": pa.array([part], pa.int32()), "n_docs": [len(keys)], "n_ids": [matrix.n], "content": pa.array([matrix.to_bytes()], pa.binary())}
             part += 1
             return pa.RecordBatch.from_pydict(row)
 
         for batch in batches:
-            for key, text in zip(batch["doc_key"].to_pylist(), batch["text"], strict=True):
+            for place, key, text in zip(batch["row_key"].to_pylist(), batch["doc_key"].to_pylist(), batch["text"], strict=True):
+                first = first if keys else place
                 body = b"".join(memo.lookup(tokens.words(text.as_py() or ""))) + end
                 keys.append(key)
                 bodies.append(body)
@@ -57,8 +58,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         if keys:
             yield shard()
 
-    keyed = docs.select(doc_key().alias("doc_key"), "text")
-    dealt = keyed.repartitionByRange(partitions(docs.sparkSession), "doc_key").sortWithinPartitions("doc_key", "text")
+    keyed = row_keyed(docs.select("doc_id", "text"), "row_key").select("row_key", doc_key().alias("doc_key"), "text")
+    dealt = keyed.repartitionByRange(partitions(docs.sparkSession), "row_key").sortWithinPartitions("row_key")
     in_arrow(dealt, encode, _SHARD).write.option("compression", "zstd").parquet(path)
 
 
@@ -85,6 +86,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     shards = spark.read.parquet(path)
+    # one small row for each shard of some two million ids meets in one task
     before = Window.orderBy("first_key", "part").rowsBetween(Window.unboundedPreceding, -1)
     bases = shards.select("first_key", "part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     rows = in_arrow(shards.select("first_key", "part", "content"), decode, "first_key long, part int, doc_key long, within long, n_tokens long, ids_crc32 long")
@@ -98,7 +100,7 @@ def find_token(spark: SparkSession, path: str, token: int) -> DataFrame:
         for batch in batches:
             for content in batch["content"]:
                 matrix = WaveletMatrix.from_bytes(content.as_py())
-                at = np.array([matrix.select(token, k) for k in range(matrix.count(token))], np.int64)
+                at = matrix.select_many(token, np.arange(matrix.count(token), dtype=np.int64))
                 ends = np.cumsum(matrix.lengths)
                 doc = np.searchsorted(ends, at, side="right")
                 yield pa.RecordBatch.from_pydict({"doc_key": matrix.docs[doc], "place": at - (ends - matrix.lengths)[doc]})

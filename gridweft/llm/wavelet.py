@@ -107,23 +107,33 @@ class WaveletMatrix:
     def count(self, token: int) -> int:
         return self.rank(token, self.n)
 
-    def _select_bit(self, level: int, bit: int, k: int) -> int:
-        """Place of the k-th (from 0) bit of this value in a plane."""
-        ones = self.ones[level]
+    def _select_bits(self, level: int, bit: int, k: np.ndarray) -> np.ndarray:
+        """Places of the k-th (from 0) bits of this value in a plane; of a block only the bits that are asked for are looked at."""
+        ones, plane, width = self.ones[level], self.planes[level], _BLOCK // 8
         before = ones if bit else np.arange(len(ones)) * _BLOCK - ones
-        block = int(np.searchsorted(before, k, side="right")) - 1
-        bits = np.unpackbits(self.planes[level][block * _BLOCK // 8 : (block + 1) * _BLOCK // 8], bitorder="little")
-        return block * _BLOCK + int(np.flatnonzero(bits == bit)[k - int(before[block])])
-
-    def select(self, token: int, k: int) -> int:
-        """Place of the k-th (from 0) occurrence of token."""
-        if not 0 <= k < self.count(token):
-            raise IndexError(f"token {token} has no occurrence {k}")
+        block, out = np.searchsorted(before, k, side="right") - 1, np.empty(len(k), np.int64)
+        padded = np.zeros(-(-len(plane) // width) * width, np.uint8)
+        padded[: len(plane)] = plane
+        blocks = padded.reshape(-1, width)
+        for low in range(0, len(k), 4096):
+            b = block[low : low + 4096]
+            seen = np.cumsum(np.unpackbits(blocks[b], axis=1, bitorder="little") == bit, axis=1, dtype=np.int16)
+            out[low : low + 4096] = b * _BLOCK + (seen > (k[low : low + 4096] - before[b])[:, None]).argmax(1)
+        return out
+
+    def select_many(self, token: int, k: np.ndarray) -> np.ndarray:
+        """Places of the k-th (from 0) occurrences of token."""
+        if len(k) and not 0 <= k.min() <= k.max() < self.count(token):
+            raise IndexError(f"token {token} has {self.count(token)} occurrences")
         at = self._range(token, 0)[0] + k
         for level, bit in reversed(list(self._bits(token))):
-            at = self._select_bit(level, bit, at - (int(self.zeros[level]) if bit else 0))
+            at = self._select_bits(level, bit, at - (int(self.zeros[level]) if bit else 0))
         return at
 
+    def select(self, token: int, k: int) -> int:
+        """Place of the k-th (from 0) occurrence of token."""
+        return int(self.select_many(token, np.array([k], np.int64))[0])
+
     def to_array(self) -> np.ndarray:
         """All ids, planes undone from the last to the first."""
         kind = {2: np.uint16, 4: np.uint32}[self.width]
