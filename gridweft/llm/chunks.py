@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from gridweft.llm import tokens
-from gridweft.llm.common import doc_key, from_key, in_arrow, saved
+from gridweft.llm.common import doc_key, from_key, in_arrow, kept, row_keyed, saved, spare, written
 
 WINDOW, MIN_CHUNK, MAX_CHUNK, ONE_IN = 24, 1024, 8192, 64
 _ARROW = {"doc_key": pa.int64(), "ids": pa.binary(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "decoded": pa.string()}
@@ -159,13 +159,8 @@ class Codec:
         return [code for _, code in done]
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def codec(path: str) -> Codec:
-    if path not in _CODECS:
-        _CODECS[path] = Codec(path)
-    return _CODECS[path]
+    return kept(("codes", path), lambda: Codec(path))
 
 
 def _find_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,8 +194,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, decoded: bool = False, dig
     unsigned 32-bit integers. decoded=True adds their text as decoded; digest=False leaves out
     the two hashes, which are those of the decimal ids, separated by spaces, and of that text.
 
-    Null texts are empty and have no tokens. Rows that repeat a doc_id are encoded each by
-    itself: chunks are looked up by doc_id and hash. An empty table gives no rows.
+    Null texts are empty and have no tokens. Rows that repeat a doc_id or have none are
+    encoded each by itself. An empty table gives no rows.
     """
     schema = "doc_key long, ids binary, n_tokens long" + ", ids_sha256 string, decoded_sha256 string" * digest + ", decoded string" * decoded
 
@@ -256,14 +251,17 @@ def encode_documents(docs: DataFrame, tokenizer: str, decoded: bool = False, dig
 
     spellings = vocabulary(tokenizer)
     names = [column.split()[0] for column in schema.split(", ")][1:]
-    texts = docs.select(doc_key().alias("doc_key"), "text")
+    (key,) = spare(docs, "_key")
+    docs = row_keyed(docs.select("doc_id", "text"), key, ordered=False)
+    texts = docs.select(F.col(key).alias("doc_key"), "text")
     found = saved(in_arrow(texts, _find_chunks, "chunk binary, doc_key long, again boolean"))
     shared = found.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.bool_or("again").alias("again"), F.min("doc_key").alias("doc_key")).filter("n > 1 or again")
     owned = shared.groupBy("doc_key").agg(F.collect_list("chunk").alias("owned"))
     encoded = in_arrow(texts.join(owned, "doc_key").select("text", "owned"), encode_shared, "chunk binary, codes binary")
-    encoded = encoded.groupBy("chunk").agg(F.first("codes").alias("codes"))
+    encoded = written(encoded)  # a plain table, so that a chunk of very many documents is a skewed join, which is dealt anew
     given = found.select("chunk", "doc_key").join(encoded, "chunk").groupBy("doc_key").agg(F.collect_list(F.struct("chunk", "codes")).alias("given"))
-    done = in_arrow(texts.join(given, "doc_key", "left").select("doc_key", "text", "given"), encode_rest, schema)
+    rows = docs.select(F.col(key).alias("row_key"), doc_key().alias("doc_key"), "text").join(given.withColumnRenamed("doc_key", "row_key"), "row_key", "left")
+    done = in_arrow(rows.select("doc_key", "text", "given"), encode_rest, schema)
     return done.select(from_key().alias("doc_id"), *names)
 
 

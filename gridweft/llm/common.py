@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridweft.functions.rounds import use_checkpoints
 from gridweft.ship import ship
 
 #: A word of the corpus contracts: a run of anything but space, tab, LF, VT, FF and CR.
@@ -21,13 +24,6 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; a folder of our own is set only where that is unset."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridweft-"))
-
-
 def saved(df: DataFrame) -> DataFrame:
     """df with its lineage cut at a copy in the shared checkpoint folder."""
     use_checkpoints(df.sparkSession)
@@ -52,15 +48,17 @@ def doc_key(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
 
-def row_keyed(docs: DataFrame, name: str = "row_key") -> DataFrame:
-    """docs with a long column `name` that is another in each row and rises with doc_id, null first.
+def row_keyed(docs: DataFrame, name: str = "row_key", ordered: bool = True) -> DataFrame:
+    """docs with a long column `name` that is another in each row and, if ordered, rises with doc_id, null first.
 
     It is doc_key() where no doc_id repeats. Where one does, null among them, it numbers the
-    rows of a copy that is dealt to ranges of doc_id, text hash and arrival and saved.
+    rows of a saved copy, which, if ordered, is dealt to ranges of doc_id, text hash and arrival.
     """
     keys = docs.select(doc_key().alias("k")).groupBy("k").count()
     if keys.filter("count > 1").limit(1).count() == 0:
         return docs.withColumn(name, doc_key())
+    if not ordered:
+        return written(docs.withColumn(name, F.monotonically_increasing_id()))
     key, h, arrival = spare(docs, "_doc", "_h", "_arrival")
     dealt = docs.withColumn(key, doc_key()).withColumn(h, F.xxhash64("text")).withColumn(arrival, F.monotonically_increasing_id())
     dealt = dealt.repartitionByRange(partitions(docs.sparkSession), key, h, arrival).sortWithinPartitions(key, h, arrival)
@@ -71,10 +69,36 @@ def from_key(column: str = "doc_key") -> Column:
     return F.when(F.col(column) != NULL_ID, F.col(column))
 
 
+_KEPT: dict = {}
+
+
+def kept(name, make):
+    """An object of a Python worker that its later tasks find again, made on first use.
+
+    Workers outlive the stages of an operator, so only the objects of one name stay.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def release() -> None:
+    """Gives freed memory back to the system, for workers wait long for their next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow of a function that imports this package."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
 
 
 def spare(df: DataFrame, *names: str) -> list[str]:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweft.llm import tokens
-from gridweft.llm.common import in_arrow
+from gridweft.llm.common import in_arrow, kept
 
 SECTION_CHARS = 1_000
 _SPACES = np.array([9, 10, 11, 12, 13, 32], np.uint32)
@@ -29,17 +29,12 @@ class SpanMemo(tokens.WordMemo):
         return {w: np.array(e.offsets, np.uint32).tobytes() for w, e in zip(items, encoded, strict=True)}
 
 
-_MEMOS: dict[str, SpanMemo] = {}
-
-
 def token_spans(path: str, text: str) -> np.ndarray:
     """(tokens, 2) starts and ends in characters of the text, as its encoding's offsets have them."""
-    if path not in _MEMOS:
-        _MEMOS[path] = SpanMemo(path)
     items = tokens.words(text)
     if not items:
         return np.empty((0, 2), np.int64)
-    spans = _MEMOS[path].lookup(items)
+    spans = kept(("spans", path), lambda: SpanMemo(path)).lookup(items)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     blank = np.isin(codes, _SPACES)
     if not tokens.has_control(text):

@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridweft.llm.common import WORD_PATTERN, running_before, saved, spare
+from gridweft.llm.common import WORD_PATTERN, row_keyed, running_before, saved, spare
 
 GOLDEN = 0.6180339887498949
 SOURCE_WEIGHTS = (5, 2, 1)
@@ -71,8 +71,8 @@ def schedule(targets: DataFrame, slots: int) -> DataFrame:
     return spread(targets.filter("target > 0").select("s", F.ceil(F.col("target") * slots / total - 1e-9).alias("count")))
 
 
-def mix(docs: DataFrame, weights=SOURCE_WEIGHTS, repeat_cap: int = REPEAT_CAP, slots: int = SLOTS, seed: int = 42) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken), one row per input row.
+def mix(docs: DataFrame, weights=SOURCE_WEIGHTS, repeat_cap: int = REPEAT_CAP, slots: int = SLOTS, seed: int = 42, key: str | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken), one row per input row, and with it the column `key`, if named, of unique numbers.
 
     A source's documents, in an order shuffled by a seeded hash, form a stream of words that
     runs repeat_cap times; the stream is cut into blocks of equal words, smaller ones for a
@@ -86,7 +86,8 @@ def mix(docs: DataFrame, weights=SOURCE_WEIGHTS, repeat_cap: int = REPEAT_CAP, s
     table gives no rows.
     """
     columns = docs.select("doc_id", "source", word_count("text").alias("size"))
-    sized = saved(columns.withColumn("uid", F.monotonically_increasing_id()))
+    columns = columns.withColumn("uid", F.monotonically_increasing_id()) if key is None else docs.select("doc_id", "source", word_count("text").alias("size"), F.col(key).alias("uid"))
+    sized = saved(columns)
     total, rows = sized.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     most = max(1, min(math.ceil(total / slots), MOST_WORDS))
     bits = max(6, min(30, math.ceil(math.log2(max(1, rows / _ROWS_A_BUCKET)))))
@@ -105,17 +106,20 @@ def mix(docs: DataFrame, weights=SOURCE_WEIGHTS, repeat_cap: int = REPEAT_CAP, s
     taken = pieces.join(plan.hint("merge"), ["s", "rank"], "left_semi").groupBy("uid").agg(F.sum("words").alias("taken"))
 
     out = sized.join(taken, "uid", "left").join(targets.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    named = [] if key is None else [F.col("uid").alias(key)]
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *named)
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents as the mix takes them: each as many times as the words taken make its
-    passages, a rest of half a passage or more counting as one. Documents without words,
-    which no slot can take, stay once. Rows that repeat share what was taken of them."""
-    id_, source, size, copies, words, copy = spare(docs, "_id", "_source", "_size", "_copies", "_words", "_copy")
-    share = mix(docs, **options).groupBy("doc_id", "source", "size").agg((F.sum("taken") / F.count(F.lit(1))).alias("taken"))
+    """The rows as the mix takes them, all columns as they were: each as many times as the words
+    taken make its passages, a rest of half a passage or more counting as one. A source's
+    stream is cut in one row at most, so its words come within half of that row's of its target.
+
+    Rows without words, which no slot can take, stay once. Rows that repeat a doc_id or have
+    none are taken each by itself. An empty table gives no rows.
+    """
+    key, copies, copy = spare(docs, "_key", "_copies", "_copy")
+    keyed = row_keyed(docs, key, ordered=False)
     times = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    share = share.select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("size").alias(size), times.alias(copies))
-    same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(words) == F.col(size))
-    joined = docs.withColumn(words, word_count("text")).join(share, same).filter(F.col(copies) > 0)
-    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+    share = mix(keyed, key=key, **options).select(key, times.alias(copies)).filter(F.col(copies) > 0)
+    return keyed.join(share, key).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

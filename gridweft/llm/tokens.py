@@ -6,6 +6,8 @@ import os
 import re
 from array import array
 
+from gridweft.llm.common import kept
+
 #: Separators that every tokenizer used here drops and never builds a token across.
 _SPLIT = re.compile(r"[ \t-\r]+")
 _CONTROL = re.compile("[\x1c-\x1f]")
@@ -67,7 +69,8 @@ _PIECES = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
 class WordMemo:
     """render(ids) of the words of texts, each distinct word encoded once per worker.
 
-    At most `limit` words are kept; later ones are encoded again whenever they come.
+    At most `limit` words are kept, none of over 64 characters; others are encoded again
+    whenever they come.
     Only for tokenizers of which drops_space holds. The normalizer and the splitter leave no
     doubt about printable Latin-1 words without apostrophes (which may start contractions) and special
     tokens, so their pieces go straight to the library's BPE model; all other words go
@@ -105,7 +108,7 @@ class WordMemo:
             missing = {w for w, found in zip(items, out, strict=True) if found is None}
             found = self._fill(missing)
             if len(self.memo) < self.limit:
-                self.memo.update(found)
+                self.memo.update((w, x) for w, x in found.items() if len(w) <= 64)
             out = [found[w] if x is None else x for w, x in zip(items, out, strict=True)]
         return out
 
@@ -126,11 +129,6 @@ def as_array(code: str):
     return lambda ids: array(code, ids).tobytes()
 
 
-_MEMOS: dict = {}
-
-
 def memo(path: str, code: str) -> WordMemo:
-    """The worker's memo of a tokenizer; it lives as long as the worker, across tasks."""
-    if (path, code) not in _MEMOS:
-        _MEMOS[path, code] = WordMemo(path, as_array(code))
-    return _MEMOS[path, code]
+    """The worker's memo of a tokenizer, across tasks."""
+    return kept(("ids", path, code), lambda: WordMemo(path, as_array(code)))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweft.llm import tokens
-from gridweft.llm.common import doc_key, from_key, in_arrow, partitions
+from gridweft.llm.common import doc_key, from_key, in_arrow, kept, partitions, row_keyed
 from gridweft.ship import ship
 
 SAMPLES = 128
@@ -25,6 +25,8 @@ _STEP = 128
 _EMPTY = np.uint64(2**64 - 1)
 #: Characters of the texts that are compared at once.
 _CHARS = 1 << 22
+#: Ranges that documents are dealt to; their ends are numbers on the driver.
+_MOST_RANGES = 20_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -117,13 +119,8 @@ class Sampler:
         return (out & np.uint64(0xFFFF)).astype(">u2")
 
 
-_SAMPLERS: list[Sampler] = []
-
-
 def sampler() -> Sampler:
-    if not _SAMPLERS:
-        _SAMPLERS.append(Sampler())
-    return _SAMPLERS[0]
+    return kept("samples", Sampler)
 
 
 def terms(text: str) -> Counter:
@@ -164,15 +161,15 @@ def against_next(docs: DataFrame, buckets_a_partition: int = 4) -> DataFrame:
     at the head of the range below, and the lowest range that of the highest, so each range
     holds the next of all its rows.
 
-    Null texts are empty. A null doc_id sorts below all others. Rows that repeat a doc_id
-    follow each other in order of their texts. A single row is its own next. An empty table
-    gives no rows.
+    Null texts are empty. A null doc_id sorts below all others. Rows that repeat a doc_id or
+    have none follow each other in the order of row_keyed(), by a hash of their texts. A single
+    row is its own next. An empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
-    keyed = docs.select(doc_key().alias("doc_key"), F.coalesce("text", F.lit("")).alias("text"))
-    n = max(1, partitions(spark) * buckets_a_partition)
-    heads = keyed.agg(F.percentile_approx("doc_key", [(k + 1) / n for k in range(n)], 100 * n).alias("q"), F.max("doc_key").alias("top")).first()
+    keyed = row_keyed(docs.select("doc_id", "text"), "row_key").select("row_key", doc_key().alias("doc_key"), F.coalesce("text", F.lit("")).alias("text"))
+    n = max(1, min(_MOST_RANGES, partitions(spark) * buckets_a_partition))
+    heads = keyed.agg(F.percentile_approx("row_key", [(k + 1) / n for k in range(n)], 20 * n).alias("q"), F.max("row_key").alias("top")).first()
     bounds = sorted({*(heads["q"] or ()), *([heads["top"]] if heads["top"] is not None else ())})
 
     @F.pandas_udf("array<int>")
@@ -217,6 +214,6 @@ def against_next(docs: DataFrame, buckets_a_partition: int = 4) -> DataFrame:
         if held:
             yield flush()
 
-    dealt = keyed.withColumn("place", F.explode(places("doc_key"))).select(F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("bucket"), (F.col("place") < 0).alias("guest"), "doc_key", "text")
-    dealt = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", F.desc("doc_key"), "text")
+    dealt = keyed.withColumn("place", F.explode(places("row_key"))).select(F.when(F.col("place") < 0, -1 - F.col("place")).otherwise(F.col("place")).alias("bucket"), (F.col("place") < 0).alias("guest"), "row_key", "doc_key", "text")
+    dealt = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", F.desc("row_key"))
     return in_arrow(dealt, compare, _PAIR).withColumn("doc_id", from_key()).drop("doc_key")
