@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import defaultdict, deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,40 +81,41 @@ def contour_segments(cells: DataFrame, grid: Grid, interval: float, base: float
     return block.select("raster_id", "level", "row", "col", F.explode(found).alias("s")).select("raster_id", "level", "row", "col", "s.*")
 
 
+class _Ends:
+    """Unused segments by their ends, in buckets a few times as wide as what counts as one point."""
+
+    def __init__(self, pieces: np.ndarray):
+        self.pieces, self.free = pieces, np.ones(len(pieces), bool)
+        self.at: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+        for end in (0, 1):
+            for k, (x, y) in enumerate(np.round(pieces[:, end] / (4 * _CLOSE)).astype(np.int64).tolist()):
+                self.at[x, y].append((k, end))
+
+    def take(self, point: np.ndarray, first: int) -> np.ndarray | None:
+        """The other end of the least unused segment that ends at the point, end `first` preferred; the segment is used then."""
+        x, y = np.round(point / (4 * _CLOSE)).astype(np.int64).tolist()
+        met = [(k, end != first, end) for i in (x - 1, x, x + 1) for j in (y - 1, y, y + 1) for k, end in self.at.get((i, j), ()) if self.free[k] and np.abs(self.pieces[k, end] - point).max() < _CLOSE]
+        if not met:
+            return None
+        k, _, end = min(met)
+        self.free[k] = False
+        return self.pieces[k, 1 - end]
+
+
 def _stitched(segments: pd.DataFrame) -> pd.DataFrame:
-    """Lines of one level: from the first unused segment forward at the tail, then backward at the head."""
+    """Lines of one level: each begins at the first unused segment and grows at its end, then at its start."""
     segments = segments.sort_values(["row", "col", "part"])
-    ends = list(zip(segments.x1, segments.y1, segments.x2, segments.y2, strict=True))
-    near = defaultdict(list)
-    for k, (x1, y1, x2, y2) in enumerate(ends):
-        for x, y in {(round(x1 / _CLOSE / 4), round(y1 / _CLOSE / 4)), (round(x2 / _CLOSE / 4), round(y2 / _CLOSE / 4))}:
-            near[x, y].append(k)
-    used = [False] * len(ends)
-
-    def meets(x: float, y: float, a: float, b: float) -> bool:
-        return abs(x - a) < _CLOSE and abs(y - b) < _CLOSE
-
-    def grow(x: float, y: float, tail: bool):
-        cx, cy = round(x / _CLOSE / 4), round(y / _CLOSE / 4)
-        for k in sorted({k for dx in (-1, 0, 1) for dy in (-1, 0, 1) for k in near.get((cx + dx, cy + dy), ()) if not used[k]}):
-            a, b = ends[k][:2], ends[k][2:]
-            for here, there in ((a, b), (b, a)) if tail else ((b, a), (a, b)):
-                if meets(x, y, *here):
-                    used[k] = True
-                    return there
-        return None
-
-    lines = []
-    for k, (x1, y1, x2, y2) in enumerate(ends):
-        if used[k]:
+    pieces = segments[["x1", "y1", "x2", "y2"]].to_numpy().reshape(-1, 2, 2)
+    ends, lines = _Ends(pieces), []
+    for k in range(len(pieces)):
+        if not ends.free[k]:
             continue
-        used[k] = True
-        forward, backward = [(x1, y1), (x2, y2)], []
-        while (more := grow(*forward[-1], True)) is not None:
-            forward.append(more)
-        while (more := grow(*(backward[-1] if backward else forward[0]), False)) is not None:
-            backward.append(more)
-        lines.append([{"x": float(x), "y": float(y)} for x, y in [*reversed(backward), *forward]])
+        ends.free[k] = False
+        line = deque(pieces[k])
+        for grow, tip, first in ((line.append, -1, 0), (line.appendleft, 0, 1)):
+            while (point := ends.take(line[tip], first)) is not None:
+                grow(point)
+        lines.append([{"x": x, "y": y} for x, y in np.array(line).tolist()])
     return pd.DataFrame({"raster_id": segments.raster_id.iloc[0], "level": segments.level.iloc[0], "line_id": range(len(lines)), "vertices": lines})
 
 
@@ -174,28 +176,29 @@ def label_regions(cells: DataFrame, grid: Grid) -> DataFrame:
 
 
 def _rings(edges: list[tuple[tuple[int, int], tuple[int, int]]]) -> list[list[tuple[int, int]]]:
-    """Closed corner rings of directed unit edges, the sharpest right turn first where two lobes touch."""
-    leaving = defaultdict(list)
-    for a, b in sorted(edges, key=lambda e: (e[0][1], e[0][0], e[1][1], e[1][0])):
-        leaving[a].append(b)
+    """Closed corner rings of directed unit edges whose region lies to their right.
+
+    At a corner where two lobes touch a ring turns right, which keeps it at its own lobe. Rings
+    begin at their least (y, x) corner; points along straight sides are left out.
+    """
+    leaving: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    for (x, y), (x2, y2) in edges:
+        leaving[x, y].append((x2 - x, y2 - y))
     rings = []
-    for start in sorted(leaving, key=lambda p: (p[1], p[0])):
+    for start in sorted(leaving, key=lambda p: p[::-1]):
         while leaving[start]:
-            ring, heading = [start], None
-            while len(ring) == 1 or ring[-1] != start:
-                here = ring[-1]
-                ways = leaving[here]
-                step = [(b[0] - here[0], b[1] - here[1]) for b in ways]
-                k = 0
-                if heading and len(ways) > 1:
-                    dx, dy = heading
-                    k = min(range(len(ways)), key=lambda n: [(-dy, dx), (dx, dy), (dy, -dx), (-dx, -dy)].index(step[n]))
-                heading = step[k]
-                ring.append(ways.pop(k))
-            corners = [p for before, p, after in zip([ring[-2], *ring[:-2]], ring[:-1], ring[1:], strict=True) if (p[0] - before[0], p[1] - before[1]) != (after[0] - p[0], after[1] - p[1])]
-            first = min(range(len(corners)), key=lambda n: (corners[n][1], corners[n][0]))
-            corners = corners[first:] + corners[:first]
-            rings.append([*corners, corners[0]])
+            here, way, turns = start, min(leaving[start], key=lambda w: w[::-1]), []
+            while True:
+                leaving[here].remove(way)
+                turns.append((here, way))
+                here = here[0] + way[0], here[1] + way[1]
+                if here == start:
+                    break
+                # right turns have the greatest cross product (y runs down), left turns the least
+                way = max(leaving[here], key=lambda w, v=way: (v[0] * w[1] - v[1] * w[0], v[0] * w[0] + v[1] * w[1]))
+            corners = [p for (p, w), (_, before) in zip(turns, [turns[-1], *turns[:-1]], strict=True) if w != before]
+            first = corners.index(min(corners, key=lambda p: p[::-1]))
+            rings.append([*corners[first:], *corners[: first + 1]])
     return rings
 
 

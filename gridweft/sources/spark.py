@@ -181,7 +181,7 @@ class NetCdfReader(_Reader):
     def describe(self) -> list[dict]:
         meta = netcdf.metadata(open_range(self.options))
         texts = lambda own: {k: a["text"] if a["text"] is not None else " ".join(map(repr, a["nums"])) for k, a in own.items()}
-        return [{"variable": v["name"], "data_type": v["data_type"], "dimensions": v["dimensions"], "shape": v["shape"], "cell_size": netcdf.cell_size(meta, v) if v["dimensions"] else None, "attributes": list(texts(v["attributes"]).items()), "global_attributes": list(texts(meta["global_attributes"]).items())} for v in meta["variables"]]
+        return [{"variable": v["name"], "data_type": v["data_type"], "dimensions": v["dimensions"], "shape": v["shape"], "cell_size": netcdf.cell_size(meta, v) if v["dimensions"] else None, "attributes": texts(v["attributes"]), "global_attributes": texts(meta["global_attributes"])} for v in meta["variables"]]
 
 
 class _MetadataReader(DataSourceReader):
@@ -195,7 +195,7 @@ class _MetadataReader(DataSourceReader):
 
     def read(self, partition: Part) -> Iterator[tuple]:
         for row in self.inner.describe():
-            yield tuple(dict(v) if isinstance(v, list) and v and isinstance(v[0], tuple) else v for v in (row.get(f) for f in self.fields))
+            yield tuple(row.get(f) for f in self.fields)
 
 
 def _pushing(reader: type[_Reader]) -> type[_Reader]:
