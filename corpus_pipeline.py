@@ -3,6 +3,10 @@
 Toxic documents go, later copies of repeated line runs go from the texts, one document of
 each near-duplicate group stays, sources are mixed to their target weights, and what is left
 is encoded. STAGES holds (name, function); a function takes (spark, docs, sf_dir).
+
+Every stage takes null doc_ids, texts and sources, empty texts, repeated rows, ties, further
+columns of any name and empty tables as its operator's docstring says; none fails on them.
+Without usable labels no document is toxic.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group stays, whole; all texts without words are one group."""
     return simhash.without_near_copies(docs)
 
 
@@ -33,6 +38,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256) of every row that is left, one for each copy."""
     return chunks.encode_documents(docs, tokens.default_tokenizer())
 
 
