@@ -24,23 +24,52 @@ def vectors(seed=1, n=400, dim=8):
 
 
 def brute_top(rows, k, every=50):
-    good = {i: np.floor(256 * np.array(v)).astype(int) for i, v in rows if i is not None and v and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v)}
-    out = set()
-    for q, v in good.items():
+    """(query_id, rank, vec_id, score) of each query row against all other rows of its length."""
+    good = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for n, (q, v) in enumerate(good):
         if q % every == 0:
-            best = sorted(((-int(v @ w), i) for i, w in good.items() if i != q))[:k]
-            out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
-    return out
+            best = sorted((-int(v @ w), i) for m, (i, w) in enumerate(good) if m != n and len(w) == len(v))[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("k", [1, 5])
 def test_exact_top_k(spark, monkeypatch, k):
-    monkeypatch.setattr(topk, "BLOCK", 40)
+    monkeypatch.setattr(topk, "BLOCK", 150)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
     rows = vectors()
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("home", F.lit("x"))
-    found = topk.nearest(df.union(df), F.col("vec_id") % 50 == 0, k)
-    assert {tuple(r) for r in found.collect()} == brute_top(rows, k)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("home", F.lit("x")).withColumn("row", F.lit(1))
+    found = topk.nearest(df, F.col("vec_id") % 50 == 0, k)
+    assert sorted(tuple(r) for r in found.collect()) == brute_top(rows, k)
+
+
+def test_repeated_ids_and_several_lengths(spark):
+    r = random.Random(4)
+    rows = [(i % 120, [r.gauss(0, 1) for _ in range(n)]) for i, n in enumerate([6] * 200 + [3] * 90 + [1])]
+    rows += rows[:30]
+    found = topk.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0)
+    assert sorted(tuple(r) for r in found.collect()) == brute_top(rows, 5)
+
+
+def test_vectors_in_clusters_are_eliminated(spark):
+    """What the bound leaves out changes nothing, and it does leave out most of what is far."""
+    r = np.random.default_rng(3)
+    centres = r.normal(0, 40, (12, 16))
+    x = (centres[r.integers(0, 12, 1500)] + r.normal(0, 0.5, (1500, 16))).astype(int)
+    table = topk.spread_out(x, 12)
+    norms, apart = (x * x).sum(1), topk._distances(x, table).astype(np.float32)
+    numbers = np.arange(len(x))
+    block, query = (numbers, numbers, x, norms, apart), tuple(a[:40] for a in (numbers, numbers, x, norms, apart))
+    for at, places, scores in topk._best(query, block, np.full(40, np.iinfo(np.int64).min), 5):
+        every = x @ x[at]
+        every[at] = -(2**62)
+        best = np.lexsort((numbers, -every))[:5]
+        assert places.tolist() == best.tolist() and scores.tolist() == every[best].tolist()
+    gap = np.abs(apart[:40, None, :] - apart[None]).max(2).astype(float)
+    bounds = (norms[:40, None] + norms[None] - gap**2) / 2
+    kth = np.sort(x[:40] @ x.T, axis=1)[:, -6]
+    assert (bounds >= kth[:, None]).mean() < 0.5
 
 
 def test_few_vectors(spark):
@@ -103,18 +132,48 @@ def test_toxicity_without_labels_or_rows(spark, empty):
     assert toxicity.scored(empty, none).count() == 0
 
 
-def test_index_finds_the_nearest():
+@pytest.mark.parametrize("terms", [20, 3000])
+def test_index_finds_the_nearest(terms):
     r = np.random.default_rng(1)
-    v = np.where(r.random((500, 20)) < 0.15, r.random((500, 20)).round(1), 0)
+    often = np.minimum(1, 8 / np.arange(1, terms + 1) ** 0.8)  # some lists are arrays, others postings
+    v = np.where(r.random((900, terms)) < often / 3, r.random((900, terms)).round(1), 0)
+    v[700:] = v[:200]  # ties
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-    index = toxicity.BlockMaxIndex(v, r.integers(0, 2, 500), np.arange(500), np.ones(500))
+    at = np.nonzero(v)
+    index = toxicity.BlockMaxIndex(*at, v[at], terms, r.integers(0, 2, 900), np.arange(900), np.ones(900))
+    assert (index.row >= 0).any() and (index.row < 0).any() == (terms > 20)
+    queries = []
     for _ in range(200):
-        terms = np.sort(r.choice(20, 4, replace=False))
-        q = r.random(4)
-        q /= np.linalg.norm(q)
-        at, _ = index.nearest(terms, q, 7)
-        scores = (v[:, terms] @ q).round(12)
-        assert index.ids[at].tolist() == [i for i in np.lexsort((np.arange(500), -scores)) if scores[i] > 0][:7]
+        mine = np.sort(r.choice(terms, min(terms // 4, 300), replace=False, p=often / often.sum()))
+        q = r.random(len(mine)) ** 8
+        queries.append((mine, q / np.linalg.norm(q)))
+    queries.append((np.empty(0, np.int64), np.empty(0)))
+    found = index.nearest(queries[:64], 7, list(range(64))) + index.nearest(queries[64:], 7, list(range(64, 201)))
+    for n, ((mine, q), (places, cosines)) in enumerate(zip(queries[:200], found, strict=False)):
+        scores = v[:, mine] @ q
+        assert n not in index.ids[places]
+        assert np.allclose(cosines, scores[index.ids[places]], atol=2e-6)
+        rest = np.delete(scores, [n, *index.ids[places].tolist()])
+        assert len(places) == 7 and rest.max() <= cosines[-1] + 2e-6
+        assert all((-a, i) < (-b, j) for a, b, i, j in zip(cosines, cosines[1:], index.ids[places], index.ids[places][1:], strict=False))
+    assert len(found) == 201 and len(found[200][0]) == 0
+    assert all(len(places) == 0 for places, _ in index.nearest(queries[200:] * 2, 7))
+
+
+def test_every_word_of_the_examples_counts(spark):
+    docs, labels = talk()
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    texts = dict(docs)
+    taught = [texts[i] for i, y in labels if i in texts and y in (0, 1) and i is not None and zlib.crc32(str(i).encode()) % 4 != 2]
+    words = {w for t in taught for w in toxicity.words_of(t or "")}
+    assert len(model.terms.hashes) == len(words) and "zzqq*" in model.terms.stems
+    for text in [t for _, t in docs if t][:300]:
+        count = toxicity.words_of(text)
+        terms, n = model.terms.of(count)
+        stems = {s for w in count for s in toxicity.stems_of(w) if s in model.terms.stems}
+        assert len(terms) == len(words & set(count)) + len(stems)
+        assert n.sum() == sum(k for w, k in count.items() if w in words) + sum(k for w, k in count.items() for s in toxicity.stems_of(w) if s in stems)
+        assert (model.weight[terms] > 0).all()
 
 
 # -- 10: mixing --
@@ -197,6 +256,17 @@ def test_mixed_documents(wide, table):
         assert copies[i] == (1 if r["size"] == 0 else int(r["taken"] / r["size"] + 0.5))
 
 
+def test_rows_of_one_id_are_mixed_each_by_itself(spark):
+    rows = [(None, " ".join(["w"] * 10), "a") for _ in range(200)] + [(k % 3, " ".join(["v"] * (5 + k % 4)), "b") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "ab"}
+    mixed = defaultdict(int)
+    for r in mixing.mixed_documents(df).collect():
+        mixed[r["source"]] += len(r["text"].split())
+    for source, target in targets_by_rounds(sizes).items():
+        assert abs(mixed[source] - target) <= 5 + 1
+
+
 # -- the pipeline --
 
 
@@ -243,3 +313,27 @@ def test_pipeline(spark, table, tmp_path):
     before, after, _ = got["BPE encoding"]
     assert sorted((r["doc_id"] is None, r["doc_id"], r["ids_sha256"]) for r in after) == sorted((i is None, i, sha(" ".join(map(str, encoded(t))))) for i, t, *_ in before)
     assert sorted((r["doc_id"] is None, r["doc_id"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted((r["doc_id"] is None, r["doc_id"], r["ids_sha256"]) for r in after)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Empty tables, no labels, further columns of clashing names and rows without ids."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    docs.write.parquet(str(tmp_path / "e" / "documents.parquet"))
+    none.write.parquet(str(tmp_path / "e" / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "e")).count() == 0
+    rows = [(None, f"text {k} of its own " + " ".join(f"w{k}x{j}" for j in range(30)), "en", None, 0, "x", 1, "y") for k in range(5)]
+    rows += [(7, f"more {k} " + " ".join(f"v{k}x{j}" for j in range(30)), "en", "s", 0, "x", 1, "y") for k in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _key string, line int, fp string").write.parquet(str(tmp_path / "o" / "documents.parquet"))
+    none.write.parquet(str(tmp_path / "o" / "labels.parquet"))
+    now = spark.read.parquet(str(tmp_path / "o" / "documents.parquet"))
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        before, now = now, stage(spark, now, str(tmp_path / "o"))
+        now.write.parquet(str(tmp_path / f"o{k}"))
+        now = spark.read.parquet(str(tmp_path / f"o{k}"))
+        assert now.columns == before.columns, name
+        if name != "mixing sources":  # nothing is toxic, repeated or alike
+            assert now.count() == len(rows), name
+    assert corpus_pipeline.run(spark, str(tmp_path / "o")).count() == now.count()

@@ -385,6 +385,40 @@ def test_rows_of_one_id_are_documents_of_their_own(spark):
     assert Counter(w for r in whole for w in r["text"].split()) == Counter({w: 1 for _, t in rows for w in t.split()})
 
 
+def test_rows_without_ids_are_encoded_each_by_itself(spark, tmp_path):
+    rows = rows_of_one_id() + [(None, None), (None, ""), (None, "alone"), (5, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ids = Counter((i, sha(" ".join(map(str, encoded(t or ""))))) for i, t in rows)
+    assert Counter((r["doc_id"], r["ids_sha256"]) for r in chunks.encode_documents(df, PATH).collect()) == ids
+    token_files.write_shards(df, str(tmp_path / "n"), PATH, shard_ids=300)
+    shards = sorted(token_files.read_shards(spark, str(tmp_path / "n")).collect(), key=lambda r: r["start"])
+    with_end = [(i, [*encoded(t or ""), token_files.END_ID]) for i, t in rows]
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in shards) == Counter((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in with_end)
+    assert [r["start"] for r in shards] == np.cumsum([0, *[r["n_tokens"] for r in shards]])[:-1].tolist()
+    assert [r["doc_id"] for r in shards] == sorted([i for i, _ in rows], key=lambda i: (i is not None, i or 0))
+    pairs = weighted.against_next(df).collect()
+    assert Counter((r["doc_id"], r["n_chars"]) for r in pairs) == Counter((i, len(t or "")) for i, t in rows)
+    prints = Counter((r["doc_id"], r["fingerprint"]) for r in weighted.fingerprints(df).collect())
+    assert Counter((r["doc_id"], r["fingerprint"]) for r in pairs) == prints
+
+
+def test_very_long_texts():
+    """Beyond the steps in which long texts are taken."""
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9))) for _ in range(230_000)]
+    text = " ".join(words)
+    assert len(text) > substring._SEGMENT and len(words) > simhash._CHUNK
+    parts, _ = chunks.chunks_of(text)
+    assert "".join(parts) == text and max(map(len, parts)) <= chunks.MAX_CHUNK
+    (whole,) = substring.word_hashes(text.encode(), 1)
+    for k in (0, 5, 120_000, 229_999):
+        assert whole[k] == substring.word_hashes(words[k].encode(), 1)[0][0]
+    assert len(whole) == len(words)
+    digests = np.frombuffer(b"".join(xxhash.xxh64_digest(" ".join(words[k : k + 3]).encode(), 42) for k in range(len(words) - 2)), np.uint8).reshape(-1, 8)
+    ones = np.unpackbits(digests, axis=1).sum(0, dtype=np.int64)
+    assert simhash.fingerprint(text) % 2**64 == int("".join("1" if 2 * n > len(digests) else "0" for n in ones), 2)
+
+
 # -- empty tables and clashing names --
 
 
@@ -398,9 +432,18 @@ def test_empty_tables(spark, empty, tmp_path):
         assert df.count() == 0
 
 
-def test_clashing_names(wide, table):
+def test_clashing_names(spark, docs, wide, table, tmp_path):
+    """Columns of a user's table that operators use inside change no value."""
     sections = counts.even_sections(F.length("text"))
-    n = len(table)
-    for df in (lines.without_repeated_lines(wide), simhash.near_groups(wide), chunks.encode_documents(wide, PATH), weighted.against_next(wide), substring.without_repeats(wide)):
-        assert df.count() == n
-    assert counts.section_counts(wide, sections, PATH).select("doc_id").distinct().count() == n
+
+    def same(make):
+        narrow, broad = ({tuple(str(x) for x in r) for r in make(df).collect()} for df in (docs, wide))
+        return len(narrow) > 1 and narrow == broad
+
+    def shards(df):
+        path = str(tmp_path / f"c{len(df.columns)}")
+        token_files.write_shards(df, path, PATH)
+        return token_files.read_shards(spark, path)
+
+    for make in (lines.without_repeated_lines, simhash.near_groups, lambda df: chunks.encode_documents(df, PATH), weighted.against_next, substring.without_repeats, shards, lambda df: counts.section_counts(df, sections, PATH)):
+        assert same(make)
