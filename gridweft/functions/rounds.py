@@ -32,6 +32,8 @@ def cut(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder in that of checkpoints, which must be mounted, as raster files are read and written by place."""
     folder = f"{use_checkpoints(spark).removeprefix('file://').removeprefix('file:')}/files-{uuid.uuid4()}"
+    if "://" in folder:
+        raise RuntimeError(f"{folder} is not mounted; give readers and writers a transport")
     os.makedirs(folder)
     return folder
 
