@@ -148,3 +148,20 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             return after.select("node", "root")
         labels = after.select("node", F.col("next").alias("root"))
     raise RuntimeError("components did not settle")
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, on: list[str], how: str = "left", share: int = 1000) -> DataFrame:
+    """rows joined to facts by equality, where facts hold each key once and one key may be a large part of all rows.
+
+    Keys of more than a share-th of the rows, fewer than `share` by that, are joined by
+    broadcast; the others by a shuffle, in which none of them is a hot task. `rows` is read
+    more than once, so it should be saved. Null keys match nothing.
+    """
+    total = rows.count()
+    hot = rows.groupBy(*on).count().filter(F.col("count") > max(10_000, total // share)).select(*on)
+    hot_facts = saved(facts.join(F.broadcast(hot), on, "left_semi"))
+    flag = spare(rows, "_hot")[0]
+    keys = F.broadcast(hot_facts.select(*on, F.lit(True).alias(flag)))
+    marked = rows.join(keys, on, "left")
+    near = marked.filter(F.col(flag)).drop(flag).join(F.broadcast(hot_facts), on)
+    return near.unionByName(marked.filter(F.col(flag).isNull()).drop(flag).join(facts, on, how))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweft.llm import chunks, counts, lines, mixing, oracles, simhash, substring, token_files, tokens, topk, toxicity, weighted
+from gridweft.llm import audit, balls, chunks, counts, hyperplanes, lines, mixing, oracles, simhash, substring, token_files, tokens, topk, toxicity, weighted
 from gridweft.llm.common import read_documents
 
 
@@ -56,6 +56,19 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_shards(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hyperplanes.linked(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def op12_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balls.clusters(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
     "op1_lines": op1_lines,
     "op2_top_k": op2_top_k,
@@ -67,6 +80,16 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_near_vectors": op11_near_vectors,
+    "op12_balls": op12_balls,
+    "op13_audit": op13_audit,
 }
 
-ORACLES = {"op1_lines": oracles.LINES, "op2_top_k": oracles.TOP_K, "op7_substrings": oracles.SUBSTRINGS}
+ORACLES = {
+    "op1_lines": oracles.LINES,
+    "op2_top_k": oracles.TOP_K,
+    "op7_substrings": oracles.SUBSTRINGS,
+    "op11_near_vectors": oracles.NEAR_VECTORS,
+    "op12_balls": oracles.BALLS,
+    "op13_audit": oracles.AUDIT,
+}
