@@ -196,8 +196,8 @@ _POINTS = {"T": ("x0 + (CASE WHEN abs(tr - tl) < 1e-12 THEN 0.5 ELSE (l - tl) /
 _CASES = [(k, "TRUE", 0, e) for k, e in vector.SEGMENTS.items()] + [(k, f"(tl + tr + br + bl) / 4 {sign} l", part, e) for k, pair in vector.SADDLES.items() for sign, es in zip((">=", "<"), pair, strict=True) for part, e in enumerate(es)]
 
 
-def _segments_sql(base: float) -> str:
-    blocks = f"g AS (SELECT row, col, value % 400 AS value FROM ({S.SQL_HOLES})), m AS (SELECT ceil((min(value) - {base}) / {_STEP}) * {_STEP} + {base} AS a, max(value) AS b FROM g), lv AS (SELECT a + i * {_STEP} AS l FROM m, generate_series(0, 20) AS s(i) WHERE a + i * {_STEP} <= b), q AS (SELECT a.row, a.col, a.value AS tl, b.value AS tr, c.value AS br, d.value AS bl, a.col * 10.0 AS x0, (15 - a.row) * 10.0 AS y0 FROM g a JOIN g b ON b.row = a.row AND b.col = a.col + 1 JOIN g c ON c.row = a.row + 1 AND c.col = a.col + 1 JOIN g d ON d.row = a.row + 1 AND d.col = a.col WHERE a.value + b.value + c.value + d.value IS NOT NULL), k AS (SELECT *, (tl >= l)::INT + 2 * (tr >= l)::INT + 4 * (br >= l)::INT + 8 * (bl >= l)::INT AS kind FROM q, lv)"
+def _segments_sql(base: float, cells: str = f"SELECT row, col, value % 400 AS value FROM ({S.SQL_HOLES})", step: float = _STEP) -> str:
+    blocks = f"g AS ({cells}), m AS (SELECT ceil((min(value) - {base}) / {step}) * {step} + {base} AS a, max(value) AS b, max(row) AS rows FROM g), lv AS (SELECT a + i * {step} AS l FROM m, generate_series(0, 100) AS s(i) WHERE a + i * {step} <= b), q AS (SELECT a.row, a.col, a.value AS tl, b.value AS tr, c.value AS br, d.value AS bl, a.col * 10.0 AS x0, ((SELECT rows FROM m) - a.row) * 10.0 AS y0 FROM g a JOIN g b ON b.row = a.row AND b.col = a.col + 1 JOIN g c ON c.row = a.row + 1 AND c.col = a.col + 1 JOIN g d ON d.row = a.row + 1 AND d.col = a.col WHERE a.value + b.value + c.value + d.value IS NOT NULL), k AS (SELECT *, (tl >= l)::INT + 2 * (tr >= l)::INT + 4 * (br >= l)::INT + 8 * (bl >= l)::INT AS kind FROM q, lv)"
     return f"WITH {blocks} " + " UNION ALL ".join(f"SELECT l::DOUBLE AS level, row, col, {part}::INT AS part, {_sql_cut(_POINTS[e[0]][0], 'x1')}, {_sql_cut(_POINTS[e[0]][1], 'y1')}, {_sql_cut(_POINTS[e[1]][0], 'x2')}, {_sql_cut(_POINTS[e[1]][1], 'y2')} FROM k WHERE kind = {kind} AND {test}" for kind, test, part, e in _CASES)
 
 
@@ -235,7 +235,7 @@ _add(
     lambda spark, d: _cells(hydro.watershed(_directions(spark, d), S.SALES)),
     f"WITH RECURSIVE {_FLOW_SQL}, way(id, here) AS (SELECT id, id FROM t WHERE value IS NOT NULL UNION ALL SELECT w.id, t.goal FROM way w JOIN t ON t.id = w.here WHERE t.goal IS NOT NULL), o AS (SELECT w.id, w.here AS outlet FROM way w JOIN t ON t.id = w.here WHERE t.goal IS NULL), f AS (SELECT outlet, row_number() OVER (ORDER BY min(id)) AS label FROM o GROUP BY outlet) SELECT t.row, t.col, f.label::DOUBLE AS value FROM t LEFT JOIN o ON o.id = t.id LEFT JOIN f ON f.outlet = o.outlet",
 )
-_add("stream_order", lambda spark, d: _cells(hydro.stream_order(hydro.flow_accumulation(_directions(spark, d), S.SALES), _directions(spark, d), S.SALES, 2.0)))
+_add("stream_order", lambda spark, d: _cells(hydro.stream_order(hydro.flow_accumulation(_directions(spark, d), S.SALES), _directions(spark, d), S.SALES, 2.0)), derived.stream_sql(derived.flow_sql(S.SQL_HOLES, _SQL_D8), 2.0))
 _add(
     "fill_sinks",
     lambda spark, d: _cells(hydro.fill_sinks(S.holes(spark, d), S.SALES, tile=8)),
@@ -249,7 +249,9 @@ _add(
 
 derived.register_functions(ORACLES, _sql_cut)
 derived.register_wide(ORACLES, _SQL_NEAR)
+derived.register_water(ORACLES, _SQL_D8)
 _add("contour_lines", derived.contour_lines, derived.contour_sql(_segments_sql(0.5)))
+_add("wide_contour_lines", derived.wide_contour_lines, derived.contour_sql(_segments_sql(40.5, S.SQL_PLANE, 80.0).replace("* 10", "* 1").replace("+ 10", "+ 1").replace("- 10", "- 1")).replace("sum(n) * 1e3 + 0.5) / 1e3", "sum(n) * 10 + 0.5) / 10"))
 _add("flat_contours", derived.flat_contours, f"SELECT level, lines, vertices, vertices AS pairs FROM ({derived.contour_sql(_segments_sql(0.5))})")
 for _module in (files, derived):
     QUERIES |= _module.QUERIES

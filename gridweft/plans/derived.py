@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridweft.functions import flat
 from gridweft.functions import grid as G
+from gridweft.functions.rounds import cut
 from gridweft.operators import algebra, focal, hydro, pyramid, terrain, vector, zonal
 from gridweft.plans import surfaces as S
 
@@ -153,6 +154,8 @@ def fn_write_cog(spark: SparkSession, d: str) -> DataFrame:
 
 #: Levels at halves, which whole numbers never equal, so each crossing has two segments at most.
 _STEP, _BASE = 40.0, 0.5
+#: Tiles of the wide queries, small enough that grids of the smallest tables have several.
+_TILE = 64
 
 
 def _figures(lines: DataFrame) -> DataFrame:
@@ -262,30 +265,96 @@ def wide_zonal_stats(spark: SparkSession, d: str) -> DataFrame:
     return zonal.zonal_stats(cells, zones).select("zone", "count", "min", "max", "sum", "median")
 
 
+def wide_contour_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The figures of contour_lines over plane(), from pieces of lines: no line is put together."""
+    pieces = vector.contour_chains(S.plane(spark, d), S.plane_grid(spark, d), 80.0, 40.5, _TILE)
+    sides = F.transform(F.sequence(F.lit(1), F.size("vertices") - 1), lambda k: F.hypot(F.element_at("vertices", k)["x"] - F.element_at("vertices", k + 1)["x"], F.element_at("vertices", k)["y"] - F.element_at("vertices", k + 1)["y"]))
+    pieces = pieces.withColumn("length", F.aggregate(sides, F.lit(0.0), lambda a, b: a + b))
+    lines = pieces.groupBy("level", "line_id").agg(F.max(F.col("closed").cast("long")).alias("closed"), F.sum(F.size("vertices") - 1).alias("sides"), F.sum("length").alias("length"))
+    return lines.groupBy("level").agg(F.count(F.lit(1)).alias("lines"), F.sum("closed").alias("closed"), F.sum(F.col("sides") + 1).alias("vertices"), (F.floor(F.sum("length") * 10 + 0.5) / 10).alias("length"))
+
+
+_SQL_WIDE_REGIONS = _SQL_REGIONS.replace(f"SELECT row * 16 + col AS id, row, col, floor(value / 60) AS value FROM ({S.SQL_HOLES}) WHERE value IS NOT NULL", f"SELECT row * (SELECT max(col) + 1 FROM ({S.SQL_PLANE})) + col AS id, row, col, floor(value / 10) AS value FROM ({S.SQL_PLANE})")
+
+
+@_query(
+    f"{_SQL_WIDE_REGIONS} SELECT k.region::BIGINT AS region, k.value::DOUBLE AS value, (q1 + q3 + 2 * qd)::BIGINT AS corners, cells::DOUBLE AS area FROM k JOIN n ON n.region = k.region"
+)
+def wide_polygonize(spark: SparkSession, d: str) -> DataFrame:
+    """Corners and area of each region's rings over plane(), from pieces of rings; holes run the other way round."""
+    cells = S.plane(spark, d).withColumn("value", F.floor(F.col("value") / 10).cast("double"))
+    return vector.polygonize(cells, S.plane_grid(spark, d), _TILE).transform(_polygon_figures).select("region", "value", "corners", "area")
+
+
 @_query(f"WITH p AS ({S.SQL_PLANE}) SELECT (row // 2)::INT AS row, (col // 2)::INT AS col, floor(avg(value) * 1e6 + 0.5) / 1e6 AS value FROM p GROUP BY 1, 2")
 def wide_overview(spark: SparkSession, d: str) -> DataFrame:
     return pyramid.overview(S.plane(spark, d)).select("row", "col", _cut("value"))
 
 
-def _downhill(spark: SparkSession, d: str) -> DataFrame:
-    """Directions that run east along rows and then south along the last column."""
-    last = S.plane_grid(spark, d).width - 1
-    return S.plane(spark, d).withColumn("value", F.when(F.col("col") < last, 1.0).otherwise(F.when(F.col("row") < last, 4.0).otherwise(0.0)))
+# -- water over plane() on a slope --
+
+
+def flow_sql(cells: str, d8: str, width: str = "16") -> str:
+    """t: cells of a grid (g) with their D8 directions and the cell `goal` that each flows into."""
+    inside = lambda r, c: f"CASE WHEN row + {r} BETWEEN 0 AND w - 1 AND col + {c} BETWEEN 0 AND w - 1 THEN (row + {r}) * w + col + {c} END"
+    goal = "CASE value::INT " + " ".join(f"WHEN {code} THEN {inside(r, c)}" for code, r, c, _ in terrain.D8) + " END"
+    return f"g AS MATERIALIZED ({cells}), {d8}, t AS MATERIALIZED (SELECT row * w + col AS id, row, col, value, {goal} AS goal FROM d, (SELECT {width} AS w))"
+
+
+_SQL_COUNT = "way(id, here) AS (SELECT id, goal FROM t WHERE goal IS NOT NULL UNION ALL SELECT w.id, t.goal FROM way w JOIN t ON t.id = w.here WHERE t.goal IS NOT NULL), flow AS MATERIALIZED (SELECT here AS id, count(*) AS n FROM way GROUP BY here)"
+
+
+def stream_sql(flow: str, threshold: float) -> str:
+    """Orders by the queue itself, a cell at a time: cells come by their steps from the farthest headwater, and then by that headwater."""
+    return (
+        f"WITH RECURSIVE {flow}, {_SQL_COUNT}, s AS MATERIALIZED (SELECT t.id, t.row, t.col, t.goal FROM t LEFT JOIN flow ON flow.id = t.id WHERE t.value IS NOT NULL AND coalesce(n, 0) >= {threshold}), "
+        "u AS MATERIALIZED (SELECT s.id, b.id AS goal FROM s LEFT JOIN s b ON b.id = s.goal), "
+        "down(head, here, steps) AS (SELECT id, id, 0 FROM u WHERE id NOT IN (SELECT goal FROM u WHERE goal IS NOT NULL) UNION ALL SELECT d.head, u.goal, d.steps + 1 FROM down d JOIN u ON u.id = d.here WHERE u.goal IS NOT NULL), "
+        "q AS MATERIALIZED (SELECT here AS id, row_number() OVER (ORDER BY max(row(steps, head))) AS k, max(steps) = 0 AS head FROM down GROUP BY here), "
+        "e AS MATERIALIZED (SELECT q.k, g.k AS goal FROM q JOIN u ON u.id = q.id LEFT JOIN q g ON g.id = u.goal), "
+        "run(k, o) AS (SELECT 0::BIGINT, list(head::INT ORDER BY k) FROM q UNION ALL SELECT e.k, CASE WHEN goal IS NULL THEN o ELSE o[:goal - 1] || [CASE WHEN o[goal] = o[e.k] THEN o[e.k] + 1 ELSE greatest(o[goal], o[e.k]) END] || o[goal + 1:] END FROM run JOIN e ON e.k = run.k + 1), "
+        "z AS (SELECT o FROM run ORDER BY k DESC LIMIT 1), f AS (SELECT q.id, o[q.k]::DOUBLE AS value FROM q, z) "
+        "SELECT t.row, t.col, f.value FROM t LEFT JOIN f ON f.id = t.id"
+    )
+
+
+def register_water(oracles: dict[str, str], d8: str) -> None:
+    """SQL of the queries over ground()."""
+    flow = flow_sql(S.SQL_GROUND, d8, "(SELECT max(col) + 1 FROM g)")
+    oracles["wide_flow_accumulation"] = f"WITH RECURSIVE {flow}, {_SQL_COUNT} SELECT t.row, t.col, coalesce(n, 0)::DOUBLE AS value FROM t LEFT JOIN flow ON flow.id = t.id"
+    oracles["wide_watershed"] = f"WITH RECURSIVE {flow}, way(id, here) AS (SELECT id, id FROM t UNION ALL SELECT w.id, t.goal FROM way w JOIN t ON t.id = w.here WHERE t.goal IS NOT NULL), o AS MATERIALIZED (SELECT w.id, w.here AS outlet FROM way w JOIN t ON t.id = w.here WHERE t.goal IS NULL), f AS (SELECT outlet, row_number() OVER (ORDER BY min(id)) AS label FROM o GROUP BY outlet) SELECT t.row, t.col, f.label::DOUBLE AS value FROM t JOIN o ON o.id = t.id JOIN f ON f.outlet = o.outlet"
+    oracles["wide_stream_order"] = stream_sql(flow, _STREAM)
+    oracles["wide_fill_sinks"] = (
+        f"WITH RECURSIVE g AS MATERIALIZED ({S.SQL_GROUND}), m AS (SELECT max(row) AS last FROM g), o(dr, dc) AS (SELECT r, c FROM range(-1, 2) AS a(r), range(-1, 2) AS b(c) WHERE r <> 0 OR c <> 0), "
+        "lv(row, col, level) USING KEY (row, col) AS (SELECT row, col, value FROM g, m WHERE row IN (0, last) OR col IN (0, last) "
+        "UNION SELECT g.row, g.col, min(greatest(lv.level, g.value)) FROM lv JOIN o ON true JOIN g ON g.row = lv.row + dr AND g.col = lv.col + dc LEFT JOIN recurring.lv k ON k.row = g.row AND k.col = g.col WHERE k.level IS NULL OR greatest(lv.level, g.value) < k.level GROUP BY g.row, g.col) "
+        "SELECT row::INT AS row, col::INT AS col, level AS value FROM lv"
+    )
+
+
+_STREAM = 40.0
+
+
+def _ways(spark: SparkSession, d: str) -> DataFrame:
+    return cut(terrain.flow_direction(S.ground(spark, d), 10.0))
 
 
-@_query(f"WITH p AS ({S.SQL_PLANE}), n AS (SELECT max(col) AS last FROM p) SELECT row, col, (CASE WHEN col < last THEN col ELSE (row + 1) * (last + 1) - 1 END)::DOUBLE AS value FROM p, n")
 def wide_flow_accumulation(spark: SparkSession, d: str) -> DataFrame:
-    """One basin of long paths to one outlet."""
-    return hydro.flow_accumulation(_downhill(spark, d), S.plane_grid(spark, d)).select("row", "col", "value")
+    return hydro.flow_accumulation(_ways(spark, d), S.plane_grid(spark, d), _TILE).select("row", "col", "value")
 
 
-@_query(f"SELECT row, col, 1.0::DOUBLE AS value FROM ({S.SQL_PLANE})")
 def wide_watershed(spark: SparkSession, d: str) -> DataFrame:
-    return hydro.watershed(_downhill(spark, d), S.plane_grid(spark, d)).select("row", "col", "value")
+    return hydro.watershed(_ways(spark, d), S.plane_grid(spark, d), _TILE).select("row", "col", "value")
 
 
-@_query(f"WITH p AS ({S.SQL_PLANE}), n AS (SELECT max(col) AS last FROM p) SELECT row, col, CASE WHEN col = last AND row > 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS value FROM p, n")
 def wide_stream_order(spark: SparkSession, d: str) -> DataFrame:
-    """Each row a stream into the last column: where two streams meet, their sequence does not matter."""
-    grid, ways = S.plane_grid(spark, d), _downhill(spark, d)
-    return hydro.stream_order(hydro.flow_accumulation(ways, grid), ways, grid, 0.0).select("row", "col", "value")
+    """Of the cells that 40 others flow into at least."""
+    grid, ways = S.plane_grid(spark, d), _ways(spark, d)
+    return hydro.stream_order(cut(hydro.flow_accumulation(ways, grid, _TILE)), ways, grid, _STREAM, _TILE).select("row", "col", "value")
+
+
+def wide_fill_sinks(spark: SparkSession, d: str) -> DataFrame:
+    return hydro.fill_sinks(S.ground(spark, d), S.plane_grid(spark, d), _TILE).select("row", "col", "value")
+
+
+QUERIES |= {f.__name__: f for f in (wide_flow_accumulation, wide_watershed, wide_stream_order, wide_fill_sinks)}

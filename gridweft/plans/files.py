@@ -16,6 +16,7 @@ from gridweft.functions.rounds import shared_folder
 from gridweft.plans import surfaces as S
 from gridweft.sources import spark as R
 from gridweft.sources.samples import FORMATS, FileWrite
+from gridweft.sources.sinks import tiled
 
 QUERIES = {}
 ORACLES = {}
@@ -133,10 +134,45 @@ def cog_window(spark: SparkSession, d: str) -> DataFrame:
     return _cells(_read(spark, "cog", _plane_cog(spark, d), row_min=40, row_max=60, col_min=10, col_max=50))
 
 
-@_query(f"SELECT row, col, value FROM ({S.SQL_PLANE}) WHERE row >= 50 AND col < 20")
+_SQL_TILES = f"(SELECT ((n - 1) // {TILE} - 50 // {TILE} + 1)::INT FROM (SELECT floor(sqrt(count(*)))::INT AS n FROM lineitem))"
+
+
+@_query(f"SELECT row, col, value, {_SQL_TILES} AS tiles_read FROM ({S.SQL_PLANE}) WHERE row >= 50 AND col < 20")
 def cog_pushed_filters(spark: SparkSession, d: str) -> DataFrame:
-    """The same by an ordinary filter, which the reader takes where the session lets filters reach Python sources."""
-    return _cells(_read(spark, "cog", _plane_cog(spark, d)).where((F.col("row") >= 50) & (F.col("col") < 20)))
+    """A pixel box by an ordinary filter: the reader plans the tiles that it touches, a partition each, and no others."""
+    found = _cells(_read(spark, "cog", _plane_cog(spark, d), tile_bytes=1).where((F.col("row") >= 50) & (F.col("col") < 20)))
+    return found.withColumn("tiles_read", F.lit(found.rdd.getNumPartitions()))
+
+
+def _saved(cells: DataFrame, kind: str, path: str, grid: G.Grid, mode: str = "overwrite", **options) -> None:
+    R.register(cells.sparkSession)
+    cells.write.format(kind).mode(mode).options(path=path, width=grid.width, height=grid.height, **options).save()
+
+
+@_query(f"SELECT 0::INT AS level, row, col, value FROM ({S.SQL_PLANE}) UNION ALL SELECT 1, row, col, floor(value * 1e6 + 0.5) / 1e6 FROM ({_SQL_HALF.format(S.SQL_PLANE)})")
+def write_format_cog(spark: SparkSession, d: str) -> DataFrame:
+    """df.write.format("cog"), deflated, with an overview; both levels read back."""
+    path, grid = _file(spark, "written.cog.tif"), S.plane_grid(spark, d)
+    _saved(tiled(S.plane(spark, d), grid, (TILE, TILE), 1), "cog", path, grid, tile_width=TILE, tile_height=TILE, overviews=1, deflate="true")
+    levels = [_cells(_read(spark, "cog", path, level=k)).select(F.lit(k).alias("level"), "row", "col", F.floor(F.col("value") * 1e6 + 0.5) / 1e6) for k in (0, 1)]
+    return levels[0].union(levels[1]).toDF("level", "row", "col", "value")
+
+
+@_query(f"SELECT row, col, value FROM ({S.SQL_HOLES})")
+def write_format_cog_again(spark: SparkSession, d: str) -> DataFrame:
+    """Uncompressed tiles, whose tasks put them in their places; a second file takes the first one's name."""
+    path = _file(spark, "again.cog.tif")
+    options = dict(tile_width=5, tile_height=7, sample_format="f32", nodata="-1")
+    _saved(tiled(S.sales(spark, d), S.SALES, (5, 7)), "cog", path, S.SALES, "append", **options)
+    _saved(tiled(S.holes(spark, d), S.SALES, (5, 7)), "cog", path, S.SALES, **options)
+    return _cells(_read(spark, "cog", path))
+
+
+@_query(f"SELECT 0 AS band, row, col, tax AS value FROM ({S.SQL_BANDS}) UNION ALL SELECT 1 AS band, row, col, discount AS value FROM ({S.SQL_BANDS})")
+def write_format_geotiff(spark: SparkSession, d: str) -> DataFrame:
+    path = _file(spark, "written.tif")
+    _saved(tiled(G.banded(list(S.bands(spark, d))), S.SALES), "geotiff", path, S.SALES, bands=2, sample_format="u32")
+    return _read(spark, "geotiff", path).select("band", "row", "col", "value")
 
 
 @_query(f"SELECT 0 AS band, row, col, CASE WHEN (row * 7 + col * 3) % 11 <> 0 THEN tax END AS value FROM ({S.SQL_BANDS}) UNION ALL SELECT 1 AS band, row, col, discount AS value FROM ({S.SQL_BANDS})")

@@ -49,6 +49,11 @@ def plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blank(spark, grid).select(*CELL).join(sold, ["row", "col"], "left").select(*CELL, F.coalesce("sold", F.lit(0.0)).alias("value"))
 
 
+def ground(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """plane() on a slope of 25 a row, so that water runs far over it and stands in pits."""
+    return plane(spark, sf_dir).withColumn("value", F.col("value") + F.col("row") * 25.0)
+
+
 def years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sales() by year of shipping, 1995 to 2001, as layers."""
     rows = _table(spark, sf_dir, "lineitem").where(F.year("l_shipdate").between(1995, 2001))
@@ -69,6 +74,7 @@ def dense(cells: DataFrame) -> DataFrame:
 
 
 SQL_PLANE = "WITH side AS (SELECT floor(sqrt(count(*)))::BIGINT AS n FROM lineitem), sold AS (SELECT (l_orderkey % n)::INT AS row, (l_partkey % n)::INT AS col, sum(l_quantity::BIGINT)::DOUBLE AS value FROM lineitem, side GROUP BY ALL), cells AS (SELECT r::INT AS row, c::INT AS col FROM side, range(n) AS a(r), range(n) AS b(c)) SELECT cells.row, cells.col, coalesce(sold.value, 0.0) AS value FROM cells LEFT JOIN sold ON sold.row = cells.row AND sold.col = cells.col"
+SQL_GROUND = f"SELECT row, col, value + row * 25.0::DOUBLE AS value FROM ({SQL_PLANE})"
 _PLACE = "(l_orderkey % 16)::INT AS row, (l_partkey % 16)::INT AS col"
 SQL_SALES = f"SELECT {_PLACE}, sum(l_quantity::BIGINT)::DOUBLE AS value FROM lineitem GROUP BY ALL"
 SQL_HOLES = f"SELECT row, col, CASE WHEN (row * 7 + col * 3) % 11 <> 0 THEN value END AS value FROM ({SQL_SALES})"

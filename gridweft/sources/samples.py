@@ -136,7 +136,18 @@ class FileRange(RangeRead):
 
 
 class RangeWrite:
-    """Positional writes to one object that all executors see; transports of remote stores subclass it."""
+    """Positional writes to one object that all executors see; transports of remote stores subclass it.
+
+    A store that can rename says so by `renames`; objects are then written under another name first.
+    """
+
+    renames = False
+
+    def rename(self, path: str) -> None:
+        raise NotImplementedError
+
+    def remove(self) -> None:
+        raise NotImplementedError
 
     def create(self, head: bytes) -> None:
         """A new object that begins with these bytes."""
@@ -149,9 +160,18 @@ class RangeWrite:
 class FileWrite(RangeWrite):
     """A file in a folder that driver and executors share. A task that runs again writes the same bytes."""
 
+    renames = True
+
     def __init__(self, path: str):
         self.path = local_path(path)
 
+    def rename(self, path: str) -> None:
+        os.replace(self.path, local_path(path))
+
+    def remove(self) -> None:
+        if os.path.exists(self.path):
+            os.remove(self.path)
+
     def create(self, head: bytes) -> None:
         with open(self.path, "wb") as out:
             out.write(head)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import importlib
 import os
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,6 +26,7 @@ from gridweft.operators.pyramid import generate_overviews, select_level
 from gridweft.ship import ship
 from gridweft.sources import grib, netcdf, tiff
 from gridweft.sources.samples import FileRange, FileWrite, RangeRead, RangeWrite, check_nodata, format_named
+from gridweft.sources.sinks import TileWriter
 
 CELLS = "raster_id string, band int, row int, col int, value double"
 
@@ -71,7 +73,7 @@ class _Reader(DataSourceReader):
     def _emit(self, row: int, col: int, values: np.ndarray, grid: Grid) -> pa.RecordBatch:
         c0, r0, c1, r1 = self._box(grid)
         values = values[max(0, r0 - row) : max(0, r1 - row + 1), max(0, c0 - col) : max(0, c1 - col + 1)]
-        bands = [int(self.options["band"])] if "band" in self.options else list(range(values.shape[2]))
+        bands = [b for b in range(values.shape[2]) if int(self.options.get("band", b)) == b]
         return _batch(self.raster_id, max(row, r0), max(col, c0), values[:, :, bands], bands)
 
 
@@ -119,12 +121,12 @@ class CogReader(_Reader):
         return levels[int(self.options.get("level", 0))]
 
     def partitions(self) -> list[Part]:
-        """Neighbouring tiles of about 8 MB of pixels, with the places of their bytes."""
+        """Neighbouring tiles of about 8 MB of pixels (option tile_bytes), with the places of their bytes."""
         level = self._level(open_range(self.options))
         c0, r0, c1, r1 = self._box(level.grid)
         tiles = tiff.touched(level, c0, r0, c1 - c0 + 1, r1 - r0 + 1)
         spans = [(t, level.span(t), level.mask.span(t) if level.mask else (0, 0)) for t in tiles]
-        step = max(1, self._TILE_BYTES // (8 * level.tile[0] * level.tile[1] * level.bands))
+        step = max(1, int(self.options.get("tile_bytes", self._TILE_BYTES)) // (8 * level.tile[0] * level.tile[1] * level.bands))
         slim = level.without_spans()
         return [Part((slim, spans[k : k + step])) for k in range(0, len(spans), step)]
 
@@ -199,18 +201,27 @@ class _MetadataReader(DataSourceReader):
 
 
 def _pushing(reader: type[_Reader]) -> type[_Reader]:
-    """The reader with comparisons of row, col and band by literals turned into its options.
+    """The reader with comparisons of raster_id, band, row and col by literals turned into its options.
 
-    Used with the option push=true, which needs spark.sql.python.filterPushdown.enabled on the
-    session; all filters are applied again by Spark.
+    register() lets filters reach Python sources in its session; push=false leaves them to
+    Spark. All filters are applied again by Spark, so what is read may be more than what they keep.
     """
 
     class Pushing(reader):
+        nothing = False
+
+        def partitions(self):
+            return [] if self.nothing else super().partitions()
+
         def pushFilters(self, filters):
             for f in filters:
                 name, column, value = type(f).__name__, ".".join(getattr(f, "attribute", ())), getattr(f, "value", None)
                 if column == "band" and name == "EqualTo":
+                    if "band" in self.options and self.options["band"] != str(value):
+                        self.nothing = True
                     self.options["band"] = str(value)
+                elif column == "raster_id" and name in ("EqualTo", "In"):
+                    self.nothing |= self.raster_id not in (value if name == "In" else (value,))
                 elif column in ("row", "col") and isinstance(value, int):
                     low = {"EqualTo": value, "GreaterThanOrEqual": value, "GreaterThan": value + 1}.get(name)
                     high = {"EqualTo": value, "LessThanOrEqual": value, "LessThan": value - 1}.get(name)
@@ -243,7 +254,7 @@ class _Source(DataSource):
     def reader(self, schema) -> DataSourceReader:
         if self._described():
             return _MetadataReader(self.reader_class(self.options), [f.name for f in schema.fields])
-        return (_pushing(self.reader_class) if self.options.get("push") == "true" else self.reader_class)(self.options)
+        return (self.reader_class if self.options.get("push") == "false" else _pushing(self.reader_class))(self.options)
 
 
 class GeoTiffSource(_Source):
@@ -253,6 +264,9 @@ class GeoTiffSource(_Source):
     def name(cls) -> str:
         return "geotiff"
 
+    def writer(self, schema, overwrite: bool) -> TileWriter:
+        return TileWriter(self.options, overwrite, strips=True)
+
 
 class CogSource(_Source):
     reader_class = CogReader
@@ -261,6 +275,9 @@ class CogSource(_Source):
     def name(cls) -> str:
         return "cog"
 
+    def writer(self, schema, overwrite: bool) -> TileWriter:
+        return TileWriter(self.options, overwrite, strips=False)
+
 
 class GribSource(_Source):
     reader_class = GribReader
@@ -281,7 +298,9 @@ class NetCdfSource(_Source):
 
 
 def register(spark: SparkSession) -> None:
+    """Adds the formats to the session and lets filters reach their readers."""
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (GeoTiffSource, CogSource, GribSource, NetCdfSource):
         spark.dataSource.register(source)
 
@@ -301,8 +320,27 @@ def open_sink(path: str, transport: str | None = None) -> RangeWrite:
     return FileWrite(path)
 
 
-def _placed(pieces: DataFrame, path: str, transport: str | None) -> int:
-    """Writes (at, body) pieces to their places in the file, each from the task that holds it; how many bytes."""
+def _placed(pieces: DataFrame, path: str, transport: str | None, header: bytes, size: int) -> None:
+    """A file of the header and (at, body) pieces, `size` bytes of them, each put in its place by the task that holds it.
+
+    Where the store can rename, the file has another name until all its bytes are there.
+    """
+    target = f"{path}.{uuid.uuid4().hex}.tmp" if open_sink(path, transport).renames else path
+    try:
+        open_sink(target, transport).create(header)
+        found = _put(pieces, target, transport)
+        if found != size:
+            raise InvalidInput(f"{found} bytes of {size} were written")
+        if target != path:
+            open_sink(target, transport).rename(path)
+    except BaseException:
+        if target != path:
+            open_sink(target, transport).remove()
+        raise
+
+
+def _put(pieces: DataFrame, path: str, transport: str | None) -> int:
+    """Writes pieces to their places; how many bytes."""
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink, n = open_sink(path, transport), 0
@@ -346,8 +384,8 @@ def write_geotiff(cells: DataFrame, path: str, grid: Grid, bands: int = 1, sampl
     cells = _bands(_one_raster(cells))
     rows = cells.select(F.floor(F.col("row") / rows_a_block).alias("block"), F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("band").cast("int").alias("band"), F.col("value").cast("double").alias("value"))
     every = spark.range(-(-grid.height // rows_a_block)).select(F.col("id").alias("block"), F.lit(0).alias("row"), F.lit(0).alias("col"), F.lit(0).alias("band"), F.lit(None).cast("double").alias("value"))
-    open_sink(path, transport).create(header)
-    _placed(rows.union(every).groupBy("block").applyInArrow(encode, "at long, body binary"), path, transport)
+    size = grid.height * grid.width * bands * fmt.bytes
+    _placed(rows.union(every).groupBy("block").applyInArrow(encode, "at long, body binary"), path, transport, header, size)
 
 
 def encoded_tiles(cells: DataFrame, grid: Grid, bands: int, sample_format: str, tile: tuple[int, int], overviews: int, deflate: bool, nodata: float | None) -> DataFrame:
@@ -402,9 +440,8 @@ def write_cog(cells: DataFrame, path: str, grid: Grid, bands: int = 1, sample_fo
         for k, n in enumerate(counts[level]):
             starts.append((level, k, at))
             at += n
-    open_sink(path, transport).create(header)
     places = spark.createDataFrame(starts, "level int, tile long, at long")
-    _placed(tiles.join(places, ["level", "tile"]), path, transport)
+    _placed(tiles.join(places, ["level", "tile"]), path, transport, header, at - len(header))
 
 
 def write_cog_tiles(path: str, grid: Grid, bands: int, sample_format: str, tile: tuple[int, int], overviews: int, deflate: bool, nodata: float | None, produce) -> None:
