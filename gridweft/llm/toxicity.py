@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from gridweft.llm.common import in_arrow, kept, partitions, release, saved
 
-#: Bound of the labelled sample: so many examples of each class.
-PER_CLASS = 2_000
+#: Bounds of the labelled sample: so many examples of each class, of so many code points at most.
+PER_CLASS, EXAMPLE_CHARS = 2_000, 200_000
 NEIGHBOURS = 15
 THRESHOLD = 0.3
 SEED = 42
@@ -390,12 +390,13 @@ def document_frequencies(docs: DataFrame, terms: Terms) -> tuple[int, np.ndarray
     return int(out[n]), out[:n]
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from at most PER_CLASS labelled documents of each class, taken in the order of a seeded hash.
+def fit(docs: DataFrame, labels: DataFrame, plain: bool = False) -> Model:
+    """A model from at most PER_CLASS labelled texts of each class, taken in the order of a seeded hash of their ids.
 
-    All words of the examples are terms, and those of their stems whose chi-square between
+    A labelled doc_id that stands in several rows gives an example for each different text of
+    up to EXAMPLE_CHARS code points; the bound is on examples, not on ids. All words of the examples are terms, and those of their stems whose chi-square between
     class and presence is beyond what chance gives any of so many. A term's weight is its IDF
-    over all documents times informative() of its chi-square. The curve from votes to
+    over all documents times informative() of its chi-square, or with plain=True its IDF alone. The curve from votes to
     likelihoods is fitted to the examples, each held against the others.
     """
     spark = docs.sparkSession
@@ -404,8 +405,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     given = saved(given)
     share = {r["_toxic"]: r["count"] for r in given.groupBy("_toxic").count().collect()}
     sample = given.filter("_toxic = 0").orderBy("_order", "_id").limit(PER_CLASS).union(given.filter("_toxic = 1").orderBy("_order", "_id").limit(PER_CLASS))
-    # The sample has at most 2 * PER_CLASS rows of three numbers.
-    chosen = saved(docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id")))
+    # The sample has at most 2 * PER_CLASS rows of three numbers; how many rows its ids stand in has no bound.
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.length("text") <= EXAMPLE_CHARS)
+    rows = saved(texts.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).withColumn("_text", F.xxhash64("text")).dropDuplicates(["_id", "_text"]))
+    by = ("_order", "_id", "_text")
+    chosen = saved(rows.filter("_toxic = 0").orderBy(*by).limit(PER_CLASS).union(rows.filter("_toxic = 1").orderBy(*by).limit(PER_CLASS)))
     sizes = {r["_toxic"]: r["count"] for r in chosen.groupBy("_toxic").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     if not sizes:
@@ -419,7 +423,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     a, n = (np.concatenate([words[c].to_numpy()[order], stems[c].to_numpy()]) for c in ("a", "n"))
     terms = Terms(hashes[order], stems["stem"].to_pylist())
     total, holding = document_frequencies(docs, terms)
-    weight = np.log((1 + total) / (1 + holding)) * informative(chi_square(a, n - a, n1, n0), chance)
+    weight = np.log((1 + total) / (1 + holding))
+    if not plain:
+        weight = weight * informative(chi_square(a, n - a, n1, n0), chance)
 
     shared = spark.sparkContext.broadcast(terms)
 
@@ -464,15 +470,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, plain: bool = False) -> DataFrame:
     """(doc_id, score, evidence): likelihood of label 1 and the nearest three examples' doc_ids.
 
     Only whole texts are looked at. Null and empty texts score as examples without terms do.
     Labels that are null, neither 0 nor 1, or of no document aren't learnt; of several labels
     of a document the greatest counts. Without labels every score is 0. Rows that repeat and
-    a null doc_id are scored as they are; an empty table gives no rows.
+    a null doc_id are scored as they are; an empty table gives no rows. plain is that of fit().
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, plain))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -487,7 +493,11 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose text scores below the threshold, all columns as they were."""
+    """The rows whose text scores below the threshold, all columns as they were.
+
+    What scored() says of null texts, odd labels and repeated rows holds; without labels every
+    row stays, and an empty table gives no rows.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     columns = docs.columns
     at = columns.index("text")

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridweft.llm import audit, balls, hyperplanes, mixing
+from gridweft.llm import audit, balls, hyperplanes, mixing, toxicity
 
 VECTORS = "vec_id long, embedding array<float>"
 
@@ -304,3 +304,24 @@ def test_thousands_of_equal_rows_are_no_hot_place(spark, monkeypatch):
     for r in mixing.mix(df).collect():
         taken[r["source"]] += r["taken"]
     assert abs(taken["a"] - 1800 * 5 / 7) <= 1 and abs(taken["b"] - 1800 * 2 / 7) <= 1
+
+
+# -- 9: the bound of the sample --
+
+
+def test_the_sample_is_bounded_in_rows(spark, monkeypatch):
+    """A labelled id that stands in many rows gives no more examples than the bound."""
+    monkeypatch.setattr(toxicity, "PER_CLASS", 40)
+    rows = [(1, f"vile words number{k} here") for k in range(500)] + [(k, f"calm words number{k} there") for k in range(2, 200)] + [(1, "vile words number3 here")] * 50
+    labels = [(k, int(k == 1)) for k in range(1, 200)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert (model.index.toxic == 1).sum() == 40 and (model.index.toxic == 0).sum() == 40
+
+
+def test_plain_weights_are_idf(spark):
+    rows = [(k, "red blue" if k % 2 else "blue green") for k in range(1, 60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, plain=True)
+    weight = {w: model.weight[model.terms.numbers(toxicity._hashes([w]))[0]] for w in ("red", "blue", "green")}
+    assert np.allclose([weight["red"], weight["blue"], weight["green"]], [np.log(60 / 31), np.log(60 / 60), np.log(60 / 30)])
+    assert len(toxicity.scored(docs, labels, plain=True).collect()) == len(rows)
