@@ -5,11 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _IDS_A_BUCKET = 100_000
+_MADE: list[str] = []
 
 
 def use_checkpoints(spark: SparkSession) -> str:
@@ -29,9 +32,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """The name of a new folder in that of checkpoints, which intermediate() removes."""
+    _MADE.append(f"{use_checkpoints(spark)}/{kind}-{uuid.uuid4()}")
+    return _MADE[-1]
+
+
+@contextmanager
+def intermediate(spark: SparkSession) -> Iterator[None]:
+    """Removes on exit what was written within it to the shared folder on the way to results.
+
+    Results are lazy and read those folders, so they must be written or collected inside.
+    Checkpoints go by spark.cleaner.referenceTracking.cleanCheckpoints.
+    """
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in _MADE[before:]:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)
+        del _MADE[before:]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder in that of checkpoints, which must be mounted, as raster files are read and written by place."""
-    folder = f"{use_checkpoints(spark).removeprefix('file://').removeprefix('file:')}/files-{uuid.uuid4()}"
+    folder = new_folder(spark, "files").removeprefix("file://").removeprefix("file:")
     if "://" in folder:
         raise RuntimeError(f"{folder} is not mounted; give readers and writers a transport")
     os.makedirs(folder)

@@ -46,6 +46,8 @@ for _op, _sql in _UNARY_SQL.items():
         f"SELECT row, col, {_sql_cut(_sql, 'value')} FROM ({S.SQL_HOLES})",
     )
 
+_add("map_expression", lambda spark, d: _cells(algebra.expression(S.holes(spark, d), F.col("value") * 2 - F.col("row") * F.col("col"))), f"SELECT row, col, value * 2 - row * col AS value FROM ({S.SQL_HOLES})")
+
 _BINARY_SQL = {
     "add": "a.value + b.value",
     "subtract": "a.value - b.value",

@@ -154,8 +154,12 @@ def fn_write_cog(spark: SparkSession, d: str) -> DataFrame:
 
 #: Levels at halves, which whole numbers never equal, so each crossing has two segments at most.
 _STEP, _BASE = 40.0, 0.5
-#: Tiles of the wide queries, small enough that grids of the smallest tables have several.
-_TILE = 64
+
+
+def _tile(grid: G.Grid) -> int:
+    """A quarter of the grid's side, so that grids of the smallest tables have several tiles, and no more than by default."""
+    return min(hydro.TILE, max(8, -(-grid.width // 4)))
+
 
 
 def _figures(lines: DataFrame) -> DataFrame:
@@ -267,7 +271,8 @@ def wide_zonal_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def wide_contour_lines(spark: SparkSession, d: str) -> DataFrame:
     """The figures of contour_lines over plane(), from pieces of lines: no line is put together."""
-    pieces = vector.contour_chains(S.plane(spark, d), S.plane_grid(spark, d), 80.0, 40.5, _TILE)
+    grid = S.plane_grid(spark, d)
+    pieces = vector.contour_chains(S.plane(spark, d), grid, 80.0, 40.5, _tile(grid))
     sides = F.transform(F.sequence(F.lit(1), F.size("vertices") - 1), lambda k: F.hypot(F.element_at("vertices", k)["x"] - F.element_at("vertices", k + 1)["x"], F.element_at("vertices", k)["y"] - F.element_at("vertices", k + 1)["y"]))
     pieces = pieces.withColumn("length", F.aggregate(sides, F.lit(0.0), lambda a, b: a + b))
     lines = pieces.groupBy("level", "line_id").agg(F.max(F.col("closed").cast("long")).alias("closed"), F.sum(F.size("vertices") - 1).alias("sides"), F.sum("length").alias("length"))
@@ -283,7 +288,36 @@ _SQL_WIDE_REGIONS = _SQL_REGIONS.replace(f"SELECT row * 16 + col AS id, row, col
 def wide_polygonize(spark: SparkSession, d: str) -> DataFrame:
     """Corners and area of each region's rings over plane(), from pieces of rings; holes run the other way round."""
     cells = S.plane(spark, d).withColumn("value", F.floor(F.col("value") / 10).cast("double"))
-    return vector.polygonize(cells, S.plane_grid(spark, d), _TILE).transform(_polygon_figures).select("region", "value", "corners", "area")
+    grid = S.plane_grid(spark, d)
+    return vector.polygonize(cells, grid, _tile(grid)).transform(_polygon_figures).select("region", "value", "corners", "area")
+
+
+@_query(f"SELECT zone, count(*) AS count, median(value) AS median FROM (SELECT least(row, 1)::DOUBLE AS zone, value * 7 - col AS value FROM ({S.SQL_PLANE})) GROUP BY zone")
+def wide_hot_zone(spark: SparkSession, d: str) -> DataFrame:
+    """All rows but the first as one zone, whose median is found by counts of buckets."""
+    cells = S.plane(spark, d).withColumn("value", F.col("value") * 7 - F.col("col"))
+    zones = cells.withColumn("value", F.least("row", F.lit(1)).cast("double"))
+    return zonal.zonal_stats(cells, zones, hot_cells=1000).select("zone", "count", "median")
+
+
+@_query(f"WITH c AS (SELECT l_orderkey AS ord, min(l_quantity)::DOUBLE + l_orderkey % 90 AS lo, max(l_quantity)::DOUBLE + l_orderkey % 90 + 0.5 AS hi, l_orderkey::DOUBLE AS new FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey), v AS (SELECT DISTINCT value FROM ({S.SQL_PLANE})), m AS (SELECT value, min_by(new, ord) AS new FROM v JOIN c ON value >= lo AND value < hi GROUP BY value) SELECT p.row, p.col, m.new AS value FROM ({S.SQL_PLANE}) p LEFT JOIN m ON m.value = p.value")
+def reclassify_table(spark: SparkSession, d: str) -> DataFrame:
+    """As many overlapping classes as there are orders, from a table: the quantities of an order's first two lines, moved."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").where("l_linenumber <= 2")
+    moved, q = F.col("l_orderkey") % 90, F.col("l_quantity").cast("double")
+    classes = lines.groupBy("l_orderkey").agg(F.min(q).alias("lo"), F.max(q).alias("hi"))
+    classes = classes.select(F.col("l_orderkey").alias("ord"), (F.col("lo") + moved).alias("min"), (F.col("hi") + moved + 0.5).alias("max"), F.col("l_orderkey").cast("double").alias("new"))
+    return algebra.reclassify_table(S.plane(spark, d), classes).select("row", "col", "value")
+
+
+_SQL_NEAR_7 = f"WITH g AS MATERIALIZED ({S.SQL_PLANE}), w AS MATERIALIZED (SELECT g.row + dr AS row, g.col + dc AS col, value FROM g, range(-7, 8) AS a(dr), range(-7, 8) AS b(dc) WHERE dr * dr + dc * dc <= 49)"
+
+
+@_query(f"{_SQL_NEAR_7} SELECT g.row, g.col, median(w.value) AS value FROM g JOIN w ON g.row = w.row AND g.col = w.col GROUP BY g.row, g.col")
+def wide_focal_median(spark: SparkSession, d: str) -> DataFrame:
+    """Circles of radius 7, in tiles."""
+    grid = S.plane_grid(spark, d)
+    return focal.focal_stats(S.plane(spark, d), 7, "circle", "median", _tile(grid)).select("row", "col", "value")
 
 
 @_query(f"WITH p AS ({S.SQL_PLANE}) SELECT (row // 2)::INT AS row, (col // 2)::INT AS col, floor(avg(value) * 1e6 + 0.5) / 1e6 AS value FROM p GROUP BY 1, 2")
@@ -340,21 +374,24 @@ def _ways(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wide_flow_accumulation(spark: SparkSession, d: str) -> DataFrame:
-    return hydro.flow_accumulation(_ways(spark, d), S.plane_grid(spark, d), _TILE).select("row", "col", "value")
+    grid = S.plane_grid(spark, d)
+    return hydro.flow_accumulation(_ways(spark, d), grid, _tile(grid)).select("row", "col", "value")
 
 
 def wide_watershed(spark: SparkSession, d: str) -> DataFrame:
-    return hydro.watershed(_ways(spark, d), S.plane_grid(spark, d), _TILE).select("row", "col", "value")
+    grid = S.plane_grid(spark, d)
+    return hydro.watershed(_ways(spark, d), grid, _tile(grid)).select("row", "col", "value")
 
 
 def wide_stream_order(spark: SparkSession, d: str) -> DataFrame:
     """Of the cells that 40 others flow into at least."""
     grid, ways = S.plane_grid(spark, d), _ways(spark, d)
-    return hydro.stream_order(cut(hydro.flow_accumulation(ways, grid, _TILE)), ways, grid, _STREAM, _TILE).select("row", "col", "value")
+    return hydro.stream_order(cut(hydro.flow_accumulation(ways, grid, _tile(grid))), ways, grid, _STREAM, _tile(grid)).select("row", "col", "value")
 
 
 def wide_fill_sinks(spark: SparkSession, d: str) -> DataFrame:
-    return hydro.fill_sinks(S.ground(spark, d), S.plane_grid(spark, d), _TILE).select("row", "col", "value")
+    grid = S.plane_grid(spark, d)
+    return hydro.fill_sinks(S.ground(spark, d), grid, _tile(grid)).select("row", "col", "value")
 
 
 QUERIES |= {f.__name__: f for f in (wide_flow_accumulation, wide_watershed, wide_stream_order, wide_fill_sinks)}

@@ -5,6 +5,7 @@ Their oracle SQL is that of the grids which were written.
 
 from __future__ import annotations
 
+import os
 import struct
 
 import numpy as np
@@ -185,6 +186,69 @@ def cog_bands(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, "cog", path).select("band", "row", "col", "value")
 
 
+@_query(f"SELECT 2 AS predictor, row, col, value FROM ({S.SQL_PLANE}) UNION ALL SELECT 3, row, col, (value / 7)::FLOAT::DOUBLE FROM ({S.SQL_PLANE})")
+def cog_predictors(spark: SparkSession, d: str) -> DataFrame:
+    """Differences along rows: of whole numbers, and of the bytes of floating-point ones."""
+    grid, out = S.plane_grid(spark, d), None
+    for predictor, kind, cells in ((2, "u16", S.plane(spark, d)), (3, "f32", S.plane(spark, d).withColumn("value", F.col("value") / 7))):
+        path = _file(spark, f"predicted{predictor}.cog.tif")
+        R.write_cog(cells, path, grid, 1, kind, (TILE, TILE), 0, True, 65535.0 if predictor == 2 else float("nan"), predictor=predictor)
+        part = _cells(_read(spark, "cog", path)).select(F.lit(predictor).alias("predictor"), "row", "col", "value")
+        out = part if out is None else out.union(part)
+    return out
+
+
+@_query(f"SELECT row, col, CASE WHEN row >= {TILE} AND col >= {TILE} THEN value END AS value FROM ({S.SQL_PLANE})")
+def cog_sparse(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles without data have no bytes in the file and are read as no data."""
+    cells = S.plane(spark, d).withColumn("value", F.when((F.col("row") >= TILE) & (F.col("col") >= TILE), F.col("value")))
+    path = _file(spark, "sparse.cog.tif")
+    R.write_cog(cells, path, S.plane_grid(spark, d), 1, "f32", (TILE, TILE), 1, True, -1.0, predictor=3, sparse=True)
+    return _cells(_read(spark, "cog", path))
+
+
+_SQL_MASKED = f"SELECT 0 AS band, row, col, CASE WHEN (row + col) % 5 <> 0 THEN value END AS value FROM ({S.SQL_PLANE}) UNION ALL SELECT 1, row, col, CASE WHEN (row + col) % 5 <> 0 THEN value + 1 END FROM ({S.SQL_PLANE})"
+
+
+@_query(_SQL_MASKED)
+def cog_masked(spark: SparkSession, d: str) -> DataFrame:
+    """Two bands of whole numbers whose missing cells are told by a mask alone; zeros are data."""
+    one = S.plane(spark, d).withColumn("value", F.when((F.col("row") + F.col("col")) % 5 != 0, F.col("value")))
+    path = _file(spark, "masked.cog.tif")
+    R.write_cog(G.banded([one, one.withColumn("value", F.col("value") + 1)]), path, S.plane_grid(spark, d), 2, "u16", (TILE, TILE), 1, True, masked=True, predictor=2)
+    return _read(spark, "cog", path).select("band", "row", "col", "value")
+
+
+@_query(f"SELECT row, col, floor(value * 1e6 + 0.5) / 1e6 AS value FROM ({_SQL_HALF.format(_SQL_HALF.format(_SQL_HALF.format(_SQL_HALF.format(S.SQL_PLANE))))})")
+def cog_defaults(spark: SparkSession, d: str) -> DataFrame:
+    """A file written without options has tiles of 256 and four overviews; the last of them."""
+    path = _file(spark, "defaults.cog.tif")
+    R.write_cog(S.plane(spark, d), path, S.plane_grid(spark, d))
+    return _cells(_read(spark, "cog", path, level=4)).withColumn("value", F.floor(F.col("value") * 1e6 + 0.5) / 1e6)
+
+
+@_query(f"SELECT 'east.tif' AS raster_id, row, col, CASE WHEN col >= 8 THEN value END AS value FROM ({S.SQL_SALES}) UNION ALL SELECT 'west.tif', row, col, CASE WHEN col < 8 THEN value END FROM ({S.SQL_SALES})")
+def stream_of_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files that arrive in a folder, the second one while the stream runs; their cells by readStream."""
+    folder, sink = _file(spark, "arriving"), _file(spark, "arrived")
+    os.makedirs(folder)
+    R.register(spark)
+
+    def arrive(name: str, here) -> None:
+        R.write_geotiff(S.sales(spark, d).withColumn("value", F.when(here, F.col("value"))), f"{folder}/{name}", S.SALES)
+
+    arrive("west.tif", F.col("col") < 8)
+    cells = spark.readStream.format("geotiff").option("path", folder).load()
+    query = cells.writeStream.format("parquet").option("path", sink).option("checkpointLocation", _file(spark, "arriving-log")).start()
+    try:
+        query.processAllAvailable()
+        arrive("east.tif", F.col("col") >= 8)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.parquet(sink).select("raster_id", "row", "col", "value")
+
+
 @_query("WITH s AS (SELECT floor(sqrt(count(*)))::INT AS n FROM lineitem), l(level) AS (VALUES (0), (1), (2)) SELECT level::INT AS level, ceil(n / 2 ** level)::INT AS width, ceil(n / 2 ** level)::INT AS height, (2 ** level)::DOUBLE AS pixel_width, 4326::INT AS epsg, 1::INT AS bands, 'f64' AS sample_format, 48::INT AS tile_width, 8::INT AS compression, false AS masked FROM s, l")
 def cog_metadata(spark: SparkSession, d: str) -> DataFrame:
     found = _read(spark, "cog", _plane_cog(spark, d, deflate=True), metadata="true")
@@ -206,8 +270,9 @@ def _section(number: int, body: bytes) -> bytes:
     return struct.pack(">IB", 5 + len(body), number) + body
 
 
-def grib_message(values: np.ndarray, reference: float = 0.0, binary: int = 0, decimal: int = 0) -> bytes:
-    """An edition 2 message in simple packing of 32 bits over a grid of 0.5 degrees."""
+def grib_message(values: np.ndarray, reference: float = 0.0, binary: int = 0, decimal: int = 0, bits: int = 32) -> bytes:
+    """An edition 2 message in simple packing of so many bits over a grid of 0.5 degrees."""
+    packed = np.packbits((values.astype(np.int64).reshape(-1, 1) >> np.arange(bits - 1, -1, -1) & 1).astype(np.uint8).reshape(-1)).tobytes()
     nj, ni = values.shape
     when = struct.pack(">HHBBBHBBBBBBB", 7, 0, 2, 1, 1, 2024, 1, 15, 12, 0, 0, 0, 1)
     place = bytearray(72)
@@ -220,8 +285,8 @@ def grib_message(values: np.ndarray, reference: float = 0.0, binary: int = 0, de
     struct.pack_into(">I", product, 13, 6)
     product[17] = 103
     struct.pack_into(">bi", product, 18, 0, 10)
-    packing = struct.pack(">IHfhhBB", ni * nj, 0, reference, binary, decimal, 32, 0)
-    body = _section(1, when[:16]) + _section(3, bytes(place)) + _section(4, bytes(product)) + _section(5, packing) + _section(6, b"\xff") + _section(7, values.astype(">u4").tobytes()) + b"7777"
+    packing = struct.pack(">IHfhhBB", ni * nj, 0, reference, binary, decimal, bits, 0)
+    body = _section(1, when[:16]) + _section(3, bytes(place)) + _section(4, bytes(product)) + _section(5, packing) + _section(6, b"\xff") + _section(7, packed) + b"7777"
     return b"GRIB\0\0\x00\x02" + struct.pack(">Q", 16 + len(body)) + body
 
 
@@ -251,6 +316,15 @@ def grib_scaled_message(spark: SparkSession, d: str) -> DataFrame:
     return _cells(_read(spark, "grib2", path, message=1).where(F.col("row") < 9))
 
 
+@_query(f"SELECT message, row, col, (5 + CASE message WHEN 0 THEN value::INT % 2 WHEN 1 THEN value::INT % 4096 ELSE 0 END)::DOUBLE AS value FROM ({S.SQL_SALES}), (VALUES (0::INT), (1), (2)) AS m(message)")
+def grib_bits(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of 1, 12 and 0 bits a value over a reference of 5."""
+    path = _file(spark, "bits.grib2")
+    plain = _matrix(S.sales(spark, d), 0)
+    FileWrite(path).create(b"".join(grib_message(plain % (1 << bits), 5.0, bits=bits) for bits in (1, 12, 0)))
+    return _read(spark, "grib2", path).select(F.col("band").alias("message"), "row", "col", "value")
+
+
 @_query("SELECT k::INT AS message, 'simple' AS packing, 'lat_lon' AS template, 16::INT AS ni, 16::INT AS nj, 0.5::DOUBLE AS cell_size, '2024-01-15 12:00:00' AS reference_time, 2::INT AS category, 6::INT AS forecast_time, 'hour' AS time_unit, 10::DOUBLE AS level_value FROM generate_series(0, 1) AS g(k)")
 def grib_messages(spark: SparkSession, d: str) -> DataFrame:
     path = _file(spark, "c.grib2")

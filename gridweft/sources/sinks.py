@@ -40,6 +40,10 @@ class ObjectWrite:
     def exists(self) -> bool:
         raise NotImplementedError
 
+    def begin(self) -> None:
+        """An empty temporary object and room for parts; tasks that outlive discard() must not bring either back."""
+        raise NotImplementedError
+
     def place(self, offset: int, body: bytes) -> None:
         """Bytes of the temporary object; a task that runs again writes the same ones."""
         raise NotImplementedError
@@ -73,8 +77,12 @@ class FileObject(ObjectWrite):
     def exists(self) -> bool:
         return os.path.exists(self.path)
 
+    def begin(self) -> None:
+        os.makedirs(self.parts)
+        open(self.temporary, "wb").close()
+
     def place(self, offset: int, body: bytes) -> None:
-        fd = os.open(self.temporary, os.O_WRONLY | os.O_CREAT, 0o644)
+        fd = os.open(self.temporary, os.O_WRONLY)
         try:
             view = memoryview(body)
             while len(view):
@@ -84,7 +92,6 @@ class FileObject(ObjectWrite):
             os.close(fd)
 
     def part(self, name: str):
-        os.makedirs(self.parts, exist_ok=True)
         return open(f"{self.parts}/{name}", "wb")
 
     def join(self, at: int, pieces: list[tuple[str, int, int]]) -> None:
@@ -144,6 +151,7 @@ class TileWriter(DataSourceArrowWriter):
         self.path, self.transport = options["path"], options.get("transport")
         if not overwrite and self._object().exists():
             raise InvalidInput(f"{self.path} exists; mode overwrite replaces it")
+        self._object().begin()
 
     def _object(self) -> ObjectWrite:
         if not self.transport:

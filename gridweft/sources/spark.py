@@ -18,14 +18,14 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from gridweft.functions.grid import Grid, InvalidInput
 from gridweft.functions.rounds import cut
 from gridweft.operators.pyramid import generate_overviews, select_level
 from gridweft.ship import ship
 from gridweft.sources import grib, netcdf, tiff
-from gridweft.sources.samples import FileRange, FileWrite, RangeRead, RangeWrite, check_nodata, format_named
+from gridweft.sources.samples import FileRange, FileWrite, RangeRead, RangeWrite, check_nodata, format_named, local_path
 from gridweft.sources.sinks import TileWriter
 
 CELLS = "raster_id string, band int, row int, col int, value double"
@@ -133,8 +133,10 @@ class CogReader(_Reader):
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         level, spans = partition.what
         source = open_range(self.options)
+        wanted = [s for _, span, mask in spans for s in (span, mask) if s[1]]
+        bodies = dict(zip(wanted, source.read_ranges(wanted), strict=True))  # neighbouring tiles, so few requests
         for tile, span, mask in spans:
-            yield self._emit(*tiff.read_tile(source, level, tile, span, mask), level.grid)
+            yield self._emit(*tiff.tile_of(level, tile, bodies.get(span, b""), bodies.get(mask, b"")), level.grid)
 
     def describe(self) -> list[dict]:
         levels = tiff.open_levels(open_range(self.options))
@@ -200,6 +202,21 @@ class _MetadataReader(DataSourceReader):
             yield tuple(row.get(f) for f in self.fields)
 
 
+def _guarded(reader: type[_Reader]) -> type[_Reader]:
+    """The reader with one empty partition where it has none, for Spark has a task read that all the same."""
+
+    class Guarded(reader):
+        nothing = False
+
+        def partitions(self):
+            return ([] if self.nothing else super().partitions()) or [Part(None)]
+
+        def read(self, partition):
+            return iter(()) if partition.what is None else super().read(partition)
+
+    return Guarded
+
+
 def _pushing(reader: type[_Reader]) -> type[_Reader]:
     """The reader with comparisons of raster_id, band, row and col by literals turned into its options.
 
@@ -207,12 +224,7 @@ def _pushing(reader: type[_Reader]) -> type[_Reader]:
     Spark. All filters are applied again by Spark, so what is read may be more than what they keep.
     """
 
-    class Pushing(reader):
-        nothing = False
-
-        def partitions(self):
-            return [] if self.nothing else super().partitions()
-
+    class Pushing(_guarded(reader)):
         def pushFilters(self, filters):
             for f in filters:
                 name, column, value = type(f).__name__, ".".join(getattr(f, "attribute", ())), getattr(f, "value", None)
@@ -234,6 +246,47 @@ def _pushing(reader: type[_Reader]) -> type[_Reader]:
     return Pushing
 
 
+class _FilesReader(DataSourceStreamReader):
+    """The cells of raster files of one folder as they arrive; an offset is the last file's time and name.
+
+    Files count once they have their name, so writers should rename into the folder, as this
+    package's do. A batch plans from the headers of its own files only.
+    """
+
+    def __init__(self, reader: type[_Reader], options: dict):
+        self.reader, self.options = reader, dict(options)
+        self.folder, self.most = local_path(self.options["path"]), int(self.options.get("max_files", 1000))
+        self.last = {"time": 0, "name": ""}
+
+    def _files(self) -> list[tuple[int, str]]:
+        return sorted((entry.stat().st_mtime_ns, entry.name) for entry in os.scandir(self.folder) if entry.is_file() and not entry.name.endswith(".tmp"))
+
+    def initialOffset(self) -> dict:
+        return {"time": 0, "name": ""}
+
+    def latestOffset(self) -> dict:
+        later = [f for f in self._files() if f > (self.last["time"], self.last["name"])][: self.most]
+        if later:
+            self.last = {"time": later[-1][0], "name": later[-1][1]}
+        return self.last
+
+    def partitions(self, start: dict, end: dict) -> list[Part]:
+        self.last = max(self.last, end, key=lambda o: (o["time"], o["name"]))
+        named = [name for time, name in self._files() if (start["time"], start["name"]) < (time, name) <= (end["time"], end["name"])]
+        out = []
+        for name in named:
+            options = self.options | {"path": f"{self.folder}/{name}", "raster_id": name}
+            out += [Part((options, part)) for part in self.reader(options).partitions()]
+        return out
+
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+        options, part = partition.what
+        return self.reader(options).read(part)
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 #: Columns of the metadata tables.
 _IMAGES = "level int, width int, height int, pixel_width double, pixel_height double, origin_x double, origin_y double, epsg int, bands int, sample_format string, tile_width int, tile_height int, compression int, predictor int, nodata double, masked boolean"
 _MESSAGES = "message int, discipline int, reference_time string, packing string, template string, ni int, nj int, lat_first double, lon_first double, lat_last double, lon_last double, di double, dj double, scan_mode int, category int, number int, forecast_time int, time_unit string, level_type int, level_value double, cell_size double"
@@ -254,7 +307,12 @@ class _Source(DataSource):
     def reader(self, schema) -> DataSourceReader:
         if self._described():
             return _MetadataReader(self.reader_class(self.options), [f.name for f in schema.fields])
-        return (self.reader_class if self.options.get("push") == "false" else _pushing(self.reader_class))(self.options)
+        return (_guarded if self.options.get("push") == "false" else _pushing)(self.reader_class)(self.options)
+
+
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        """Cells of the files that arrive in the folder `path`, raster_id being the file's name."""
+        return _FilesReader(self.reader_class, self.options)
 
 
 class GeoTiffSource(_Source):
@@ -388,8 +446,12 @@ def write_geotiff(cells: DataFrame, path: str, grid: Grid, bands: int = 1, sampl
     _placed(rows.union(every).groupBy("block").applyInArrow(encode, "at long, body binary"), path, transport, header, size)
 
 
-def encoded_tiles(cells: DataFrame, grid: Grid, bands: int, sample_format: str, tile: tuple[int, int], overviews: int, deflate: bool, nodata: float | None) -> DataFrame:
-    """(level, tile, body) of all levels of a pyramid, every tile padded and encoded."""
+def encoded_tiles(cells: DataFrame, grid: Grid, bands: int, sample_format: str, tile: tuple[int, int], overviews: int, deflate: bool, nodata: float | None, predictor: int = 1, sparse: bool = False, masked: bool = False) -> DataFrame:
+    """(level, tile, body) of all levels of a pyramid, every tile padded and encoded.
+
+    Of sparse files, tiles without data have no bytes. Of masked ones each tile has a mask of
+    its pixels with data in all bands, as the tile of a level that follows those of images.
+    """
     fmt, sizes = format_named(sample_format), tiff.level_sizes(grid, overviews)
     tw, th = tile
     by_band = _bands(cells).withColumn("raster_id", F.col("band").cast("string")).select("raster_id", "row", "col", "value")
@@ -409,34 +471,47 @@ def encoded_tiles(cells: DataFrame, grid: Grid, bands: int, sample_format: str,
         per_row = -(-width // tw)
         r, c = key[1].as_py() // per_row * th, key[1].as_py() % per_row * tw
         inside = values[: height - r, : width - c]
-        if fmt.integer_range and nodata is None and np.isnan(inside).any():
+        if fmt.integer_range and nodata is None and not masked and np.isnan(inside).any():
             raise InvalidInput(f"cells without data in {fmt.name} need a nodata value")
+        valid = ~np.isnan(values).any(axis=2)
+        if masked:
+            values = np.where(valid[:, :, None], values, 0.0)
+        if sparse and nodata is not None and np.isnan(values).all():
+            return pa.table({"level": key[:1], "tile": key[1:], "body": pa.array([b""], pa.binary())}, schema=pa.schema([("level", pa.int32()), ("tile", pa.int64()), ("body", pa.binary())]))
         if nodata is not None:
             values = np.where(np.isnan(values), nodata, values)
-        body = fmt.encode(values.reshape(-1))
-        return pa.table({"level": key[:1], "tile": key[1:], "body": pa.array([zlib.compress(body) if deflate else body], pa.binary())}, schema=pa.schema([("level", pa.int32()), ("tile", pa.int64()), ("body", pa.binary())]))
+        bodies = [tiff.predicted(fmt.encode(values.reshape(-1)), predictor, fmt, tile, bands), *([tiff.packed_mask(valid)] if masked else [])]
+        bodies = [zlib.compress(b) if deflate else b for b in bodies]
+        of = [key[0].as_py() + k * len(sizes) for k in range(len(bodies))]
+        return pa.table({"level": of, "tile": [key[1].as_py()] * len(of), "body": bodies}, schema=pa.schema([("level", pa.int32()), ("tile", pa.int64()), ("body", pa.binary())]))
 
     ship(cells.sparkSession)
     return placed.groupBy("level", "tile").applyInArrow(encode, "level int, tile long, body binary")
 
 
-def write_cog(cells: DataFrame, path: str, grid: Grid, bands: int = 1, sample_format: str = "f64", tile: tuple[int, int] = (256, 256), overviews: int = 4, deflate: bool = False, nodata: float | None = float("nan"), transport: str | None = None) -> None:
+def write_cog(cells: DataFrame, path: str, grid: Grid, bands: int = 1, sample_format: str = "f64", tile: tuple[int, int] = (256, 256), overviews: int = 4, deflate: bool = False, nodata: float | None = float("nan"), transport: str | None = None, predictor: int = 1, sparse: bool = False, masked: bool = False) -> None:
     """A cloud-optimised GeoTIFF; cells must be dense.
 
+    predictor 2 (whole numbers) or 3 (floating point) stores differences along rows, which
+    deflate packs closer; sparse leaves out the bytes of tiles without data; masked tells cells
+    without data by a mask of one bit a pixel, for all bands together, and takes no nodata.
+
     Tiles are encoded once and saved. The driver sees their sizes, numbers only, and writes the
     header; executors put the tiles in the places that follow from the sizes. All must see the
     same file (a shared folder, or a transport).
     """
+    nodata = None if masked else nodata
     check_nodata(format_named(sample_format), nodata)
+    tiff.check_predictor(format_named(sample_format), predictor)
     spark = cells.sparkSession
-    tiles = cut(encoded_tiles(_one_raster(cells), grid, bands, sample_format, tile, overviews, deflate, nodata))
+    tiles = cut(encoded_tiles(_one_raster(cells), grid, bands, sample_format, tile, overviews, deflate, nodata, predictor, sparse, masked))
     sizes = tiff.level_sizes(grid, overviews)
-    counts = [[0] * (-(-w // tile[0]) * -(-h // tile[1])) for w, h in sizes]
+    counts = [[0] * (-(-w // tile[0]) * -(-h // tile[1])) for w, h in sizes * (2 if masked else 1)]
     for row in tiles.select("level", "tile", F.length("body").alias("n")).toLocalIterator():
         counts[row["level"]][row["tile"]] = row["n"]
-    header = tiff.cog_header(grid, sizes, bands, format_named(sample_format), tile, deflate, nodata, counts)
+    header = tiff.cog_header(grid, sizes, bands, format_named(sample_format), tile, deflate, nodata, counts, predictor)
     starts, at = [], len(header)
-    for level in range(len(sizes) - 1, -1, -1):
+    for level in tiff.tile_order(len(counts), len(sizes)):
         for k, n in enumerate(counts[level]):
             starts.append((level, k, at))
             at += n

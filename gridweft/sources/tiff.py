@@ -242,9 +242,14 @@ def read_tile(source: RangeRead, level: Level, tile: int, span: tuple[int, int]
     wanted = [(offset, count)] if count else []
     mask = mask or (level.mask.span(tile) if level.mask else (0, 0))
     got = iter(source.read_ranges(wanted + ([mask] if mask[1] else [])))
-    values = decode_tile(level, next(got) if count else b"")
+    return tile_of(level, tile, next(got) if count else b"", next(got) if mask[1] else b"")
+
+
+def tile_of(level: Level, tile: int, body: bytes, mask: bytes) -> tuple[int, int, np.ndarray]:
+    """(row, col, values) of a tile from its bytes and those of its mask."""
+    values = decode_tile(level, body)
     if level.mask:
-        values = np.where(mask_tile(level.mask, next(got) if mask[1] else b"")[:, :, None], values, np.nan)
+        values = np.where(mask_tile(level.mask, mask)[:, :, None], values, np.nan)
     row, col = tile // level.across * level.tile[1], tile % level.across * level.tile[0]
     return row, col, values[: level.grid.height - row, : level.grid.width - col]
 
@@ -318,30 +323,78 @@ def level_sizes(grid: Grid, overviews: int) -> list[tuple[int, int]]:
     return out
 
 
-def cog_header(grid: Grid, sizes: list[tuple[int, int]], bands: int, fmt: SampleFormat, tile: tuple[int, int], deflate: bool, nodata: float | None, counts: list[list[int]]) -> bytes:
-    """All directories of a cloud-optimised GeoTIFF, finest first; tiles follow, coarsest level first."""
+def tile_order(n: int, levels: int) -> list[int]:
+    """Levels in the order of their tiles in a file: images, coarsest first, and then masks."""
+    return [*range(levels - 1, -1, -1), *range(n - 1, levels - 1, -1)]
+
+
+def packed_mask(valid: np.ndarray) -> bytes:
+    """A mask tile: a bit a pixel, rows from whole bytes on."""
+    return np.packbits(valid, axis=1).tobytes()
+
+
+def predicted(data: bytes, predictor: int, fmt: SampleFormat, tile: tuple[int, int], bands: int) -> bytes:
+    """The samples of a tile as differences along its rows: 2 of whole numbers, 3 of the bytes of floating-point ones, high bytes first."""
+    if predictor == 1:
+        return data
+    height = tile[1]
+    if predictor == 2:
+        kind = np.dtype(fmt.dtype.replace("i", "u"))
+        values = np.frombuffer(data, kind).reshape(height, -1, bands).copy()
+        values[:, 1:] -= values[:, :-1].copy()
+        return values.tobytes()
+    planes = np.frombuffer(data, np.uint8).reshape(height, -1, fmt.bytes)[:, :, ::-1].transpose(0, 2, 1).reshape(height, -1, bands).copy()
+    planes[:, 1:] -= planes[:, :-1].copy()
+    return planes.tobytes()
+
+
+def check_predictor(fmt: SampleFormat, predictor: int) -> None:
+    if predictor == 2 and (fmt.tag == 3 or fmt.bits > 32) or predictor == 3 and fmt.tag != 3 or predictor not in (1, 2, 3):
+        raise InvalidInput(f"predictor {predictor} on {fmt.name}")
+
+
+def cog_header(grid: Grid, sizes: list[tuple[int, int]], bands: int, fmt: SampleFormat, tile: tuple[int, int], deflate: bool, nodata: float | None, counts: list[list[int]], predictor: int = 1) -> bytes:
+    """All directories of a cloud-optimised GeoTIFF, finest first; tiles follow, coarsest level first.
+
+    A tile of no bytes has no place either: readers take it for nodata. Where counts are of
+    twice as many levels, the second half is of masks, a bit a pixel, whose directories and
+    tiles come behind those of the images.
+    """
     check_nodata(fmt, nodata)
+    check_predictor(fmt, predictor)
     geographic = 4000 <= grid.epsg <= 4999
     keys = (1, 1, 0, 3, 1024, 0, 1, 2 if geographic else 1, 1025, 0, 1, 1, 2048 if geographic else 3072, 0, 1, grid.epsg)
 
+    def image(k: int) -> list[tuple[int, int, tuple | bytes]]:
+        entries = [(BITS, 3, (fmt.bits,) * bands), (COMPRESSION, 3, (8 if deflate else 1,)), (PHOTOMETRIC, 3, (1,)), (SAMPLES, 3, (bands,)), (FORMAT, 3, (fmt.tag,) * bands), (GEO_KEYS, 3, keys), *_place(grid, 2.0**k)]
+        if k:
+            entries.append((SUBFILE, 4, (1,)))
+        if bands > 1:
+            entries += [(PLANAR, 3, (1,)), (EXTRA, 3, (0,) * (bands - 1))]
+        if predictor > 1:
+            entries.append((PREDICTOR, 3, (predictor,)))
+        if nodata is not None:
+            entries.append((NODATA, 2, nodata_text(nodata).encode() + b"\0"))
+        return entries
+
+    def mask(k: int) -> list[tuple[int, int, tuple | bytes]]:
+        return [(BITS, 3, (1,)), (COMPRESSION, 3, (8 if deflate else 1,)), (PHOTOMETRIC, 3, (4,)), (SAMPLES, 3, (1,)), (SUBFILE, 4, (5 if k else 4,))]
+
     def build(offsets: list[list[int]]) -> bytes:
         out = struct.pack("<2sHI", b"II", 42, 8)
-        for k, (width, height) in enumerate(sizes):
-            entries = [(WIDTH, 3 if width < 65536 else 4, (width,)), (LENGTH, 3 if height < 65536 else 4, (height,)), (BITS, 3, (fmt.bits,) * bands), (COMPRESSION, 3, (8 if deflate else 1,)), (PHOTOMETRIC, 3, (1,)), (SAMPLES, 3, (bands,)), (TILE_WIDTH, 3, (tile[0],)), (TILE_LENGTH, 3, (tile[1],)), (TILE_OFFSETS, 4, tuple(offsets[k])), (TILE_COUNTS, 4, tuple(counts[k])), (FORMAT, 3, (fmt.tag,) * bands), (GEO_KEYS, 3, keys), *_place(grid, 2.0**k)]
-            if k:
-                entries.append((SUBFILE, 4, (1,)))
-            if bands > 1:
-                entries += [(PLANAR, 3, (1,)), (EXTRA, 3, (0,) * (bands - 1))]
-            if nodata is not None:
-                entries.append((NODATA, 2, nodata_text(nodata).encode() + b"\0"))
+        for n in range(len(counts)):
+            k = n % len(sizes)
+            width, height = sizes[k]
+            shape = [(WIDTH, 3 if width < 65536 else 4, (width,)), (LENGTH, 3 if height < 65536 else 4, (height,)), (TILE_WIDTH, 3, (tile[0],)), (TILE_LENGTH, 3, (tile[1],)), (TILE_OFFSETS, 4, tuple(offsets[n])), (TILE_COUNTS, 4, tuple(counts[n]))]
+            entries = shape + (image(k) if n < len(sizes) else mask(k))
             size = len(_directory(entries, 0, 0))
-            out += _directory(entries, len(out), len(out) + size if k + 1 < len(sizes) else 0)
+            out += _directory(entries, len(out), len(out) + size if n + 1 < len(counts) else 0)
         return out
 
     at, offsets = len(build(counts)), [[0] * len(c) for c in counts]
-    for k in range(len(sizes) - 1, -1, -1):
+    for k in tile_order(len(counts), len(sizes)):
         for n, count in enumerate(counts[k]):
-            offsets[k][n] = at
+            offsets[k][n] = at if count else 0
             at += count
     if at > 2**32 - 1:
         raise InvalidInput("image too large for a classic TIFF, whose offsets have 32 bits")
