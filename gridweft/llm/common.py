@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridweft.functions.rounds import use_checkpoints
+from gridweft.functions.rounds import new_folder, use_checkpoints
 from gridweft.ship import ship
 
 #: A word of the corpus contracts: a run of anything but space, tab, LF, VT, FF and CR.
@@ -32,8 +31,7 @@ def saved(df: DataFrame) -> DataFrame:
 
 def table_path(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder."""
-    use_checkpoints(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4()}"
+    return new_folder(spark, "table")
 
 
 def written(df: DataFrame, path: str | None = None) -> DataFrame:

@@ -72,12 +72,22 @@ def even_sections(length: Column, chars: int = SECTION_CHARS) -> Column:
     return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((length - 1) / chars)).cast("int")), lambda k: F.struct((k * chars).alias("start"), F.least((k + 1) * chars, length).alias("end")))
 
 
+def lines_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of a text's lines that hold more than white space, without their line feeds; of all the text if there are none."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    breaks = np.flatnonzero(codes == 10)
+    starts, ends = np.append(0, breaks + 1), np.append(breaks, len(codes))
+    filled = np.append(0, np.cumsum(~np.isin(codes, _SPACES)))
+    some = filled[ends] > filled[starts]
+    return (starts[some], ends[some]) if some.any() else (np.zeros(1, np.int64), np.full(1, len(codes)))
+
 
-def section_counts(docs: DataFrame, sections: Column, tokenizer: str) -> DataFrame:
+def section_counts(docs: DataFrame, sections: Column | None, tokenizer: str) -> DataFrame:
     """(doc_id, section, start, end, n_tokens, n_crossing): tokens of each section of each whole text.
 
     `sections` is an array<struct<start,end>> of character spans over docs(doc_id, text),
-    sorted, not overlapping; gaps are allowed and their tokens count for no section. Each
+    sorted, not overlapping; gaps are allowed and their tokens count for no section. None
+    stands for the lines of each text, those without words left out (lines_of). Each
     document is encoded once; tokens are given out by their character offsets (see allocate),
     and n_crossing of those counted reach over a boundary of the section.
 
@@ -87,12 +97,15 @@ def section_counts(docs: DataFrame, sections: Column, tokenizer: str) -> DataFra
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch["sections"]
+            lists = [None] * batch.num_rows if by_line else batch["sections"]
             parts = [[] for _ in range(6)]
             for doc, text, spans in zip(batch["doc_id"].to_pylist(), batch["text"], lists, strict=True):
-                if not spans.is_valid or not len(spans.values):
+                if by_line:
+                    starts, ends = lines_of(text.as_py() or "")
+                elif not spans.is_valid or not len(spans.values):
                     continue
-                starts, ends = (spans.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+                else:
+                    starts, ends = (spans.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
                 n = len(starts)
                 own, crossing = allocate(token_spans(tokenizer, text.as_py() or ""), starts, ends)
                 parts[0].append(pa.array([doc] * n, pa.int64()))
@@ -105,5 +118,6 @@ def section_counts(docs: DataFrame, sections: Column, tokenizer: str) -> DataFra
                 docs_, *rest = parts
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(docs_), *[pa.array(np.concatenate(p)) for p in rest]], ["doc_id", "section", "start", "end", "n_tokens", "n_crossing"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", sections.alias("sections"))
+    by_line = sections is None
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([] if by_line else [sections.alias("sections")]))
     return in_arrow(rows, count, "doc_id long, section int, start int, end int, n_tokens long, n_crossing long")

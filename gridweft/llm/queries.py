@@ -14,8 +14,7 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sections = counts.even_sections(F.length(F.coalesce("text", F.lit(""))))
-    return counts.section_counts(read_documents(spark, sf_dir), sections, tokens.default_tokenizer())
+    return counts.section_counts(read_documents(spark, sf_dir), None, tokens.default_tokenizer())
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +52,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.fresh_path(spark)
     token_files.write_shards(read_documents(spark, sf_dir), path, tokens.default_tokenizer())
-    return token_files.read_shards(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_files.read_shards(spark, path)
 
 
 def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

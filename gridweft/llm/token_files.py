@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -11,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridweft.functions.rounds import new_folder
 from gridweft.llm import tokens
-from gridweft.llm.common import doc_key, from_key, in_arrow, partitions, row_keyed, use_checkpoints
+from gridweft.llm.common import doc_key, from_key, in_arrow, partitions, row_keyed
 from gridweft.llm.wavelet import WaveletMatrix
 
 SHARD_IDS = 2_000_000
@@ -63,8 +63,13 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
     in_arrow(dealt, encode, _SHARD).write.option("compression", "zstd").parquet(path)
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, ids taken from the files."""
+def read_shards(spark: SparkSession, path: str, end_id: int = END_ID) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, n_ends, end_at) of every document, from the files.
+
+    ids_crc32 is of the ids, which come from the planes. n_ends, by rank, is how often end_id
+    stands in the document, and end_at, by select, the place of the last one in it, from 0,
+    null where it has none. Without shards there are no rows; a null doc_id is null again.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,6 +79,9 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                 ends = np.cumsum(matrix.lengths)
                 starts = ends - matrix.lengths
                 n = len(ends)
+                upto = matrix.rank_many(end_id, ends)
+                before = np.append(0, upto[:-1])  # a document begins where the one before ends
+                last = matrix.select_many(end_id, np.maximum(upto - 1, 0)) if matrix.count(end_id) else starts
                 yield pa.RecordBatch.from_pydict(
                     {
                         "first_key": np.full(n, first, np.int64),
@@ -82,6 +90,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                         "within": starts,
                         "n_tokens": matrix.lengths,
                         "ids_crc32": np.array([zlib.crc32(ids[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64),
+                        "n_ends": upto - before,
+                        "end_at": pa.array(last - starts, mask=upto == before),
                     }
                 )
 
@@ -89,12 +99,16 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     # one small row for each shard of some two million ids meets in one task
     before = Window.orderBy("first_key", "part").rowsBetween(Window.unboundedPreceding, -1)
     bases = shards.select("first_key", "part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    rows = in_arrow(shards.select("first_key", "part", "content"), decode, "first_key long, part int, doc_key long, within long, n_tokens long, ids_crc32 long")
-    return rows.join(bases, ["first_key", "part"]).select(from_key().alias("doc_id"), (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    rows = in_arrow(shards.select("first_key", "part", "content"), decode, "first_key long, part int, doc_key long, within long, n_tokens long, ids_crc32 long, n_ends long, end_at long")
+    return rows.join(bases, ["first_key", "part"]).select(from_key().alias("doc_id"), (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "n_ends", "end_at")
 
 
 def find_token(spark: SparkSession, path: str, token: int) -> DataFrame:
-    """(doc_id, place) of every occurrence of a token, by rank and select without decoding a shard."""
+    """(doc_id, place) of every occurrence of a token, by rank and select without decoding a shard.
+
+    place counts a document's ids from 0. A token that no document has gives no rows, nor do
+    files without shards; documents without id have a null one.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,7 +124,6 @@ def find_token(spark: SparkSession, path: str, token: int) -> DataFrame:
 
 def fresh_path(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder."""
-    use_checkpoints(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/shards-{uuid.uuid4()}"
+    return new_folder(spark, "shards")
 
 

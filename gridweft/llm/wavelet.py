@@ -7,21 +7,54 @@ import struct
 import numpy as np
 import zstandard
 
-MAGIC = b"GWWM0001"
+MAGIC = b"GWWM0002"
 _HEAD = struct.Struct("<8sIIQQ")  # magic, planes, bytes an id, ids, documents
 _BLOCK = 512
+#: Bytes of a plane in one zstd frame; an access unpacks a frame of each plane.
+_FRAME = 1 << 14
+
+
+class Plane:
+    """The packed bits of one plane, whole or in frames that are unpacked when they are first looked at."""
+
+    def __init__(self, size: int, frames: list[bytes] | None = None, whole: np.ndarray | None = None):
+        self.size, self.frames, self.whole, self.open = size, frames, whole, {}
+
+    def frame(self, k: int) -> np.ndarray:
+        if k not in self.open:
+            self.open[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.frames[k]), np.uint8)
+        return self.open[k]
+
+    def part(self, low: int, high: int) -> np.ndarray:
+        """Bytes from low to high."""
+        if self.whole is not None:
+            return self.whole[low:high]
+        high = min(high, self.size)
+        parts = [self.frame(k)[max(0, low - k * _FRAME) : high - k * _FRAME] for k in range(low // _FRAME, -(-high // _FRAME))]
+        return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.uint8), *parts])
+
+    def every(self) -> np.ndarray:
+        if self.whole is None:
+            self.whole = self.part(0, self.size)
+        return self.whole
+
+    def packed(self) -> list[bytes]:
+        packer, plane = zstandard.ZstdCompressor(level=1), self.every()
+        return [packer.compress(plane[k : k + _FRAME].tobytes()) for k in range(0, self.size, _FRAME)]
 
 
 class WaveletMatrix:
     """Bit-planes of ids, most significant first, each stably parted by its bits, zeros first.
 
-    File: head; doc_id and length of each document; zeros of each plane; then each plane's
-    packed bits and its ones before each block of 512 bits, the bits as a zstd frame.
+    File: head; doc_id and length of each document; zeros of each plane; then of each plane
+    the numbers and sizes of its frames, its ones before each block of 512 bits, and the
+    frames: its packed bits, so many bytes in each.
     """
 
     def __init__(self, planes: list[np.ndarray], zeros: np.ndarray, n: int, docs: np.ndarray, lengths: np.ndarray, width: int):
         self.planes, self.zeros, self.n, self.docs, self.lengths, self.width = planes, zeros, n, docs, lengths, width
         self.ones = [self._directory(p) for p in planes]
+        self.planes = [Plane(len(p), whole=p) for p in planes]
 
     @staticmethod
     def _directory(plane: np.ndarray) -> np.ndarray:
@@ -45,11 +78,10 @@ class WaveletMatrix:
         return cls(planes, zeros, len(ids), np.asarray(docs, np.int64), np.asarray(lengths, np.int64), ids.dtype.itemsize)
 
     def to_bytes(self) -> bytes:
-        packer = zstandard.ZstdCompressor(level=1)
         out = [_HEAD.pack(MAGIC, len(self.planes), self.width, self.n, len(self.docs)), self.docs.tobytes(), self.lengths.tobytes(), self.zeros.tobytes()]
         for plane, ones in zip(self.planes, self.ones, strict=True):
-            body = packer.compress(plane.tobytes())
-            out += [struct.pack("<QQ", len(body), len(ones)), body, ones.astype("<u4").tobytes()]
+            frames = plane.packed()
+            out += [struct.pack("<QQQ", plane.size, len(frames), len(ones)), np.array([len(f) for f in frames], "<u4").tobytes(), ones.astype("<u4").tobytes(), *frames]
         return b"".join(out)
 
     @classmethod
@@ -57,24 +89,28 @@ class WaveletMatrix:
         magic, bits, width, n, docs = _HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        at, arrays, unpacker = _HEAD.size, [], zstandard.ZstdDecompressor()
+        at, arrays = _HEAD.size, []
         for count in (docs, docs, bits):
             arrays.append(np.frombuffer(data, "<i8", count, at))
             at += 8 * count
         self, planes, ones = cls.__new__(cls), [], []
         for _ in range(bits):
-            size, blocks = struct.unpack_from("<QQ", data, at)
-            planes.append(np.frombuffer(unpacker.decompress(data[at + 16 : at + 16 + size]), np.uint8))
-            ones.append(np.frombuffer(data, "<u4", blocks, at + 16 + size).astype(np.int64))
-            at += 16 + size + 4 * blocks
+            size, count, blocks = struct.unpack_from("<QQQ", data, at)
+            sizes = np.frombuffer(data, "<u4", count, at + 24).tolist()
+            ones.append(np.frombuffer(data, "<u4", blocks, at + 24 + 4 * count).astype(np.int64))
+            at, frames = at + 24 + 4 * (count + blocks), []
+            for n in sizes:
+                frames.append(data[at : at + n])
+                at += n
+            planes.append(Plane(size, frames))
         self.planes, self.ones, self.n, self.width = planes, ones, n, width
         self.docs, self.lengths, self.zeros = arrays
         return self
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones among the first i bits of a plane."""
-        plane, block = self.planes[level], i // _BLOCK
-        part = plane[block * _BLOCK // 8 : -(-i // 8)]
+        block = i // _BLOCK
+        part = self.planes[level].part(block * _BLOCK // 8, -(-i // 8)) if i % _BLOCK else np.empty(0, np.uint8)
         bits = np.unpackbits(part, bitorder="little")[: i - block * _BLOCK]
         return int(self.ones[level][block]) + int(bits.sum())
 
@@ -85,7 +121,7 @@ class WaveletMatrix:
     def access(self, i: int) -> int:
         token = 0
         for level, plane in enumerate(self.planes):
-            bit, ones = int(plane[i >> 3] >> (i & 7) & 1), self._rank1(level, i)
+            bit, ones = int(plane.part(i >> 3, (i >> 3) + 1)[0] >> (i & 7) & 1), self._rank1(level, i)
             i = int(self.zeros[level]) + ones if bit else i - ones
             token = token << 1 | bit
         return token
@@ -104,12 +140,29 @@ class WaveletMatrix:
         lo, hi = self._range(token, i)
         return hi - lo
 
+    def rank_many(self, token: int, i: np.ndarray) -> np.ndarray:
+        """Occurrences of token among the first i ids, for each i."""
+        if token >> len(self.planes):
+            return np.zeros(len(i), np.int64)
+        lo, hi = 0, i.astype(np.int64)
+        for level, bit in self._bits(token):
+            plane = self.planes[level].every()
+            words = np.zeros(len(plane) // 8 + 1, np.uint64)
+            words.view(np.uint8)[: len(plane)] = plane
+            before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
+            at = np.append(hi, lo)
+            ones = before[at >> 6] + np.bitwise_count(words[at >> 6] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+            hi, lo = (ones[:-1], int(ones[-1])) if bit else (hi - ones[:-1], lo - int(ones[-1]))
+            if bit:
+                hi, lo = hi + int(self.zeros[level]), lo + int(self.zeros[level])
+        return hi - lo
+
     def count(self, token: int) -> int:
         return self.rank(token, self.n)
 
     def _select_bits(self, level: int, bit: int, k: np.ndarray) -> np.ndarray:
         """Places of the k-th (from 0) bits of this value in a plane; of a block only the bits that are asked for are looked at."""
-        ones, plane, width = self.ones[level], self.planes[level], _BLOCK // 8
+        ones, plane, width = self.ones[level], self.planes[level].every(), _BLOCK // 8
         before = ones if bit else np.arange(len(ones)) * _BLOCK - ones
         block, out = np.searchsorted(before, k, side="right") - 1, np.empty(len(k), np.int64)
         padded = np.zeros(-(-len(plane) // width) * width, np.uint8)
@@ -140,7 +193,7 @@ class WaveletMatrix:
         now = np.zeros(self.n, kind)
         last = len(self.planes) - 1
         for level in range(last, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            bit = np.unpackbits(self.planes[level].every(), count=self.n, bitorder="little").view(bool)
             zeros, before = int(self.zeros[level]), np.empty_like(now)
             before[np.flatnonzero(~bit)] = now[:zeros]
             before[np.flatnonzero(bit)] = now[zeros:] | kind(1 << (last - level))
