@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridweft.functions.grid import Grid, InvalidInput
-from gridweft.operators import hydro, terrain, vector
+from gridweft.operators import hydro, terrain, vector, visibility
 from gridweft.operators.chains import local_chains, ranked
 
 STEPS = {code: (dr, dc) for code, dr, dc, _ in terrain.D8}
@@ -232,3 +232,29 @@ def test_polygons_cover_their_regions(spark, tile):
         held = {(r, c) for r in range(z.shape[0]) for c in range(z.shape[1]) if sum(inside(ring, c + 0.5, r + 0.5) for ring in rings) % 2}
         assert held == {tuple(p) for p in np.argwhere(owner == x["region"]).tolist()}
     assert vector.region_rings(cells, grid, tile).where(F.size("vertices") == 0).count() == 0
+
+
+@pytest.mark.parametrize(("sectors", "at", "radius"), [(64, (9, 11), 9.0), (3, (0, 28), 14.5), (64, (22, 0), 40.0)])
+def test_sight(spark, sectors, at, radius):
+    """Sight lines sample by sample, over missing cells and beyond the last row and column."""
+    r = np.random.default_rng(12)
+    z = np.floor(r.random((23, 29)) * 40)
+    z[r.random(z.shape) < 0.05] = np.nan
+    z[at] = 20.0
+    eye, (row, col) = z[at] + 15, at
+    wanted = np.full(z.shape, np.nan)
+    for (y, x), v in np.ndenumerate(z):
+        length, steps = np.hypot(y - row, x - col), max(abs(y - row), abs(x - col))
+        if np.isnan(v) or length > radius:
+            continue
+        wanted[y, x] = 1.0
+        for k in range(1, steps):
+            p, q = row + float(y - row) * (k / steps), col + float(x - col) * (k / steps)
+            p0, q0 = int(np.floor(p)), int(np.floor(q))
+            p1, q1, a, b = min(p0 + 1, 22), min(q0 + 1, 28), p - p0, q - q0
+            ground = z[p0, q0] * ((1 - a) * (1 - b)) + z[p0, q1] * ((1 - a) * b) + z[p1, q0] * (a * (1 - b)) + z[p1, q1] * (a * b)
+            if (ground - eye) / (length * (k / steps)) > (v - eye) / length:
+                wanted[y, x] = 0.0
+    found = back(visibility.viewshed(frame(spark, z), Grid(29, 23), row, col, 15.0, radius, sectors), z.shape)
+    np.testing.assert_array_equal(found, wanted)
+    assert (wanted == 0).sum() > 5
