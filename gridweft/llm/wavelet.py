@@ -99,9 +99,9 @@ class WaveletMatrix:
             sizes = np.frombuffer(data, "<u4", count, at + 24).tolist()
             ones.append(np.frombuffer(data, "<u4", blocks, at + 24 + 4 * count).astype(np.int64))
             at, frames = at + 24 + 4 * (count + blocks), []
-            for n in sizes:
-                frames.append(data[at : at + n])
-                at += n
+            for held in sizes:
+                frames.append(data[at : at + held])
+                at += held
             planes.append(Plane(size, frames))
         self.planes, self.ones, self.n, self.width = planes, ones, n, width
         self.docs, self.lengths, self.zeros = arrays
