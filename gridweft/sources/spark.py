@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import importlib
 import os
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -217,11 +218,17 @@ def _guarded(reader: type[_Reader]) -> type[_Reader]:
     return Guarded
 
 
+def _filters_may_come() -> bool:
+    """Whether this process plans a read with filters. Where a session keeps filters from Python sources, a reader that takes them is an error."""
+    main = getattr(sys.modules.get("__main__"), "__spec__", None)
+    return any(name.endswith("data_source_pushdown_filters") for name in (*sys.modules, main.name if main else ""))
+
+
 def _pushing(reader: type[_Reader]) -> type[_Reader]:
     """The reader with comparisons of raster_id, band, row and col by literals turned into its options.
 
     register() lets filters reach Python sources in its session; push=false leaves them to
-    Spark. All filters are applied again by Spark, so what is read may be more than what they keep.
+    Spark, push=true makes it an error if the session keeps them back. All filters are applied again by Spark, so what is read may be more than what they keep.
     """
 
     class Pushing(_guarded(reader)):
@@ -307,7 +314,8 @@ class _Source(DataSource):
     def reader(self, schema) -> DataSourceReader:
         if self._described():
             return _MetadataReader(self.reader_class(self.options), [f.name for f in schema.fields])
-        return (_guarded if self.options.get("push") == "false" else _pushing)(self.reader_class)(self.options)
+        push = self.options.get("push", str(_filters_may_come()).lower())
+        return (_pushing if push == "true" else _guarded)(self.reader_class)(self.options)
 
 
     def streamReader(self, schema) -> DataSourceStreamReader:
