@@ -1,4 +1,4 @@
-"""Whole runs over texts of some megabytes, sections by lines, and planes in frames."""
+"""Whole runs over texts of a million characters, sections by lines, and planes in frames."""
 
 import hashlib
 import random
@@ -17,12 +17,12 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 @pytest.fixture(scope="module")
 def long_docs(spark):
-    """A text of 2.5 million characters, one without any space, and short ones; the long one's first part stands in another too."""
+    """A text of 1.2 million characters, one without any space, and short ones; the long one's first part stands in another too."""
     r = random.Random(11)
     words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(4000)]
-    text = "\n".join(" ".join(r.choice(words) for _ in range(40)) for _ in range(9000))
-    assert len(text) > 2_000_000
-    rows = [(1, text), (2, text[:60_000]), (3, "x" * 1_000_000), (4, "short one"), (5, None), (6, "")]
+    text = "\n".join(" ".join(r.choice(words) for _ in range(40)) for _ in range(4500))
+    assert len(text) > 1_000_000
+    rows = [(1, text), (2, text[:60_000]), (3, "x" * 300_000), (4, "short one"), (5, None), (6, "")]
     return written(spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)), dict(rows)
 
 
@@ -50,7 +50,7 @@ def test_tokens(spark, long_docs, tmp_path):
     for i, want in ids.items():
         assert (shards[i]["n_tokens"], shards[i]["n_ends"], shards[i]["end_at"]) == (len(want) + 1, want.count(2) + 1, len(want))
     by_line = counts.section_counts(docs, None, PATH).collect()
-    assert len([r for r in by_line if r["doc_id"] == 1]) == 9000
+    assert len([r for r in by_line if r["doc_id"] == 1]) == 4500
     assert sum(r["n_tokens"] for r in by_line if r["doc_id"] == 1) == len(ids[1])
 
 
