@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridweft.functions.rounds import new_folder, use_checkpoints
+from gridweft.functions.rounds import give_back, new_folder, use_checkpoints
 from gridweft.ship import ship
 
 #: A word of the corpus contracts: a run of anything but space, tab, LF, VT, FF and CR.
@@ -26,7 +26,9 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def saved(df: DataFrame) -> DataFrame:
     """df with its lineage cut at a copy in the shared checkpoint folder."""
     use_checkpoints(df.sparkSession)
-    return df.checkpoint()
+    df = df.checkpoint()
+    give_back(df.sparkSession)
+    return df
 
 
 def table_path(spark: SparkSession) -> str:
@@ -39,6 +41,7 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or table_path(spark)
     df.write.option("compression", "zstd").parquet(path)
+    give_back(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -337,3 +337,15 @@ def test_pipeline_of_odd_tables(spark, tmp_path):
         if name != "mixing sources":  # nothing is toxic, repeated or alike
             assert now.count() == len(rows), name
     assert corpus_pipeline.run(spark, str(tmp_path / "o")).count() == now.count()
+
+
+def test_rounds_give_native_memory_back(spark, docs, monkeypatch):
+    from gridweft.functions import rounds
+    from gridweft.llm import common
+
+    assert rounds.give_back(spark)
+    asked = []
+    monkeypatch.setattr(common, "give_back", asked.append)
+    ids = docs.select("doc_id").limit(5)
+    assert common.saved(ids).count() == common.written(ids).count() == 5
+    assert len(asked) == 2
