@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweft.llm.common import doc_key, from_key, in_arrow, partitions, row_keyed, spare
+from gridweft.llm.common import doc_key, from_key, in_arrow, partitions, row_keyed
 
 WINDOW = 20
 #: Any two residues modulo 13 reach this set by one common shift below 13.
@@ -338,19 +338,20 @@ def without_repeats(docs: DataFrame, digest: bool = False) -> DataFrame:
     in packed blocks; a task settles what repeats within itself and asks for each hash once,
     so that a passage shared by very many documents is no hot group, and no pairs are made.
 
+    Both joins with the texts take the same columns, so that Spark deals the texts out once
+    and reads that exchange twice.
+
     digest=True returns kept_sha256 in place of kept. Null and empty texts have no words; a
     null doc_id sorts first; rows that repeat a doc_id are documents of their own, in the
     order of a hash of their texts. An empty table gives no rows.
     """
     bits, doc_bits = _bucket_bits(docs.sparkSession, docs.count())
-    (key,) = spare(docs, "_key")
-    keyed = row_keyed(docs.select("doc_id", "text"), key)
-    texts = keyed.select(F.col(key).alias("doc_key"), "text")
-    anchors = _exchanged(in_arrow(texts, _anchors(bits, doc_bits), _DEALT), _repeated_anchors(doc_bits), _DEALT)
+    keyed = row_keyed(docs.select("doc_id", "text"), "doc_key").withColumn("doc_key", doc_key("doc_key"))  # never null, or the inner join would filter its side
+    anchors = _exchanged(in_arrow(keyed.select("doc_key", "text"), _anchors(bits, doc_bits), _DEALT), _repeated_anchors(doc_bits), _DEALT)
     wanted = _exchanged(anchors, _gathered, _OF_DOC)
-    windows = in_arrow(texts.join(wanted, "doc_key"), _windows(bits, doc_bits), _DEALT)
+    windows = in_arrow(keyed.join(wanted, "doc_key"), _windows(bits, doc_bits), _DEALT)
     starts = _exchanged(_exchanged(windows, _later_windows(doc_bits), _DEALT), _gathered, _OF_DOC)
-    rows = keyed.join(starts.withColumnRenamed("doc_key", key), key, "left").select(doc_key().alias("doc_key"), "text", "items")
+    rows = keyed.join(starts, "doc_key", "left").select(doc_key().alias("doc_key"), "text", "items")
     if digest:
         return in_arrow(rows, _digest, "doc_key long, n_words long, n_removed long, kept_sha256 string").withColumn("doc_id", from_key()).drop("doc_key")
     return in_arrow(rows, _finish, "doc_key long, n_words long, n_removed long, kept string").withColumn("doc_id", from_key()).drop("doc_key")

@@ -324,6 +324,20 @@ def test_substring_dedup(docs, table):
     assert wanted[1006][1] > 200
 
 
+@pytest.mark.parametrize("copies", [1, 2])
+def test_substring_dedup_deals_texts_once(spark, table, tmp_path, copies):
+    spark.createDataFrame([r[:2] for r in table[:20]], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    few = spark.read.parquet(str(tmp_path / "docs"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = substring.without_repeats(few if copies == 1 else few.union(few), digest=True)
+        assert len(found.collect()) == 20 * copies
+        assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_every_pair_of_windows_shares_an_anchor():
     for i in range(substring.PERIOD):
         for j in range(substring.PERIOD):
