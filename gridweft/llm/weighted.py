@@ -3,26 +3,33 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweft.llm import tokens
 from gridweft.llm.common import doc_key, from_key, in_arrow, kept, partitions, row_keyed
+from gridweft.llm.substring import word_hashes
 from gridweft.ship import ship
 
 SAMPLES = 128
-_KEPT = 120_000
-#: Terms whose keys are made at once, so that the arrays stay in the processor's cache.
-_STEP = 128
+#: Terms whose least keys are kept, as a power of two, and how many of each.
+_KEPT_BITS = 19
+_HEAD = 16
+#: Terms whose keys are made at once.
+_STEP = 512
+#: Pairs of a text and a term whose keys are compared at once.
+_PAIRS = 4096
+#: Expected keys below a text's limit in each column; a column has none in exp(-10) of all cases.
+_BELOW = 10
 _EMPTY = np.uint64(2**64 - 1)
+#: Bytes of short texts that are hashed at once, and which bytes belong to words.
+_TOGETHER = 1 << 16
+_BLACK = bytes(k not in b" \t\n\v\f\r" for k in range(256))
 #: Characters of the texts that are compared at once.
 _CHARS = 1 << 22
 #: Ranges that documents are dealt to; their ends are numbers on the driver.
@@ -46,6 +53,12 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return exponential.astype(np.float32), gamma.astype(np.float32)
 
 
+def _rising(x: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the order of the floats."""
+    bits = x.view(np.int32)
+    return (bits ^ (bits >> 31 | np.int32(-(1 << 31)))).view(np.uint32)
+
+
 def sample_keys(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """(terms, SAMPLES) 64-bit keys; the least key of a column over a text's terms is its sample.
 
@@ -53,7 +66,8 @@ def sample_keys(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     t = floor(ln w / r + b) and ln a = ln c - r (t - b) - r. The term of least a and its t are
     equal for two texts with a probability of their generalised Jaccard similarity. A term
     and column have 64 bits: 32 for c, a sum of two exponentials, as small ones decide, and
-    16 each for r and b. A key holds ln a in its upper half and a hash of (term, t) in its lower.
+    16 each for r and b. A key holds ln a in its upper half, 16 bits of a hash of (term, t)
+    below it and its column in the lowest 16.
     """
     exponential, gamma = _tables()
     columns = _mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -74,58 +88,111 @@ def sample_keys(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     a += b
     mark *= np.uint32(0x85EBCA6B)
     mark ^= mark >> np.uint32(15)
-    bits = a.view(np.int32)
     keys = np.empty((len(hashes), SAMPLES), np.uint64)
     halves = keys.view("<u4").reshape(len(hashes), SAMPLES, 2)
-    halves[:, :, 0] = mark
-    halves[:, :, 1] = (bits ^ (bits >> 31 | np.int32(-(1 << 31)))).view(np.uint32)
+    halves[:, :, 0] = mark << np.uint32(16) | np.arange(SAMPLES, dtype=np.uint32)
+    halves[:, :, 1] = _rising(a)
     return keys
 
 
 class Sampler:
-    """Signatures of texts; keys of the first terms seen are kept across a worker's tasks."""
+    """Signatures of texts; the least keys of the first terms seen are kept across a worker's tasks.
+
+    In a text of n words the least a of a column is exponential with rate n, so few keys are
+    below a limit of 10 / n, yet hardly a column is without one. Only keys below the limit are
+    compared: the kept ones of a term, or all of them where the last kept one is below it too
+    or none are kept. Short texts, and those with a column that has no key below the limit,
+    have no limit, so each sample is the least of all keys.
+    """
 
     def __init__(self):
-        self.rows = np.empty((_KEPT, SAMPLES), np.uint64)
-        self.place: dict[tuple[str, int], int] = {}
-
-    def signatures(self, counts: list[Counter]) -> np.ndarray:
-        """(texts, SAMPLES) of 16-bit values."""
-        place, fresh = self.place, {}
-        for count in counts:
-            for item in count.items():
-                if item not in place and item not in fresh:
-                    fresh[item] = len(fresh)
-        if fresh:
-            items = list(fresh)
-            hashes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), 9) for w, _ in items], np.uint64)
-            weights = np.array([n for _, n in items], np.int64)
-            made = np.concatenate([sample_keys(hashes[k : k + _STEP], weights[k : k + _STEP]) for k in range(0, len(items), _STEP)])
-            keep = min(len(items), _KEPT - len(place))
-            base = len(place)
-            self.rows[base : base + keep] = made[:keep]
-            place.update(zip(items[:keep], range(base, base + keep), strict=True))
-        out = np.full((len(counts), SAMPLES), _EMPTY)
-        for k, count in enumerate(counts):
-            if not count:
-                continue
-            here = [place.get(i, -1) for i in count.items()]
-            known = [x for x in here if x >= 0]
-            if known:
-                out[k] = np.minimum.reduce(self.rows[known], axis=0)
-            if len(known) < len(here):
-                rest = [fresh[i] for i, x in zip(count.items(), here, strict=True) if x < 0]
-                out[k] = np.minimum(out[k], np.minimum.reduce(made[rest], axis=0))
-        return (out & np.uint64(0xFFFF)).astype(">u2")
+        self.names = np.zeros(1 << _KEPT_BITS, np.uint64)
+        self.heads = np.empty((1 << _KEPT_BITS, _HEAD), np.uint64)
+
+    def signatures(self, texts: list[np.ndarray]) -> np.ndarray:
+        """(texts, SAMPLES) of 16-bit values, from the hashes of each text's words."""
+        words = np.array([len(x) for x in texts], np.int64)
+        out = np.full((len(texts), SAMPLES), _EMPTY)
+        limits = _rising(np.log(_BELOW / np.maximum(words, 1)).astype(np.float32)).astype(np.uint64) << np.uint64(32)
+        limits[words * _HEAD < _BELOW * SAMPLES] = _EMPTY
+        text, hashes, weights = _counted(texts, words)
+        self._lower(out, limits, text, hashes, weights)
+        again = (limits < _EMPTY) & (out == _EMPTY).any(1)
+        limits[again] = _EMPTY
+        rest = np.flatnonzero(again[text])
+        self._lower(out, limits, text[rest], hashes[rest], weights[rest])
+        return (out >> np.uint64(16) & np.uint64(0xFFFF)).astype(">u2")
+
+    def _lower(self, out: np.ndarray, limits: np.ndarray, text: np.ndarray, hashes: np.ndarray, weights: np.ndarray) -> None:
+        """Lowers out to the least keys below the texts' limits."""
+        names = np.maximum(_mix(hashes + weights.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), np.uint64(1))
+        places = (names >> np.uint64(64 - _KEPT_BITS)).astype(np.int64)
+        whole = self.names[places] != names
+        whole |= limits[text] == _EMPTY
+        old = np.flatnonzero(~whole)
+        for low in range(0, len(old), _PAIRS):
+            at = old[low : low + _PAIRS]
+            whole[at] = _take(out, limits, text[at], self.heads[places[at]])[:, -1]
+        rest = np.flatnonzero(whole)
+        _, first, term = np.unique(names[rest], return_index=True, return_inverse=True)
+        first, order = rest[first], np.argsort(term, kind="stable")
+        rest, term = rest[order], term[order]
+        for low in range(0, len(first), _STEP):
+            at = first[low : low + _STEP]
+            made = sample_keys(hashes[at], weights[at])
+            one, end = np.searchsorted(term, [low, low + len(at)])
+            for k in range(one, end, _PAIRS):
+                pairs = slice(k, min(end, k + _PAIRS))
+                _take(out, limits, text[rest[pairs]], made[term[pairs] - low])
+            to, free = np.unique(places[at], return_index=True)
+            to, free = to[empty := self.names[to] == 0], free[empty]
+            self.heads[to] = np.sort(made[free], axis=1)[:, :_HEAD]
+            self.names[to] = names[at[free]]
+
+
+def _counted(texts: list[np.ndarray], words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the distinct hashes and how often each stands there, with the text's number."""
+    hashes = np.concatenate([np.empty(0, np.uint64), *map(np.sort, texts)])
+    fresh = np.ones(len(hashes) + 1, bool)
+    np.not_equal(hashes[1:], hashes[:-1], out=fresh[1 : len(hashes)])
+    fresh[np.cumsum(words)] = True
+    ends = np.flatnonzero(fresh)
+    first = ends[:-1]
+    return np.repeat(np.arange(len(texts)), words)[first], hashes[first], ends[1:] - first
+
+
+def _take(out: np.ndarray, limits: np.ndarray, text: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Lowers out to the keys (pairs, any) that are below the limits of the pairs' texts; tells which are."""
+    below = keys < limits[text][:, None]
+    at = np.flatnonzero(below)
+    less = keys.ravel()[at]
+    cells = text[at // keys.shape[1]] * SAMPLES + (less & np.uint64(0xFFFF)).view(np.int64)
+    np.minimum.at(out.reshape(-1), cells, less)
+    return below
 
 
 def sampler() -> Sampler:
     return kept("samples", Sampler)
 
 
-def terms(text: str) -> Counter:
-    """Weighted terms of a text: its words and how often each stands in it."""
-    return Counter(tokens.words(text))
+def terms(texts: list[str]) -> list[np.ndarray]:
+    """Hashes of each text's words, one for each time that one stands in it; short texts are hashed together."""
+    out, low, bodies = [], 0, [t.encode("utf-8", "surrogatepass") for t in texts]
+    while low < len(bodies):
+        high, size = low + 1, len(bodies[low])
+        while high < len(bodies) and size + len(bodies[high]) < _TOGETHER:
+            size += len(bodies[high])
+            high += 1
+        some = bodies[low:high]
+        hashes = word_hashes(b" ".join(some), 1)[0]
+        if high - low == 1:
+            out.append(hashes)
+        else:
+            black = np.frombuffer(b" ".join([b"", *some]).translate(_BLACK), bool)
+            ends = np.searchsorted(np.flatnonzero(black[1:] > black[:-1]), np.cumsum([len(x) + 1 for x in some]))
+            out += np.split(hashes, ends[:-1])
+        low = high
+    return out
 
 
 def _likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -143,7 +210,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch["text"].to_pylist()]
-            out = [row.tobytes().hex() for low in range(0, len(texts), 64) for row in sampler().signatures([terms(t) for t in texts[low : low + 64]])]
+            out = [row.tobytes().hex() for low in range(0, len(texts), 64) for row in sampler().signatures(terms(texts[low : low + 64]))]
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "fingerprint": pa.array(out, pa.string())})
 
     return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), sign, "doc_id long, fingerprint string")
@@ -179,22 +246,22 @@ def against_next(docs: DataFrame, buckets_a_partition: int = 4) -> DataFrame:
         return pd.Series([[o] if g < 0 else [o, -1 - g] for o, g in zip(own.tolist(), guest.tolist(), strict=True)])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, str, Counter, str, Counter]] = []
-        last, chars = None, 0  # (bucket, guest, key, text, its terms)
+        held: list[tuple[int, str, str]] = []
+        last, chars = None, 0  # (bucket, guest, key, text)
 
         def flush() -> pa.RecordBatch:
-            edited, counts, own, other, rows = [], [], [], [], []
-            for _, text, count, after, count_after in held:
-                if not counts or counts[-1] is not count:  # else the next text of the row before
-                    counts.append(count)
-                own.append(len(counts) - 1)
-                counts.append(count_after)
-                other.append(len(counts) - 1)
+            edited, texts, own, other, rows = [], [], [], [], []
+            for _, text, after in held:
+                if not texts or texts[-1] is not text:  # else the next text of the row before
+                    texts.append(text)
+                own.append(len(texts) - 1)
+                texts.append(after)
+                other.append(len(texts) - 1)
                 k = len(text) // 3
                 edited.append(text[: len(text) - k] + after[:k])
-            signs = sampler().signatures(counts + [terms(e) for e in edited])
-            for n, (key, text, *_) in enumerate(held):
-                a, b, c = signs[own[n]], signs[len(counts) + n], signs[other[n]]
+            signs = sampler().signatures(terms(texts + edited))
+            for n, (key, text, _) in enumerate(held):
+                a, b, c = signs[own[n]], signs[len(texts) + n], signs[other[n]]
                 rows.append((key, len(text), hashlib.sha256(edited[n].encode("utf-8", "surrogatepass")).hexdigest(), a.tobytes().hex(), b.tobytes().hex(), _likeness(a, b), _likeness(a, c)))
             held.clear()
             names = [f.split()[0] for f in _PAIR.split(", ")]
@@ -203,14 +270,13 @@ def against_next(docs: DataFrame, buckets_a_partition: int = 4) -> DataFrame:
         for batch in batches:
             for bucket, guest, key, text in zip(batch["bucket"].to_pylist(), batch["guest"].to_pylist(), batch["doc_key"].to_pylist(), batch["text"], strict=True):
                 text = text.as_py()
-                count = terms(text)
                 if last and last[0] == bucket and not last[1]:
-                    held.append((*last[2:], text, count))
+                    held.append((*last[2:], text))
                     chars += len(last[3])
                     if len(held) >= 256 or chars >= _CHARS:
                         yield flush()
                         chars = 0
-                last = (bucket, guest, key, text, count)
+                last = (bucket, guest, key, text)
         if held:
             yield flush()
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -269,6 +270,40 @@ def test_one_row_is_its_own_next(spark):
     assert row["near_next"] == 1.0
 
 
+@pytest.mark.parametrize("bits", [4, 19])
+def test_samples_are_the_least_of_all_keys(monkeypatch, bits):
+    """Also where few keys are below a text's limit, none is kept, or a word is most of its text."""
+    monkeypatch.setattr(weighted, "_KEPT_BITS", bits)
+    sampler, r = weighted.Sampler(), random.Random(3)
+    texts = [" ".join([f"w{int(r.paretovariate(0.4)) % 50_000}" for _ in range(n)] + ["the"] * m) for n in (0, 1, 9, 79, 80, 81, 160, 400, 3000, 9000) for m in (0, 1, 700)]
+    hashes = weighted.terms(texts)
+    for some in (hashes[:17], hashes, hashes[::-1]):
+        for signature, words in zip(sampler.signatures(some), some, strict=True):
+            terms, weights = np.unique(words, return_counts=True)
+            keys = weighted.sample_keys(terms, weights)
+            least = keys[np.argmin(keys, axis=0), np.arange(weighted.SAMPLES)] if len(keys) else np.full(weighted.SAMPLES, 2**64 - 1, np.uint64)
+            assert signature.tolist() == (least >> np.uint64(16) & np.uint64(0xFFFF)).tolist()
+
+
+def test_few_keys_are_looked_at():
+    """A text of 50,000 known terms has 51 MB of keys, nearly all of them beyond its samples."""
+    sampler, text = weighted.Sampler(), " ".join(map(str, range(50_000)))
+    first = sampler.signatures(weighted.terms([text]))
+    tracemalloc.start()
+    assert (sampler.signatures(weighted.terms([text])) == first).all()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50_000 * weighted.SAMPLES * 8 / 2
+
+
+def test_terms_of_texts_hashed_together():
+    r = random.Random(8)
+    texts = ["".join(r.choice("ab\xe9\xa0 \x1c\n\t\x0b") for _ in range(r.randint(0, 12))) for _ in range(400)] + ["a b " * 40_000, "", "c"]
+    of = {w: substring.word_hashes(w.encode(), 1)[0][0] for text in texts for w in set(WORD.findall(text))}
+    for text, found in zip(texts, weighted.terms(texts), strict=True):
+        assert found.tolist() == [of[w] for w in WORD.findall(text)]
+
+
 # -- 6: token files --
 
 
